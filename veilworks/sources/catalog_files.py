@@ -37,7 +37,8 @@ def read_raw_catalog(spark: SparkSession, path: str) -> DataFrame:
     A file without a ``logs`` array yields one row with a NULL ``pos``.
     """
     exploded = _documents(spark, path).select(
-        "file", "schema_version", F.posexplode_outer("logs").alias("pos", "entry")
+        "file", "schema_version", F.col("logs").isNotNull().alias("has_logs"),
+        F.posexplode_outer("logs").alias("pos", "entry"),
     )
     v = F.try_parse_json("entry")
     parsed = exploded.withColumn("v", v)
@@ -45,12 +46,13 @@ def read_raw_catalog(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(
         "file",
         "schema_version",
+        "has_logs",
         "pos",
         "entry",
         F.schema_of_variant("v").startswith("OBJECT").alias("is_object"),
         *[F.when(_type_of(F.col("v"), n) == "STRING", c).alias(n) for n, c in texts.items()],
-        F.coalesce(_type_of(F.col("v"), "source"), F.lit("VOID")).alias("source_type"),
-        F.coalesce(_type_of(F.col("v"), "test_case"), F.lit("VOID")).alias("test_case_type"),
+        F.coalesce(_type_of(F.col("v"), "source"), F.lit("MISSING")).alias("source_type"),
+        F.coalesce(_type_of(F.col("v"), "test_case"), F.lit("MISSING")).alias("test_case_type"),
         F.from_json(F.get_json_object("entry", "$.test_case"), "map<string,string>").alias("test_case_raw"),
     )
 
@@ -74,7 +76,7 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     )
 
 
-def catalog_entry(df_cols: str = "") -> Column:
+def catalog_entry() -> Column:
     """One entry as JSON; an empty source or test case is left out."""
     return F.to_json(
         F.struct(
