@@ -22,7 +22,7 @@ def read_corpus(
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for file scans that is the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
