@@ -119,10 +119,9 @@ def run_text(run: str, digits: Column) -> Column:
     return F.concat(*[field.get(c, F.lit(c)) for c in body])
 
 
-def with_profile_values(text: Column, profile_idx: Column) -> Column:
-    from ..operators.dimensions import profile_attribute
-
+def with_values(text: Column) -> Column:
+    """Markers replaced by the identity joined to the row (one column per token kind)."""
     out = text
     for kind in V.KINDS:
-        out = F.replace(out, F.lit(marker(kind)), profile_attribute(kind, profile_idx))
+        out = F.replace(out, F.lit(marker(kind)), F.col(kind))
     return out

@@ -44,12 +44,13 @@ def restored(sample: Column, test_case: Column, **options) -> Column:
     return F.when(F.size(test_case) == 0, sample).otherwise(F.aggregate(entries(test_case), sample, fill))
 
 
-def _marker_span(kind: str, priority: int):
-    def build(m: Column) -> Column:
-        name = F.substr(m["raw"], F.lit(3), F.length(m["raw"]) - 4)
-        return T.span(m["pos"], F.length(m["raw"]), F.lit(priority), kind, name, m["raw"])
-
-    return build
+def _marker_span(rank: Column, m: Column) -> Column:
+    name = F.substr(m["raw"], F.lit(3), F.length(m["raw"]) - 4)
+    kind = F.when(rank == 100, "privacy").otherwise("endpoint")
+    return F.struct(
+        m["pos"].alias("pos"), (-F.length(m["raw"])).alias("neg_len"), rank.alias("priority"), kind.alias("kind"),
+        name.alias("style"), m["raw"].alias("raw"),
+    )
 
 
 def _empty_token() -> Column:
@@ -91,13 +92,8 @@ def segments(text: Column) -> Column:
         )
 
     def spans_of(t: Column) -> Column:
-        return T.sweep(
-            F.concat(
-                T.candidates(t),
-                T.found(t, t.contains("{{"), TOKEN_MARKER, _marker_span("privacy", 100)),
-                T.found(t, t.contains("_IP}}"), ENDPOINT_MARKER, _marker_span("endpoint", 90)),
-            )
-        )
+        markers = [(t.contains("{{"), TOKEN_MARKER, 100), (t.contains("_IP}}"), ENDPOINT_MARKER, 90)]
+        return T.sweep(F.concat(T.candidates(t), T.found(t, markers, _marker_span)))
 
     return bind(text, lambda t: F.when(t.isNotNull(), bind(spans_of(t), lambda s: cut(t, s))))
 

@@ -47,37 +47,28 @@ BACKTICK = r"(?:^|`)(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d" + _FRACTION + r"(?=`)"
 MARKER = r"(?s)\{\{TIMESTAMP:[^:]*:.*?\}\}"
 MARKER_HEAD = "{{TIMESTAMP:"
 
-# order of the shapes when position and length are equal
-PRIORITY = {
-    "ISO8601": 0, "COMPACT_T": 1, "MONTH_DAY_YEAR": 2, "SYSLOG_YEAR": 3, "APACHE": 4, "SYSLOG": 5, "COMPACT": 6,
-    "YEAR_FIRST_MINUTE": 7, "COMPACT_DATE": 8, "COMPACT_MONTH": 9, "COMPACT_TIME": 10, "DATE": 11, "YEAR_MONTH": 12,
-    "TIME": 13,
-}
-
 SPAN = "struct<pos:int,neg_len:int,priority:int,kind:string,style:string,raw:string>"
 SPANS = f"array<{SPAN}>"
 
 
-def placed(text: Column, pattern: str) -> Column:
-    """``array<struct<pos, raw>>``: matches with their 0-based character position."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    found = matches(text, pattern)
-    steps = F.filter(
-        F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("raw"))),
-        lambda s: s["raw"].isNotNull(),
-    )
+def _placed(between: Column, found: Column) -> Column:
+    """``array<struct<pos, raw>>`` of matches, from the pieces between them."""
+    steps = F.zip_with(F.transform(between, F.length), found, lambda g, m: F.struct(g.alias("gap"), m.alias("raw")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("out"))
-    return F.aggregate(
-        steps,
-        zero,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["raw"])).alias("at"),
-            F.concat(
-                acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("pos"), s["raw"].alias("raw")))
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def step(acc: Column, s: Column) -> Column:
+        pos = acc["at"] + s["gap"]
+        here = F.array(F.struct(pos.alias("pos"), s["raw"].alias("raw")))
+        return F.when(s["raw"].isNull(), acc).otherwise(
+            F.struct((pos + F.length(s["raw"])).alias("at"), F.concat(acc["out"], here).alias("out"))
+        )
+
+    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """``array<struct<pos, raw>>``: matches of a pattern with their 0-based character position."""
+    return _placed(F.split(text, pattern, -1), matches(text, pattern))
 
 
 def _year_first_style(raw: Column) -> Column:
@@ -106,74 +97,83 @@ def _compact_style(raw: Column) -> Column:
     )
 
 
-def _priority(style: Column) -> Column:
-    chain = None
-    for key, rank in PRIORITY.items():
-        chain = F.when(style == key, rank) if chain is None else chain.when(style == key, rank)
-    return chain.otherwise(99)
-
-
-def span(pos: Column, length: Column, priority: Column, kind: str, style: Column, raw: Column) -> Column:
-    """A place in the text. Sorting spans sorts by position, longest first, then priority."""
-    return F.struct(
-        pos.cast("int").alias("pos"),
-        (-length).cast("int").alias("neg_len"),
-        priority.cast("int").alias("priority"),
-        F.lit(kind).alias("kind"),
-        style.alias("style"),
-        raw.alias("raw"),
-    )
-
-
 def none() -> Column:
     return F.array().cast(SPANS)
 
 
-def found(text: Column, guard: Column, pattern: str, to_span) -> Column:
-    """Spans of one pattern; rows that fail the guard pay for the guard only."""
-    return F.when(guard, F.transform(placed(text, pattern), to_span).cast(SPANS)).otherwise(none())
-
-
-def _plain(style_of):
-    def build(m: Column) -> Column:
-        style = style_of(m["raw"])
-        return span(m["pos"], F.length(m["raw"]), _priority(style), "timestamp", style, m["raw"])
-
-    return build
-
-
-def _after_key(m: Column) -> Column:
-    value = F.regexp_extract(m["raw"], AFTER_KEY_VALUE, 1)
-    style = F.when(value.contains(":"), "TIME").otherwise("COMPACT_TIME")
-    pos = m["pos"] + F.length(m["raw"]) - F.length(value)
-    return span(pos, F.length(value), _priority(style), "timestamp", style, value)
-
-
-def _backtick(m: Column) -> Column:
-    value = F.ltrim(m["raw"], F.lit("`"))
-    pos = m["pos"] + F.length(m["raw"]) - F.length(value)
-    return span(pos, F.length(value), F.lit(14), "timestamp", F.lit("TIME"), value)
+# Each family: guard, pattern, priority. Shapes of one family never share a place, so one priority per family is
+# enough; only a six-digit time after a key and a six-digit month can, and the month goes first.
+def _families(text: Column) -> list[tuple[Column, str, int]]:
+    return [
+        (text.contains(MARKER_HEAD), MARKER, -100),
+        (text.rlike(YEAR_FIRST), YEAR_FIRST, 0),
+        (text.rlike(MONTH_NAME), MONTH_NAME, 2),
+        (text.rlike(APACHE), APACHE, 4),
+        (text.rlike(COMPACT), COMPACT, 6),
+        (text.rlike(AFTER_KEY), AFTER_KEY, 10),
+        (text.contains("`") & text.rlike(BACKTICK), BACKTICK, 14),
+    ]
+
+
+def _as_span(family: Column, m: Column) -> Column:
+    """The span of a match: a family may match a key or a delimiter in front of the timestamp."""
+    raw = m["raw"]
+    value = (
+        F.when(family == 10, F.regexp_extract(raw, AFTER_KEY_VALUE, 1))
+        .when(family == 14, F.ltrim(raw, F.lit("`")))
+        .when(family == -100, F.regexp_extract(raw, r"(?s)^\{\{TIMESTAMP:[^:]*:(.*)\}\}$", 1))
+        .otherwise(raw)
+    )
 
+    def build(v: Column) -> Column:
+        style = (
+            F.when(family == 0, _year_first_style(v))
+            .when(family == 2, _month_name_style(v))
+            .when(family == 4, F.lit("APACHE"))
+            .when(family == 6, _compact_style(v))
+            .when(family == -100, F.regexp_extract(raw, r"(?s)^\{\{TIMESTAMP:([^:]*):", 1))
+            .otherwise(F.when(v.contains(":"), "TIME").otherwise("COMPACT_TIME"))
+        )
+        length = F.when(family == -100, F.length(raw)).otherwise(F.length(v))
+        return F.struct(
+            (m["pos"] + F.length(raw) - length).alias("pos"),
+            (-length).alias("neg_len"),
+            family.alias("priority"),
+            F.lit("timestamp").alias("kind"),
+            style.alias("style"),
+            v.alias("raw"),
+        )
 
-def _explicit(m: Column) -> Column:
-    key = F.regexp_extract(m["raw"], r"(?s)^\{\{TIMESTAMP:([^:]*):", 1)
-    value = F.regexp_extract(m["raw"], r"(?s)^\{\{TIMESTAMP:[^:]*:(.*)\}\}$", 1)
-    return span(m["pos"], F.length(m["raw"]), F.lit(-100), "timestamp", key, value)
+    return bind(value, build)
+
+
+def found(text: Column, families: list[tuple[Column, str, int]], to_span) -> Column:
+    """Spans of several patterns. A text that fails a guard pays for that guard only."""
+    hits = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    guard,
+                    F.struct(
+                        F.lit(rank).alias("family"),
+                        F.split(text, pattern, -1).alias("between"),
+                        matches(text, pattern).alias("found"),
+                    ),
+                )
+                for guard, pattern, rank in families
+            ]
+        )
+    )
+    spans = F.transform(
+        hits, lambda h: F.transform(_placed(h["between"], h["found"]), lambda m: to_span(h["family"], m)).cast(SPANS)
+    )
+    return F.flatten(spans)
 
 
 def candidates(text: Column) -> Column:
     """Every timestamp candidate of a text, overlaps included."""
-    known = F.filter(
-        found(text, text.contains(MARKER_HEAD), MARKER, _explicit), lambda s: s["style"].isin(list(V.STYLES))
-    )
-    return F.concat(
-        known,
-        found(text, text.rlike(YEAR_FIRST), YEAR_FIRST, _plain(_year_first_style)),
-        found(text, text.rlike(MONTH_NAME), MONTH_NAME, _plain(_month_name_style)),
-        found(text, text.rlike(COMPACT), COMPACT, _plain(_compact_style)),
-        found(text, text.rlike(APACHE), APACHE, _plain(lambda raw: F.lit("APACHE"))),
-        found(text, text.rlike(AFTER_KEY), AFTER_KEY, _after_key),
-        found(text, text.contains("`") & text.rlike(BACKTICK), BACKTICK, _backtick),
+    return F.filter(
+        found(text, _families(text), _as_span), lambda s: (s["priority"] != -100) | s["style"].isin(list(V.STYLES))
     )
 
 

@@ -141,10 +141,13 @@ def build_programs(
     for ip in (source_ip, destination_ip):
         if not valid_ipv4(ip):
             raise ValueError(f"not an IPv4 address: {ip}")
-    ready = templates if compiled else compile_distinct(templates, **options)
-    # the compiled catalog is read for its count, its time forms and the join: compile it once
+    # number the catalog before the costly step, and compile once: the result is read for its count, its time
+    # forms and the join
+    numbered = number_templates(templates)
     numbered = cut_lineage(
-        number_templates(ready.select("pos", F.col("id").alias("template_id"), "segments", "n_privacy"))
+        (numbered if compiled else compile_distinct(numbered, **options)).select(
+            "ordinal", F.col("id").alias("template_id"), "segments", "n_privacy"
+        )
     )
     n, bad = numbered.agg(
         F.count(F.lit(1)), F.min(F.when(F.col("segments").isNull(), F.col("template_id")))
@@ -164,12 +167,17 @@ def build_programs(
     prerendered = n <= PRERENDER_LIMIT
     table = base
     if prerendered:
-        spread = base.withColumn("profile_idx", F.explode(F.sequence(F.lit(0), F.lit(V.PROFILE_COUNT - 1))))
-        table = spread.select(
+        # a small catalog sits in one partition by now; give every core its share of the printing
+        cores = templates.sparkSession.sparkContext.defaultParallelism
+        turns = base.repartition(cores, "ordinal").withColumn(
+            "profile_idx", F.explode(F.sequence(F.lit(0), F.lit(V.PROFILE_COUNT - 1)))
+        )
+        people = F.broadcast(profiles(templates.sparkSession))  # 50 rows
+        table = turns.join(people, "profile_idx").select(
             (F.col("ordinal") * V.PROFILE_COUNT + F.col("profile_idx")).alias("turn"),
             "template_id",
             "has_privacy",
-            P.with_profile_values(F.col("program"), F.col("profile_idx")).alias("program"),
+            P.with_values(F.col("program")).alias("program"),
         )
     return Programs(table, n, runs, prerendered, numbered, source_ip, destination_ip)
 
@@ -218,9 +226,9 @@ def expand(events: DataFrame, programs: Programs, clock: Clock, seed: int = 0, p
         rows = rows.withColumn("turn", F.col("ordinal") * V.PROFILE_COUNT + F.col("__profile"))
         return print_programs(rows.join(F.broadcast(programs.table), "turn"), programs.runs, clock).select(*result)
     table = F.broadcast(programs.table) if programs.n <= PROGRAM_LIMIT else programs.table
-    joined = rows.join(table, "ordinal").withColumn(
-        "program",
-        F.when(F.col("has_privacy"), P.with_profile_values(F.col("program"), F.col("__profile"))).otherwise(F.col("program")),
+    people = F.broadcast(profiles(events.sparkSession).withColumnRenamed("profile_idx", "__profile"))  # 50 rows
+    joined = rows.join(table, "ordinal").join(people, "__profile").withColumn(
+        "program", F.when(F.col("has_privacy"), P.with_values(F.col("program"))).otherwise(F.col("program"))
     )
     return print_programs(joined, programs.runs, clock).select(*result)
 

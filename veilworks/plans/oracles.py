@@ -46,6 +46,8 @@ def _fields(texts: str) -> str:
 _LINE_FIELDS = "(" + " UNION ALL ".join(
     [f"SELECT '{f}' AS field, n AS occurrences FROM (SELECT count(*) AS n FROM customer)" for f in ("customer_name", "store_cd", "emp_no", "path", "C")]
     + [f"SELECT '{f}' AS field, n AS occurrences FROM (SELECT count(*) AS n FROM events)" for f in ("stime", "user_id", "src_ip", "dst_ip", "remote_ip", "type")]
+    # a hardware address that starts with a letter reads like a field
+    + ["SELECT m AS field, count(*) AS occurrences FROM (SELECT lpad(lower(to_hex(c_custkey % 256)), 2, '0') AS m FROM customer) WHERE m >= 'a' GROUP BY m"]
 ) + ")"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -333,8 +335,8 @@ ORACLES = {
     "catalog_validate": _VALIDATE,
     "catalog_next_id": f"SELECT {_PAD.format('(max(c_custkey) + 1)')} AS next_id FROM customer",
     "catalog_upsert": _UPSERT,
-    "catalog_delete": f"SELECT {L.PART_ID} AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
-    "catalog_select": f"SELECT {L.PART_ID} AS id, p_name AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')",
+    "catalog_delete": f"SELECT {L.PART_ID} AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40)",
+    "catalog_select": f"SELECT {L.PART_ID} AS id, p_name AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 10)",
     "catalog_unknown_ids": f"SELECT {_PAD.format('(c_custkey + 1000)')} AS id FROM customer WHERE c_custkey + 1000 NOT IN (SELECT p_partkey FROM part)",
     "catalog_roundtrip": f"SELECT p_partkey AS pos, {L.PART_ID} AS id, p_name AS name, {L.PART_TOKENIZED} AS sample, p_brand AS source, 'FILE_PATH' AS tokens, {_PART_MAPPED} AS mapped FROM part",
     "restore_mapped_values": f"SELECT {L.PART_ID} AS id, replace({L.PART_SAMPLE}, '{{{{FILE_PATH}}}}', '/var/log/' || p_type || '/20240305__x.json') AS restored FROM part",

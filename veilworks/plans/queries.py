@@ -269,13 +269,13 @@ def catalog_upsert(spark, sf):
 
 def catalog_delete(spark, sf):
     """Parts that some line item returned leave the catalog."""
-    gone = read_table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(C.padded_id(F.col("l_partkey")).alias("id"))
+    gone = read_table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40)).select(C.padded_id(F.col("l_partkey")).alias("id"))
     return C.list_catalog(C.delete(L.part_templates(spark, sf), gone))
 
 
 def catalog_select(spark, sf):
     """Parts requested by line items, in catalog order (semi join)."""
-    wanted = read_table(spark, sf, "lineitem").where(F.col("l_returnflag") == "A").select(C.padded_id(F.col("l_partkey")).alias("id"))
+    wanted = read_table(spark, sf, "lineitem").where((F.col("l_returnflag") == "A") & (F.col("l_quantity") < 10)).select(C.padded_id(F.col("l_partkey")).alias("id"))
     return C.list_catalog(C.select_templates(L.part_templates(spark, sf), wanted))
 
 
