@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 # ASCII word class and boundary. Java's \b also counts non-ASCII letters as word characters, so a number
 # directly after a Hangul syllable would not start at a boundary; these forms do not have that problem.
-WORD = "[0-9A-Za-z_]"
+WORD = r"\w"  # ASCII letters, digits and _; one table look-up, unlike a union of ranges
+# White space, to be used inside character classes: single characters make a bit set, \s would not.
+SPACE = r" \t\n\x0B\f\r"
 NOT_AFTER_WORD = f"(?<!{WORD})"
 NOT_BEFORE_WORD = f"(?!{WORD})"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"

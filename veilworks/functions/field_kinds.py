@@ -6,6 +6,7 @@ the SQL text used by the checks.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -53,31 +54,75 @@ DEFAULT_RULES = [
 ]
 
 
+def _words(words: list[str]) -> str:
+    """One pattern for "contains any of": words share their beginnings, and a word that another one starts
+    with stands for both."""
+    if "" in words:
+        return ""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    parts = [first + _words(rest) for first, rest in by_first.items()]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def _regex(rule: FieldRule) -> str:
     parts = [f"^(?:{'|'.join(rule.names)})$"] if rule.names else []
     if rule.words:
-        parts.append("|".join(rule.words))
+        parts.append(_words(rule.words))
     if rule.pattern:
         parts.append(rule.pattern)
     return "|".join(parts)
 
 
+def _any_rule(rules: list[FieldRule]) -> str:
+    """What a name must contain for any rule with a kind to apply: one test that most names fail."""
+    named = [r for r in rules if r.kind]
+    words = [w for r in named for w in r.words] + [r.word_without[0] for r in named if r.word_without]
+    names = [n for r in named for n in r.names]
+    parts = [_words(words)] if words else []
+    parts += [f"^(?:{'|'.join(names)})$"] if names else []
+    return "|".join(parts + [r.pattern for r in named if r.pattern])
+
+
+def _decide(name: str, rules: list[FieldRule]) -> str | None:
+    """The rules applied to one name, here, to prepare the table of common names."""
+    for r in rules:
+        hit = name in r.names or any(w in name for w in r.words) or bool(r.pattern and re.search(r.pattern, name))
+        if r.word_without:
+            hit = hit or (r.word_without[0] in name and r.word_without[1] not in name)
+        if hit and name != r.unless:
+            return r.kind
+    return None
+
+
+def _common_names(rules: list[FieldRule]) -> dict[str | None, list[str]]:
+    """Names that a rule spells out, with their kind: found by hash before any pattern is tried."""
+    out: dict[str | None, list[str]] = {}
+    for name in dict.fromkeys(n for r in rules for n in r.names + r.words):
+        out.setdefault(_decide(name, rules), []).append(name)
+    return out
+
+
 def normalize(name: Column) -> Column:
     return F.lower(F.translate(name, "-.", "__"))
 
 
 def kind_of(normalized: Column, rules: list[FieldRule] | None = None) -> Column:
     """Kind of a normalised field name, NULL for none."""
-    chain = None
-    for rule in rules or DEFAULT_RULES:
+    rules = rules or DEFAULT_RULES
+    chain = F.when(normalized.isNull(), F.lit(None).cast("string"))
+    for kind, names in _common_names(rules).items():
+        chain = chain.when(normalized.isin(names), F.lit(kind))
+    chain = chain.when(~normalized.rlike(_any_rule(rules)), F.lit(None))
+    for rule in rules:
         test = normalized.rlike(_regex(rule))
         if rule.word_without:
             word, without = rule.word_without
             test = test | (normalized.contains(word) & ~normalized.contains(without))
         if rule.unless:
             test = test & (normalized != rule.unless)
-        value = F.lit(rule.kind)
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
+        chain = chain.when(test, F.lit(rule.kind))
     return chain
 
 

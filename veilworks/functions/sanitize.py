@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .columns import BOUNDARY, NOT_AFTER_WORD, NOT_BEFORE_WORD, any_of, bind, replace_when
+from .columns import BOUNDARY, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, any_of, bind, replace_when
 from .field_kinds import FieldRule
 from .fields import mask_fields
 
@@ -14,11 +14,11 @@ EMAIL = (
     BOUNDARY + r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+" + BOUNDARY
 )
 PHONE = (
-    r"(?:\+82[- ]?0?1[016789]|" + NOT_AFTER_WORD + r"01[016789])[- ]?\d{3,4}[- ]?\d{4}" + NOT_BEFORE_WORD
+    r"(?:\+82[- ]?0?1[016789]|01(?<!\w01)[016789])[- ]?\d{3,4}[- ]?\d{4}" + NOT_BEFORE_WORD
 )
 RESIDENT = NOT_AFTER_WORD + r"\d{6}[- ]?[1-8]\d{6}" + NOT_BEFORE_WORD
 MAC = NOT_AFTER_WORD + r"(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}" + NOT_BEFORE_WORD
-USER_DIR = r"(?i)(" + NOT_AFTER_WORD + r"[a-z]:\\Users\\)[^\\\s]+"
+USER_DIR = r"(?i)(" + NOT_AFTER_WORD + r"[a-z]:\\Users\\)[^\\" + SPACE + r"]+"
 CODE_FIELD_STORE = (
     r"(?i)(" + NOT_AFTER_WORD + r"(?:" + any_of(V.STORE_CODE_WORDS) + r")\s*[:=]\s*[\"']?)\{\{STORE\}\}"
 )
@@ -28,7 +28,7 @@ IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 
 
 def _endpoint_field(names: list[str]) -> str:
-    return r"(?i)((?:^|[\s,;|{])[\"']?(?:" + any_of(names) + r")[\"']?\s*[:=]\s*[\"']?)" + IP
+    return r"(?i)((?:^|[" + SPACE + r",;|{])[\"']?(?:" + any_of(names) + r")[\"']?\s*[:=]\s*[\"']?)" + IP
 
 
 SOURCE_FIELD = _endpoint_field(V.SOURCE_FIELDS)
@@ -59,13 +59,13 @@ def sanitize(
     out = text
     for needle, replacement in company_literals or []:
         out = F.regexp_replace(out, f"(?i){needle}", replacement)
-    out = replace_when(out, lambda t: t.rlike(r"(?i)\{\{STORE\}\}"), CODE_FIELD_STORE, "$1{{STORE_CODE}}")
+    out = replace_when(out, lambda t: t.contains("{{"), CODE_FIELD_STORE, "$1{{STORE_CODE}}")
     out = replace_when(out, lambda t: t.contains("{{MAC_ADDRESS}}"), PARTIAL_MAC, "$1{{MAC_ADDRESS}}")
     out = mask_fields(out, rules, nested)
     out = replace_when(out, lambda t: t.contains("@"), EMAIL, "{{EMAIL}}")
     out = replace_when(out, lambda t: t.contains("01") | t.contains("+82"), PHONE, "{{PHONE}}")
     out = replace_when(out, lambda t: t.rlike(r"\d{6}"), RESIDENT, "{{IDENTIFIER}}")
-    out = replace_when(out, lambda t: t.rlike(r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]"), MAC, "{{MAC_ADDRESS}}")
+    out = replace_when(out, lambda t: t.rlike(r"[0-9A-Fa-f][:-][0-9A-Fa-f]{2}[:-]"), MAC, "{{MAC_ADDRESS}}")
     out = replace_when(out, lambda t: t.contains(":\\"), USER_DIR, "$1TestUser")
     return _escape_controls(out)
 

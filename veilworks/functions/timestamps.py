@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from . import fixed as V
 from .columns import NOT_AFTER_WORD, NOT_BEFORE_WORD, bind, matches
 
-_YM = r"(?:19|20)\d{2}[-/](?:0[1-9]|1[0-2])"
+# what may not come before is looked at after the first digits: most places fail on those
+_YM = r"(?:19|20)(?<!\w\d\d)\d{2}[-/](?:0[1-9]|1[0-2])"
 _DD = r"(?:0[1-9]|[12]\d|3[01])"
 _HM = r"(?:[01]?\d|2[0-3]):[0-5]\d"
 _ZONE = r"(?:Z|[+-]\d{2}:?\d{2})?"
@@ -22,31 +23,34 @@ _CLOCK = r"\d{2}:\d{2}:\d{2}"
 _KEY_SEP = r"[\"']?\s*[:=]\s*[\"']?"
 
 YEAR_FIRST = (
-    NOT_AFTER_WORD + _YM + r"(?:[-/]" + _DD + r"[T ]" + _HM + r":[0-5]\d" + _FRACTION + _ZONE
+    _YM + r"(?:[-/]" + _DD + r"[T ]" + _HM + r":[0-5]\d" + _FRACTION + _ZONE
     + r"|[-/]" + _DD + r"[ T]" + _HM + r"(?!:)"
     + r"|[-/]" + _DD + NOT_BEFORE_WORD + r"|" + NOT_BEFORE_WORD + r")"
 )
 MONTH_NAME = (
-    NOT_AFTER_WORD + r"(?:[A-Z][a-z]{2}\s+)?[A-Z][a-z]{2}\s+\d{1,2}\s+(?:"
+    r"(?=[A-Z])" + NOT_AFTER_WORD + r"(?:[A-Z][a-z]{2}\s+)?[A-Z][a-z]{2}\s+\d{1,2}\s+(?:"
     + r"\d{4}\s+" + _CLOCK + r"(?:\s+(?:GMT|UTC))?" + NOT_BEFORE_WORD
     + r"|" + _CLOCK + r"\s+\d{4}" + NOT_BEFORE_WORD
     + r"|" + _CLOCK + NOT_BEFORE_WORD + r")"
 )
 COMPACT = (
-    r"(?<![0-9])(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:"
+    r"(?:19|20)(?<!\d\d\d)\d{2}(?:0[1-9]|1[0-2])(?:"
     + _DD + r"T\d{6}" + _FRACTION + _ZONE + r"(?![0-9])"
     + r"|" + _DD + r"\d{6}(?![0-9])|" + _DD + r"(?![0-9])|(?=_))"
 )
-APACHE = NOT_AFTER_WORD + r"\d{1,2}/[A-Z][a-z]{2}/\d{4}:" + _CLOCK + r"\s+[+-]\d{4}" + NOT_BEFORE_WORD
+APACHE = r"(?=\d)" + NOT_AFTER_WORD + r"\d{1,2}/[A-Z][a-z]{2}/\d{4}:" + _CLOCK + r"\s+[+-]\d{4}" + NOT_BEFORE_WORD
 AFTER_KEY = (
     r"(?i)" + NOT_AFTER_WORD + r"(?:time" + _KEY_SEP + r"(?:\d{6}(?!\d)|" + _HM + r":[0-5]\d" + _FRACTION + r")"
-    + r"|[A-Za-z0-9_]*hms" + _KEY_SEP + r"\d{6}(?!\d))"
+    + r"|\w*hms" + _KEY_SEP + r"\d{6}(?!\d))"
 )
 AFTER_KEY_VALUE = r"(\d{6}|\d{1,2}:\d{2}:\d{2}(?:\.\d+)?)$"
 BACKTICK = r"(?:^|`)(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d" + _FRACTION + r"(?=`)"
 MARKER = r"(?s)\{\{TIMESTAMP:[^:]*:.*?\}\}"
 MARKER_HEAD = "{{TIMESTAMP:"
 
+# no shape matches a text without one of these
+ANY_TIME = r"\d:\d\d:\d\d|(?:19|20)\d\d[-/01]|\d{6}"
+
 SPAN = "struct<pos:int,neg_len:int,priority:int,kind:string,style:string,raw:string>"
 SPANS = f"array<{SPAN}>"
 
@@ -107,10 +111,10 @@ def _families(text: Column) -> list[tuple[Column, str, int]]:
     return [
         (text.contains(MARKER_HEAD), MARKER, -100),
         (text.rlike(YEAR_FIRST), YEAR_FIRST, 0),
-        (text.rlike(MONTH_NAME), MONTH_NAME, 2),
-        (text.rlike(APACHE), APACHE, 4),
+        (text.rlike(r"[A-Z][a-z][a-z]\s+\d") & text.rlike(MONTH_NAME), MONTH_NAME, 2),
+        (text.contains("/") & text.rlike(APACHE), APACHE, 4),
         (text.rlike(COMPACT), COMPACT, 6),
-        (text.rlike(AFTER_KEY), AFTER_KEY, 10),
+        (text.rlike(r"(?i)(?:time|hms)[\"']?\s*[:=]") & text.rlike(AFTER_KEY), AFTER_KEY, 10),
         (text.contains("`") & text.rlike(BACKTICK), BACKTICK, 14),
     ]
 
@@ -170,11 +174,16 @@ def found(text: Column, families: list[tuple[Column, str, int]], to_span) -> Col
     return F.flatten(spans)
 
 
+def may_hold_time(text: Column) -> Column:
+    return text.rlike(ANY_TIME) | text.contains(MARKER_HEAD)
+
+
 def candidates(text: Column) -> Column:
     """Every timestamp candidate of a text, overlaps included."""
-    return F.filter(
+    every = F.filter(
         found(text, _families(text), _as_span), lambda s: (s["priority"] != -100) | s["style"].isin(list(V.STYLES))
     )
+    return F.when(may_hold_time(text), every).otherwise(none())
 
 
 def sweep(spans: Column) -> Column:
@@ -227,7 +236,7 @@ def mark(text: Column) -> Column:
             sweep(candidates(t)), lambda spans: F.when(F.size(spans) == 0, t).otherwise(splice(t, spans, wrapped))
         )
 
-    return bind(text, lambda t: F.when(t.rlike("[0-9]"), marked(t)).otherwise(t))
+    return bind(text, lambda t: F.when(may_hold_time(t), marked(t)).otherwise(t))
 
 
 # ----------------------------------------------------------------------------------------------------
@@ -363,7 +372,11 @@ def rebased(text: Column, instant: Column, calendar: bool = False, local_tz: str
     def moved(t: Column) -> Column:
         return bind(
             sweep(candidates(t)),
-            lambda spans: splice(t, spans, lambda s: printed(token(s["style"], s["raw"]), instant, calendar, local_tz)),
+            lambda spans: splice(
+                t,
+                spans,
+                lambda s: bind(token(s["style"], s["raw"]), lambda tok: printed(tok, instant, calendar, local_tz)),
+            ),
         )
 
-    return bind(text, lambda t: F.when(t.rlike("[0-9]"), moved(t)).otherwise(t))
+    return bind(text, lambda t: F.when(may_hold_time(t), moved(t)).otherwise(t))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.columns import BOUNDARY, NOT_AFTER_WORD, NOT_BEFORE_WORD, any_of, bind, count_of, marker, matches
 from ..functions.field_kinds import FieldRule, kind_of, normalize
-from ..functions.fields import PAIR, PAIR_NESTED, pairs
+from ..functions.fields import may_hold_pair, pair_pattern, pairs
 from ..functions.sanitize import CODE_FIELD_STORE, CONTROLS, mask_endpoints, sanitize
 from ..functions.templates import TOKEN_MARKER, kind_bit, tokenize
 from ..functions.timestamps import placed
@@ -17,8 +17,8 @@ from .dimensions import profile_attribute
 
 def extract_fields(df: DataFrame, key: str, text: str, nested: bool = False) -> DataFrame:
     """``(key, field_no, pos, field, value, quoted)`` for every pair of every text; no shuffle."""
-    pattern = PAIR_NESTED if nested else PAIR
-    holding = df.where(F.col(text).rlike(pattern))
+    pattern = pair_pattern(nested)
+    holding = df.where(may_hold_pair(F.col(text)))
     both = F.arrays_zip(pairs(F.col(text), nested).alias("pair"), placed(F.col(text), pattern).alias("place"))
     rows = holding.select(key, F.posexplode(both).alias("field_no", "p"))
     return rows.select(
