@@ -55,5 +55,10 @@ def count_of(text: Column, literal: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, literal, F.lit("")))) / F.length(literal)).cast("int")
 
 
+def int_div(value: Column, by: int) -> Column:
+    """Exact integer quotient (``/`` goes through doubles, which end at 2**53)."""
+    return F.call_function("div", value, F.lit(by))
+
+
 def any_of(words: list[str]) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)

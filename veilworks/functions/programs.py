@@ -82,7 +82,20 @@ def program(segs: Column, source_ip: str, destination_ip: str, calendar: bool) -
 
 
 def runs_in(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
+    return F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+
+
+def cut(program: Column, runs: list[str], slots: int) -> list[Column]:
+    """The program as columns ``lit_0, run_1, lit_1, ..., run_slots, lit_slots``; a run is its number or -1."""
+    literals = F.split(program, RUN, -1)
+    numbers = F.transform(
+        runs_in(program), lambda r: (F.array_position(F.array(*[F.lit(x) for x in runs]), r) - 1).cast("int")
+    ) if runs else F.array().cast("array<int>")
+    out = [F.get(literals, F.lit(0)).alias("lit_0")]
+    for i in range(1, slots + 1):
+        out.append(F.coalesce(F.get(numbers, F.lit(i - 1)), F.lit(-1)).alias(f"run_{i}"))
+        out.append(F.coalesce(F.get(literals, F.lit(i)), F.lit("")).alias(f"lit_{i}"))
+    return out
 
 
 def zone_of(run: str) -> str:
@@ -90,33 +103,23 @@ def zone_of(run: str) -> str:
     return found.group(1) if found else ""
 
 
-def digits_pattern(runs: list[str]) -> str:
-    """The formatter pattern that yields all fields the runs need, in the layout ``run_text`` cuts."""
-    used = set("".join(runs))
-    fraction = bool(used & set(FRACTION[1:]))
-    names = bool(used & {MONTH_NAME, WEEKDAY})
-    return "yyyyMMddHHmmss" + ("SSSSSS" if fraction or names else "") + ("MMMEEE" if names else "")
-
-
-def run_text(run: str, digits: Column) -> Column:
-    """A run printed from the formatted digits."""
-    hour = F.substring(digits, 9, 2)
-    field = {
-        YEAR: F.substring(digits, 1, 4),
-        MONTH: F.substring(digits, 5, 2),
-        DAY: F.substring(digits, 7, 2),
-        HOUR: hour,
-        SHORT_HOUR: F.when(hour.startswith("0"), F.substring(digits, 10, 1)).otherwise(hour),
-        MINUTE: F.substring(digits, 11, 2),
-        SECOND: F.substring(digits, 13, 2),
-        MONTH_NAME: F.substring(digits, 21, 3),
-        WEEKDAY: F.substring(digits, 24, 3),
-    }
-    for n in range(1, 10):
-        kept = F.substring(digits, 15, min(n, 6))
-        field[FRACTION[n]] = F.concat(F.lit("."), kept, F.lit("0" * max(0, n - 6)))
+_LETTERS = {
+    YEAR: "yyyy", MONTH: "MM", DAY: "dd", HOUR: "HH", SHORT_HOUR: "H", MINUTE: "mm", SECOND: "ss", MONTH_NAME: "MMM", WEEKDAY: "EEE",
+}
+
+
+def run_pattern(run: str) -> str:
+    """The run as a formatter pattern; a constant, so the formatter is made once per task."""
     body = re.sub(rf"^{ZONE_OPEN}[^{ZONE_CLOSE}]*{ZONE_CLOSE}", "", run)
-    return F.concat(*[field.get(c, F.lit(c)) for c in body])
+    out = ""
+    for c in body:
+        if c in _LETTERS:
+            out += _LETTERS[c]
+        elif c in FRACTION[1:]:
+            out += "'.'" + "S" * FRACTION.index(c)
+        else:
+            out += "''" if c == "'" else f"'{c}'"
+    return out
 
 
 def with_values(text: Column) -> Column:

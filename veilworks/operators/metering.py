@@ -53,7 +53,7 @@ def throughput_summary(samples: DataFrame, by: list[str], time: str, lanes: bool
 
 def ticks(events: DataFrame, run: str, time: str, step_ms: int = 200) -> DataFrame:
     """Events per (run, step): combined before the shuffle; a run has one row per active step however busy it is."""
-    tick = F.floor(F.unix_millis(time) / step_ms).cast("long")
+    tick = F.floor(F.unix_millis(time) / step_ms)
     return events.groupBy(run, tick.alias("tick")).agg(F.count(F.lit(1)).alias("events"))
 
 

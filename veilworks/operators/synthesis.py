@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import programs as P
+from ..functions.columns import int_div
 from ..functions.templates import rendered
 from ..session import cut_lineage, use_utc
 from .catalog import compile_distinct
@@ -22,6 +23,7 @@ EVENTS_PER_TASK = 4_000_000
 PRERENDER_LIMIT = 2_000  # templates; times 50 identities
 PROGRAM_LIMIT = 100_000  # templates that are broadcast
 RUN_LIMIT = 48
+SLOT_LIMIT = 64  # timestamps per template x distinct runs that are unrolled into generated code
 
 
 def valid_ipv4(text: str) -> bool:
@@ -82,9 +84,8 @@ def event_time(idx: Column, clock: Clock) -> Column:
     base = _epoch(clock.run_at or datetime.now(timezone.utc)) + clock.offset_minutes * 60
     if not clock.rate:
         return F.timestamp_seconds(F.lit(base))
-    micros = (F.lit(1_000_000) * F.pmod(idx, F.lit(clock.rate)) / clock.rate).cast("long")
-    # exact integer division: idx - idx mod rate is a multiple of the rate
-    whole = F.lit(base) + ((idx - F.pmod(idx, F.lit(clock.rate))) / clock.rate).cast("long")
+    micros = int_div(F.lit(1_000_000) * F.pmod(idx, F.lit(clock.rate)), clock.rate)
+    whole = F.lit(base) + int_div(idx, clock.rate)
     return F.timestamp_micros(whole * 1_000_000 + micros)
 
 
@@ -118,7 +119,7 @@ def event_sequence(spark: SparkSession, n: int, lanes: int = 1) -> DataFrame:
     return spark.range(0, n, 1, tasks).select(
         F.col("id").alias("event_idx"),
         F.pmod("id", F.lit(lanes)).alias("lane"),
-        F.floor(F.col("id") / lanes).cast("long").alias("seq"),
+        int_div(F.col("id"), lanes).alias("seq"),
     )
 
 
@@ -126,9 +127,10 @@ def event_sequence(spark: SparkSession, n: int, lanes: int = 1) -> DataFrame:
 class Programs:
     """Compiled templates, ready to join on ``event_idx``."""
 
-    table: DataFrame  # ordinal[, profile_idx], template_id, has_privacy, program
+    table: DataFrame  # turn or ordinal, template_id, has_privacy, and the program as slots or as one string
     n: int
     runs: list[str]
+    slots: int | None  # most timestamps in one template, when programs are cut at them
     prerendered: bool
     source: DataFrame  # ordinal, template_id, segments: for catalogs that cannot be expressed as programs
     source_ip: str = V.SOURCE_IP
@@ -162,46 +164,66 @@ def build_programs(
         (F.col("n_privacy") > 0).alias("has_privacy"),
         P.program(F.col("segments"), source_ip, destination_ip, clock.calendar).alias("program"),
     )
-    found = base.select(F.explode(P.runs_in(F.col("program"))).alias("run")).distinct().limit(RUN_LIMIT + 1).collect()
+    in_program = P.runs_in(F.col("program"))
+    found = (
+        base.select(F.explode(in_program).alias("run"), F.size(in_program).alias("k"))
+        .groupBy("run").agg(F.max("k").alias("k")).limit(RUN_LIMIT + 1).collect()
+    )
     runs = sorted((r["run"] for r in found), key=lambda r: (-len(r), r))
+    most = max((r["k"] for r in found), default=0)
     prerendered = n <= PRERENDER_LIMIT
-    table = base
-    if prerendered:
-        # a small catalog sits in one partition by now; give every core its share of the printing
-        cores = templates.sparkSession.sparkContext.defaultParallelism
-        turns = base.repartition(cores, "ordinal").withColumn(
-            "profile_idx", F.explode(F.sequence(F.lit(0), F.lit(V.PROFILE_COUNT - 1)))
-        )
-        people = F.broadcast(profiles(templates.sparkSession))  # 50 rows
-        table = turns.join(people, "profile_idx").select(
-            (F.col("ordinal") * V.PROFILE_COUNT + F.col("profile_idx")).alias("turn"),
-            "template_id",
-            "has_privacy",
-            P.with_values(F.col("program")).alias("program"),
-        )
-    return Programs(table, n, runs, prerendered, numbered, source_ip, destination_ip)
+    if not prerendered:
+        return Programs(base, n, runs, None, False, numbered, source_ip, destination_ip)
+    # a small catalog sits in one partition by now; give every core its share of the printing
+    cores = templates.sparkSession.sparkContext.defaultParallelism
+    turns = base.repartition(cores, "ordinal").withColumn(
+        "profile_idx", F.explode(F.sequence(F.lit(0), F.lit(V.PROFILE_COUNT - 1)))
+    )
+    people = F.broadcast(profiles(templates.sparkSession))  # 50 rows
+    slots = most if most * len(runs) <= SLOT_LIMIT else None
+    program = P.with_values(F.col("program"))
+    body = [program.alias("program")] if slots is None else P.cut(program, runs, slots)
+    turn = F.col("ordinal") * V.PROFILE_COUNT + F.col("profile_idx")
+    table = turns.join(people, "profile_idx").select(turn.alias("turn"), "template_id", "has_privacy", *body)
+    return Programs(table, n, runs, slots, True, numbered, source_ip, destination_ip)
+
+
+def _run_text(run: str, clock: Clock) -> Column:
+    """The event time printed as a run, in the zone the run was written for."""
+    t, zone = F.col("event_time"), P.zone_of(run)
+    if zone == P.LOCAL:
+        t = F.from_utc_timestamp(t, clock.local_tz)
+    elif zone not in ("", "0"):
+        t = t + F.make_dt_interval(mins=F.lit(int(zone)))
+    return F.date_format(t, P.run_pattern(run))
+
+
+def print_slots(joined: DataFrame, programs: Programs, clock: Clock) -> DataFrame:
+    """Literal, time, literal, time, ...: one concatenation in generated code, nothing is searched."""
+    texts = [_run_text(r, clock) for r in programs.runs]
+
+    def shown(slot: int) -> Column:
+        chain = None
+        for i, text in enumerate(texts):
+            test = F.col(f"run_{slot}") == i
+            chain = F.when(test, text) if chain is None else chain.when(test, text)
+        return chain.otherwise("")
+
+    parts = [F.col("lit_0")]
+    for slot in range(1, programs.slots + 1):
+        parts += [shown(slot), F.col(f"lit_{slot}")]
+    return joined.withColumn("body", F.concat(*parts))
 
 
 def print_programs(joined: DataFrame, runs: list[str], clock: Clock) -> DataFrame:
     """Replace the runs of ``program`` by the event time. Stays in generated code."""
-    zones = sorted({P.zone_of(r) for r in runs})
-    pattern = P.digits_pattern(runs)
-    columns = {}
-    for i, zone in enumerate(zones):
-        t = F.col("event_time")
-        if zone == P.LOCAL:
-            t = F.from_utc_timestamp(t, clock.local_tz)
-        elif zone not in ("", "0"):
-            t = t + F.make_dt_interval(mins=F.lit(int(zone)))
-        columns[zone] = f"__digits{i}"
-        joined = joined.withColumn(columns[zone], F.date_format(t, pattern))
     body = "program"
     for i, run in enumerate(runs):  # longest first: a short run may be part of a longer one
         now = f"__body{i}"
         joined = joined.withColumn(
             now,
             F.when(
-                F.col(body).contains(run), F.replace(F.col(body), F.lit(run), P.run_text(run, F.col(columns[P.zone_of(run)])))
+                F.col(body).contains(run), F.replace(F.col(body), F.lit(run), _run_text(run, clock))
             ).otherwise(F.col(body)),
         )
         body = now
@@ -224,7 +246,10 @@ def expand(events: DataFrame, programs: Programs, clock: Clock, seed: int = 0, p
         return _expand_segments(rows, programs, clock, keep)
     if programs.prerendered:
         rows = rows.withColumn("turn", F.col("ordinal") * V.PROFILE_COUNT + F.col("__profile"))
-        return print_programs(rows.join(F.broadcast(programs.table), "turn"), programs.runs, clock).select(*result)
+        joined = rows.join(F.broadcast(programs.table), "turn")
+        if programs.slots is not None:
+            return print_slots(joined, programs, clock).select(*result)
+        return print_programs(joined, programs.runs, clock).select(*result)
     table = F.broadcast(programs.table) if programs.n <= PROGRAM_LIMIT else programs.table
     people = F.broadcast(profiles(events.sparkSession).withColumnRenamed("profile_idx", "__profile"))  # 50 rows
     joined = rows.join(table, "ordinal").join(people, "__profile").withColumn(

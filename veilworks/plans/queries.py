@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timestamps as T
 from ..functions import fixed as V
+from ..functions.columns import int_div
 from ..functions.framing import newline_framed_size, octet_framed_size
 from ..functions.templates import kind_bit
 from ..operators import catalog as C
@@ -464,7 +465,7 @@ def _sized_lines(spark, sf, lanes: int = 3):
     """Event lines in lanes: lane w takes w, w + lanes, ..."""
     e = L.log_lines(spark, sf)
     return e.select(
-        F.pmod("row_id", F.lit(lanes)).alias("lane"), ((F.col("row_id") - F.pmod("row_id", F.lit(lanes))) / lanes).cast("long").alias("seq"),
+        F.pmod("row_id", F.lit(lanes)).alias("lane"), int_div(F.col("row_id"), lanes).alias("seq"),
         newline_framed_size(F.col("line")).alias("bytes"),
     )
 

@@ -37,7 +37,7 @@ def free_indexes(events: DataFrame, taken: DataFrame, idx: str = "event_idx") ->
     )
     pushed = prefix_sums(marks, "o", {"push": F.col("push")}).where("o % 2 = 1")
     return events.join(
-        pushed.select(((F.col("o") - 1) / 2).cast("long").alias(idx), "push_before"), idx
+        pushed.select(F.shiftright("o", 1).alias(idx), "push_before"), idx
     ).withColumn("file_index", F.col(idx) + F.col("push_before")).drop("push_before")
 
 
