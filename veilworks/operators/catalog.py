@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_of
 from ..functions.templates import analysis, restored, segments, tokenize
+from ..sources.tables import spread
 from .deid import dictionary_terms
 from .ordering import dense_index
 
@@ -174,13 +175,13 @@ def compile_distinct(templates: DataFrame, **options) -> DataFrame:
     once = keyed.groupBy("fp").agg(
         F.any_value("sample").alias("sample"), F.any_value("test_case").alias("test_case")
     )
-    tokenized = tokenize_table(once, **options).withColumn(
+    tokenized = tokenize_table(spread(once, "fp"), **options).withColumn(
         "compiled_fp", fingerprint(F.col("sample"), F.col("test_case"))
     )
     distinct = tokenized.groupBy("compiled_fp").agg(
         F.any_value("sample").alias("sample"), F.any_value("test_case").alias("test_case")
     )
-    built = distinct.withColumn("segments", segments(restored(F.col("sample"), F.col("test_case"), **options)))
+    built = spread(distinct, "compiled_fp").withColumn("segments", segments(restored(F.col("sample"), F.col("test_case"), **options)))
     built = built.select("*", *[c.alias(n) for n, c in analysis(F.col("segments")).items()])
     links = keyed.drop("sample", "test_case").join(tokenized.select("fp", "compiled_fp"), "fp")
     return links.drop("fp").join(built, "compiled_fp")
