@@ -451,7 +451,9 @@ def test_synthesize_stream(spark, catalog):
     out = J.synthesize_stream(ids.select(F.col("value").alias("event_idx")), catalog, RANGE)
     query = out.writeStream.format("memory").queryName("synth").trigger(processingTime="0 seconds").start()
     try:
-        while query.recentProgress is not None and spark.table("synth").count() < 42:
+        for _ in range(60):
+            if spark.table("synth").count() >= 42:
+                break
             query.awaitTermination(1)
     finally:
         query.stop()

@@ -244,10 +244,8 @@ def with_search_text(templates: DataFrame) -> DataFrame:
         )
     )
     terms = dictionary_terms(templates, "kind_mask") if "kind_mask" in templates.columns else F.lit("")
-    text = F.concat(
-        F.concat_ws(" ", F.col("name"), F.col("source"), F.col("sample"), F.array_join(mapped, " ")),
-        F.when(terms != "", F.concat(F.lit(" "), terms)).otherwise(""),
-    )
+    # an empty last part adds no separator
+    text = F.concat_ws(" ", F.concat_ws(" ", "name", "source", "sample", F.array_join(mapped, " ")), F.nullif(terms, F.lit("")))
     return templates.withColumn("search_text", lower_ascii(text)).withColumn("preview", preview(F.col("sample")))
 
 

@@ -167,10 +167,12 @@ def mapped_path_mismatches(templates: DataFrame, token: str = "FILE_PATH") -> Da
 
 def dictionary_terms(df: DataFrame, mask: str) -> Column:
     """Search vocabulary of all kinds in a bit mask, in kind order."""
-    terms = [
-        F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, F.lit(V.SEARCH_TERMS[k])) for i, k in enumerate(V.KINDS)
-    ]
-    return F.concat_ws(" ", *terms)
+    return bind(
+        F.col(mask),  # named once: a pushed-down filter repeats what computes it for every mention
+        lambda m: F.concat_ws(
+            " ", *[F.when(m.bitwiseAND(F.lit(1 << i)) != 0, F.lit(V.SEARCH_TERMS[k])) for i, k in enumerate(V.KINDS)]
+        ),
+    )
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -216,18 +216,11 @@ def print_slots(joined: DataFrame, programs: Programs, clock: Clock) -> DataFram
 
 
 def print_programs(joined: DataFrame, runs: list[str], clock: Clock) -> DataFrame:
-    """Replace the runs of ``program`` by the event time. Stays in generated code."""
-    body = "program"
-    for i, run in enumerate(runs):  # longest first: a short run may be part of a longer one
-        now = f"__body{i}"
-        joined = joined.withColumn(
-            now,
-            F.when(
-                F.col(body).contains(run), F.replace(F.col(body), F.lit(run), _run_text(run, clock))
-            ).otherwise(F.col(body)),
-        )
-        body = now
-    return joined.withColumn("body", F.col(body))
+    """Replace the runs of ``program`` by the event time, for programs that are not cut into slots."""
+    body = F.col("program")
+    for run in runs:  # longest first: a short run may be part of a longer one
+        body = F.replace(body, F.lit(run), _run_text(run, clock))
+    return joined.withColumn("body", body)
 
 
 def expand(events: DataFrame, programs: Programs, clock: Clock, seed: int = 0, profile: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 
 # style -> (text before, date_format pattern, strftime pattern, text after)
 STAMPS = [
@@ -33,7 +33,7 @@ STAMPS = [
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``(row_id, source, ts, line)``: one key=value line per event."""
-    e = read_table(spark, sf, "events")
+    e = spread(read_table(spark, sf, "events").select("event_id", "event_type", "ts", "user_id"), "event_id")
     return e.select(
         F.col("event_id").alias("row_id"),
         F.col("event_type").alias("source"),
@@ -80,7 +80,7 @@ LOG_TOKENIZED = _log_parts(
 
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``(row_id, source, style, t, line)``: the order date in one of the sixteen styles."""
-    o = read_table(spark, sf, "orders")
+    o = spread(read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderkey")
     t = (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey") * 7919 % 86400)).cast("timestamp")
     o = o.select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("source"), t.alias("t"),
@@ -117,7 +117,7 @@ ORDERS = (
 
 def contact_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``(row_id, source, line)``: contact data of every customer, in key=value and JSON form."""
-    c = read_table(spark, sf, "customer")
+    c = spread(read_table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name"), "c_custkey")
     k = F.col("c_custkey")
     return c.select(
         k.alias("row_id"),
