@@ -197,7 +197,7 @@ def test_pseudonyms_agree_within_a_row_and_across_runs(spark):
 
 
 def test_audit(spark):
-    rows = ["ok Chrome/120.0.0.0", "ip 10.0.0.1", "x{{A}}", "d 2024-01-02", "202401_x", "a\nb", "\x01", "str_cd={{STORE}}", "Chrome/1.2.3.4 5.6.7.8"]
+    rows = ["ok Chrome/120.0.0.0", "ip 10.0.0.1", "x{{A}}", "d 2024-01-02", "202401_x", "a\nb", "\x01", "str_cd={{STORE}}", "Chrome/1.2.3.4  5.6.7.8"]
     df = spark.createDataFrame([("s", r) for r in rows], "s string, t string")
     a = D.privacy_audit(df, "s", "t", ["OK", "a.b"]).first()
     assert (a.n_rows, a.residual_ipv4, a.leaked_marker, a.stale_date, a.line_breaks, a.control_chars, a.store_in_code_field, a.forbidden_literal) == (9, 2, 2, 2, 1, 1, 1, 1)
