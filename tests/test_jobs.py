@@ -468,7 +468,7 @@ def test_rate_meter_stream(spark):
     rows = [("a", int((base + t) * 1e6), n) for t, n, _ in METER]
     spark.createDataFrame(rows, "run_id string, us long, events long").coalesce(1).write.parquet(folder)
     stream = J.table_stream(spark, folder).withColumn("t", F.timestamp_micros("us"))
-    got = J.run_available(J.current_rate_stream(stream), "meter").where("events is not null").orderBy("t").collect()
+    got = J.run_available(J.current_rate_stream(stream), "meter", empty_batches=False).where("events is not null").orderBy("t").collect()
     assert [r.current_eps for r in got][: len(METER)] == pytest.approx([e for *_, e in METER], rel=1e-3)
 
 
