@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import bpe, jaccard_join, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def vocabulary() -> str:
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": lambda s, d: substring_dedup.op1(docs(s, d)),
     "op2_toxicity": lambda s, d: toxicity.op2(docs(s, d), read_table(s, d, "labels")),
     "op5_quality_rules": lambda s, d: quality_rules.op5(docs(s, d)),
+    "op8_jaccard_join": lambda s, d: jaccard_join.op8(docs(s, d)),
     "op9_bpe": lambda s, d: bpe.op9(docs(s, d), vocabulary()),
     "op10_quality_classifier": lambda s, d: quality_classifier.op10(docs(s, d), read_table(s, d, "labels")),
 }
