@@ -77,7 +77,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and the index of the first word of each row (one more at the end)."""
-    keep = ~separator[data]
+    return runs(~separator[data], offsets)
+
+
+def runs(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true places inside rows, and the index of the first run of each row."""
     full = offsets[:-1] < offsets[1:]
     before, after = np.zeros_like(keep), np.zeros_like(keep)
     before[1:], after[:-1] = keep[:-1], keep[1:]
