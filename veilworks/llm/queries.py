@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, jaccard_join, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
+from . import bpe, decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
 
 
 def vocabulary() -> str:
@@ -24,6 +24,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": lambda s, d: substring_dedup.op1(docs(s, d)),
     "op2_toxicity": lambda s, d: toxicity.op2(docs(s, d), read_table(s, d, "labels")),
+    "op3_decontamination": lambda s, d: decontamination.op3(docs(s, d), read_table(s, d, "benchmark")),
     "op4_language_id": lambda s, d: language_id.op4(docs(s, d)),
     "op5_quality_rules": lambda s, d: quality_rules.op5(docs(s, d)),
     "op7_secret_scan": lambda s, d: secret_scan.op7(docs(s, d)),
