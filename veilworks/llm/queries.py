@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
+from . import bpe, decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity, training_order
 
 
 def vocabulary() -> str:
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": lambda s, d: decontamination.op3(docs(s, d), read_table(s, d, "benchmark")),
     "op4_language_id": lambda s, d: language_id.op4(docs(s, d)),
     "op5_quality_rules": lambda s, d: quality_rules.op5(docs(s, d)),
+    "op6_training_order": lambda s, d: training_order.op6(docs(s, d), vocabulary()),
     "op7_secret_scan": lambda s, d: secret_scan.op7(docs(s, d)),
     "op8_jaccard_join": lambda s, d: jaccard_join.op8(docs(s, d)),
     "op9_bpe": lambda s, d: bpe.op9(docs(s, d), vocabulary()),
