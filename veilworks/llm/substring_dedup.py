@@ -1,7 +1,7 @@
 """Substring de-duplication by relative Lempel-Ziv parsing against an index of reference blocks.
 
-Reference blocks. The 4-word group of least hash in a window of ``window`` words is the window's anchor; consecutive
-windows with one anchor form a block (about nine words apart). Equal windows have equal anchors at equal places, so
+Reference blocks. The six-word group of least hash in a window of ``window`` words is the window's anchor; consecutive
+windows with one anchor form a block (about eight words apart). Equal windows have equal anchors at equal places, so
 every earlier copy of a window lies in a block filed under the same anchor: the index of all blocks, by anchor and
 128 bits of hash, stands for the whole earlier text, and a document meets only blocks that can match.
 
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .arrays import map_slices, rows_of, span_hashes, windows, words
+from .arrays import map_slices, packed_texts, rows_of, span_hashes, windows, words
+from .tables import written
 
 WINDOW = 20
-GROUP = 4
+GROUP = 6
 SECOND = 0xA0761D6478BD642F
 
 
@@ -78,12 +78,11 @@ def indexed(docs: DataFrame, window: int, whole: bool) -> DataFrame:
         if found is None:
             return None
         row, anchor, content, place = found
-        out = {"anchor": anchor.view(np.int64)}
-        if whole:
-            out |= {"block": content.view(np.int64), "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row)), "place": place}
-        return out
+        if not whole:
+            return {"route": (anchor >> np.uint64(16)).view(np.int64)}
+        return {"anchor": anchor.view(np.int64), "block": content.view(np.int64), "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row)), "place": place}
 
-    return map_slices(docs, "anchor long" + ", block long, doc_id long, place long" * whole, work)
+    return map_slices(docs, "anchor long, block long, doc_id long, place long" if whole else "route long", work)
 
 
 def cells(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -114,9 +113,9 @@ def open_windows(base: DataFrame, window: int) -> DataFrame:
         order = np.argsort(at, kind="stable")
         n, begin, at = n[order], begin[order], at[order]
         one, two = span_hashes(hashes, at, at + window), span_hashes(hashes, at, at + window, SECOND)
-        return {"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row[n])), "start": begin}
+        return {"one": one.view(np.int64), "two": two.view(np.int64) >> 32, "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row[n])), "start": begin}
 
-    return map_slices(base, "one long, two long, doc_id long, start long", work)
+    return map_slices(base, "one long, two int, doc_id long, start long", work, packed=True)
 
 
 def greedy(copies: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -136,24 +135,27 @@ def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         raise ValueError(f"a window has {GROUP + 1} to 255 words")
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = narrow.filter("doc_id is not null and text is not null")
-    twice = indexed(known.select("text"), window, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    found = cut_lineage(indexed(known, window, True).join(twice, "anchor", "left_semi"))
+    # the route is enough of the anchor to find the anchors that may occur twice; what it mixes up is parted later
+    twice = indexed(known.select("text"), window, False).groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("route")
+    occurrences = indexed(known, window, True)
+    found = written(occurrences.join(twice, F.shiftrightunsigned("anchor", 16) == twice["route"], "left_semi"))
     here = F.struct("doc_id", "place")
-    firsts = found.groupBy("anchor", "block").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"))
-    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    sources = firsts.join(several, "anchor", "left").filter("n > 1 or kinds is not null")
-    origin = F.when(here != F.col("first"), F.col("first"))
-    copies = found.join(sources, ["anchor", "block"]).filter(origin.isNotNull() | F.col("kinds").isNotNull())
-    copies = copies.select("doc_id", "place", origin["doc_id"].alias("source"), origin["place"].alias("source_place"))
-    base = narrow.join(copies.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("copies")), "doc_id", "left")
-
-    opened = cut_lineage(open_windows(base.filter("copies is not null"), window))
+    several = found.groupBy("anchor").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x != y").select("anchor")
+    firsts = found.groupBy("anchor", "block").agg(F.min(here).alias("first"))
+    later = found.join(firsts, ["anchor", "block"]).filter(here != F.col("first"))
+    later = later.select("doc_id", "place", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
+    unsure = firsts.join(several, "anchor", "left_semi").select("first.doc_id", "first.place")
+    copies = later.unionByName(unsure, allowMissingColumns=True)
+    copies = copies.groupBy("doc_id").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("copies"))
+    base = packed_texts(narrow).join(copies, "doc_id", "left")
+
+    # one plan with the last join: the shuffled texts and copies are read again, not shuffled again
+    opened = open_windows(base, window)
     there = F.struct("doc_id", "start")
-    earliest = opened.groupBy("one", "two").agg(F.min(there).alias("first"), F.max(there).alias("last")).filter("first != last").select("one", "two", "first")
+    earliest = opened.groupBy("one", "two").agg(F.min(there).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = opened.join(earliest, ["one", "two"]).filter(there != F.col("first"))
-    again = again.select("doc_id", F.struct("start", F.col("first.doc_id").alias("source"), F.col("first.start").alias("source_start")).alias("w")).distinct()
-    whole = base.join(again.groupBy("doc_id").agg(F.collect_list("w").alias("windows")), "doc_id", "left")
-    return finished(whole, window, kept_text)
+    again = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("first.doc_id").alias("source"), F.col("first.start").alias("source_start"))).alias("windows"))
+    return finished(base.join(again, "doc_id", "left"), window, kept_text)
 
 
 def finished(whole: DataFrame, window: int, kept_text: bool) -> DataFrame:
@@ -205,8 +207,8 @@ def finished(whole: DataFrame, window: int, kept_text: bool) -> DataFrame:
         out = {"doc_id": rows_of(batch, "doc_id", lo, hi), "n_words": n, "n_removed": removed[first[1:]] - removed[first[:-1]], "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left], "factors": factors}
         return out | {"kept": [x.decode("utf-8", "replace") for x in left]} if kept_text else out
 
-    return map_slices(whole, f"doc_id long, n_words long, n_removed long, kept_sha256 string, factors {factor}" + ", kept string" * kept_text, work)
+    return map_slices(whole, f"doc_id long, n_words long, n_removed long, kept_sha256 string, factors {factor}" + ", kept string" * kept_text, work, packed=True)
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    return parsed(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
+    return parsed(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
