@@ -19,6 +19,7 @@ best score; null ids are not reported; extra columns are not read; empty tables
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import map_slices, rows_of, span_hashes, words
+from .arrays import map_slices, rows_of, slices, span_hashes, words
 
 THRESHOLD = 0.6
 OVERLAP = 0.8
@@ -223,11 +224,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = spark.createDataFrame([], schema)
-    for block in item_blocks(items, "item_id", "text"):
-        index = build(sorted((r[0], r[1]) for r in block.collect()), threshold)
-        if index is None:
-            continue
-        shared = spark.sparkContext.broadcast(index)
+    for shared in indexes(items, threshold):
 
         def work(batch, lo, hi, data, offsets, shared=shared):
             hits = leaks_of(shared.value, [t or "" for t in rows_of(batch, "text", lo, hi).to_pylist()], threshold, overlap)
@@ -242,5 +239,28 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
+def indexes(items: DataFrame, threshold: float):
+    """A broadcast index for each block of items, one after another."""
+    for block in item_blocks(items, "item_id", "text"):
+        index = build(sorted((r[0], r[1]) for r in block.collect()), threshold)
+        if index is not None:
+            yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows, with all their columns, that hold no item; a filter where the rows are, once per block of items."""
+    for shared in indexes(items, threshold):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for lo, hi, _, _ in slices(b, text):
+                    keep[[lo + r for r, _ in leaks_of(shared.value, [t or "" for t in rows_of(b, text, lo, hi).to_pylist()], threshold, overlap)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op3(docs: DataFrame, items: DataFrame) -> DataFrame:
     return leaks(docs, items)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import map_slices, packed_texts, rows_of, span_hashes, windows, words
-from .tables import written
+from .tables import dealt_anew, written
 
 WINDOW = 20
 GROUP = 6
@@ -136,13 +136,13 @@ def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = narrow.filter("doc_id is not null and text is not null")
     # the route is enough of the anchor to find the anchors that may occur twice; what it mixes up is parted later
-    twice = indexed(known.select("text"), window, False).groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("route")
+    twice = dealt_anew(indexed(known.select("text"), window, False).groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("route"))
     occurrences = indexed(known, window, True)
     found = written(occurrences.join(twice, F.shiftrightunsigned("anchor", 16) == twice["route"], "left_semi"))
     here = F.struct("doc_id", "place")
     several = found.groupBy("anchor").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x != y").select("anchor")
     firsts = found.groupBy("anchor", "block").agg(F.min(here).alias("first"))
-    later = found.join(firsts, ["anchor", "block"]).filter(here != F.col("first"))
+    later = found.join(dealt_anew(firsts), ["anchor", "block"]).filter(here != F.col("first"))
     later = later.select("doc_id", "place", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
     unsure = firsts.join(several, "anchor", "left_semi").select("first.doc_id", "first.place")
     copies = later.unionByName(unsure, allowMissingColumns=True)
@@ -153,7 +153,7 @@ def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     opened = open_windows(base, window)
     there = F.struct("doc_id", "start")
     earliest = opened.groupBy("one", "two").agg(F.min(there).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = opened.join(earliest, ["one", "two"]).filter(there != F.col("first"))
+    again = opened.join(dealt_anew(earliest), ["one", "two"]).filter(there != F.col("first"))
     again = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("first.doc_id").alias("source"), F.col("first.start").alias("source_start"))).alias("windows"))
     return finished(base.join(again, "doc_id", "left"), window, kept_text)
 
