@@ -18,7 +18,7 @@ from veilworks.operators import synthesis as S
 from veilworks.operators.dimensions import profile_values, profiles, token_kinds
 from veilworks.operators.ordering import dense_index, first_over, prefix_sums
 from veilworks.session import fresh_folder
-from veilworks.sources.catalog_files import read_catalog, read_raw_catalog, write_catalog
+from veilworks.sources.catalog_files import export_document, read_catalog, read_entries, read_raw_catalog, write_catalog
 from veilworks.sources.event_files import event_files, file_stamp, write_event_files
 from veilworks.sources.tables import broadcast_if_small, spread
 from veilworks.streaming import jobs as J
@@ -85,14 +85,19 @@ def test_catalog_file_violations(spark, tmp_path):
 def test_write_then_read(spark, catalog):
     path = fresh_folder(spark, "t")
     write_catalog(catalog, path)
-    back = {r.id: r for r in read_catalog(spark, path).collect()}
-    assert len(back) == 7
+    back = {r.id: r for r in read_entries(spark, path).collect()}
+    assert len(back) == 7 and [back[f"000{i}"].pos for i in range(1, 8)] == list(range(7))
     assert "{{SRC_IP}}" in back["0001"].sample and "suser={{USER_ID}}" in back["0001"].sample
     assert back["0003"].test_case == {"FILE_PATH": ["/log/{{TIMESTAMP:COMPACT_DATE:20250705}}__session_0.json"]}
-    assert {r.id: r.sample for r in C.tokenize_table(read_catalog(spark, path)).collect()} == {k: r.sample for k, r in back.items()}
+    assert {r.id: r.sample for r in C.tokenize_table(read_entries(spark, path)).collect()} == {k: r.sample for k, r in back.items()}
     empty = fresh_folder(spark, "t")
     write_catalog(catalog.where("false"), empty)
-    assert read_catalog(spark, empty).count() == 0
+    assert read_entries(spark, empty).count() == 0
+    document = fresh_folder(spark, "t")
+    export_document(catalog, document)
+    assert {r.id: r[1:] for r in read_catalog(spark, document).collect()} == {k: r[1:] for k, r in back.items()}
+    with pytest.raises(ValueError, match="no limit"):
+        export_document(catalog, document, max_bytes=100)
     with pytest.raises(ValueError):
         write_catalog(catalog.withColumn("id", F.lit("custom-1")), fresh_folder(spark, "t"))
 
@@ -108,6 +113,12 @@ def test_edits(spark, catalog):
     out = {r.id: r for r in C.upsert(catalog, edits).collect()}
     assert len(out) == 9 and out["0002"].name == "new" and out["0002"].pos == 1
     assert (out["0008"].name, out["0009"].name) == ("a", "b")
+    unknown = spark.createDataFrame([(0, "0009", "lost", "x", "", {}), (1, "0001", "a", "y", "", {}), (2, "0001", "b", "z", "", {})], TEMPLATE)
+    assert sorted(tuple(r) for r in C.edit_problems(catalog, unknown).collect()) == [("0001", "edited_twice", 2), ("0009", "unknown_id", 1)]
+    with pytest.raises(ValueError, match="unknown_id|edited_twice"):
+        C.upsert(catalog, unknown)
+    out = {r.id: r.name for r in C.upsert(catalog, unknown, strict=False).collect()}
+    assert len(out) == 7 and out["0001"] == "b"
     left = C.delete(catalog, spark.createDataFrame([("0001",), ("0001",), ("9",)], "id string"))
     assert left.count() == 6
 
@@ -316,45 +327,12 @@ def test_packets_and_units(spark):
     assert 60 * 1024 < top <= 600 * 1024
     big = spark.createDataFrame([(0, 0, 5), (0, 1, 65_507), (0, 2, 5)], "lane long, seq long, bytes long")
     assert [r.packet_no for r in K.pack_packets(big).orderBy("seq").collect()] == [0, 1, 2]
-    with pytest.raises(ValueError):
-        K.pack_packets(big.withColumn("bytes", F.col("bytes") + 1))
-
-
-def rated_loop(sizes, target):
-    out, i, pending, packet, unit = [], 0, None, 0, 0
-    while i < len(sizes) or pending:
-        total = events = 0
-        members = []
-        while total < V.UNIT_BYTES and events < target and (i < len(sizes) or pending):
-            if pending:
-                (a, b), pending = pending, None
-            else:
-                a, size = i, 0
-                while i < len(sizes) and i - a < V.PACKET_EVENTS and events + i - a < target:
-                    if i > a and size + sizes[i] > V.PACKET_BYTES:
-                        break
-                    size, i = size + sizes[i], i + 1
-                b = i
-            size = sum(sizes[a:b])
-            if members and total + size > V.UNIT_BYTES:
-                pending = (a, b)
-                break
-            total, events = total + size, events + b - a
-            members.append((a, b))
-        for a, b in members:
-            out += [(packet, unit)] * (b - a)
-            packet += 1
-        unit += 1
-    return out
-
-
-@pytest.mark.parametrize("target,big", [(50, 2000), (300, 65000), (10, 100), (700, 3000)])
-def test_rated_runs_equal_the_loop(spark, target, big):
-    rng = random.Random(target)
-    sizes = [rng.randint(1, big) for _ in range(2500)]
-    df = spark.createDataFrame([(0, i, s) for i, s in enumerate(sizes)], "lane long, seq long, bytes long")
-    got = [(r.packet_no, r.unit_no) for r in K.pack_rated(df, target * 200).orderBy("seq").collect()]
-    assert got == rated_loop(sizes, target)
+    with pytest.raises(Exception, match="exceeds"):
+        K.pack_packets(big.withColumn("bytes", F.col("bytes") + 1)).collect()
+    tiny = spark.range(5000).select(F.lit(0).cast("long").alias("lane"), F.col("id").alias("packet_no"), F.lit(1).cast("long").alias("bytes"))
+    assert K.group_packets(tiny, most=6000).agg(F.max("unit_no")).first()[0] == 0
+    with pytest.raises(Exception, match="raise the limit"):
+        K.group_packets(tiny).collect()
 
 
 def test_batch_limits():
@@ -422,17 +400,6 @@ def test_formats(spark):
     ]
 
 
-METER = [(0.0, 0, 0.0), (0.1, 50, 0.0), (0.25, 100, 400.0), (0.3, 110, 400.0), (0.5, 150, 200.0), (3.0, 150, 200.0), (3.5, 150, 0.0), (3.8, 160, 10 / 0.3), (4.0, 5, 0.0), (4.2, 25, 100.0)]
-
-
-def test_meter(spark):
-    rows = [(run, datetime(2030, 1, 1, 0, 0, 0, 0).timestamp() + t, n) for run in ("a", "b") for t, n, _ in METER]
-    df = spark.createDataFrame(rows, "run_id string, s double, events long").withColumn("t", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
-    for run in ("a", "b"):
-        got = [r.current_eps for r in M.current_rate(df).where(F.col("run_id") == run).orderBy("t").collect()]
-        assert got == pytest.approx([e for *_, e in METER], rel=1e-3)
-
-
 def test_delivery(spark):
     t = datetime(2030, 1, 1)
     sent = spark.createDataFrame([("r", "a\nb\n", t), ("r", "c\n", t), ("lost", "x\n", t)], "run string, p string, t timestamp")
@@ -462,16 +429,6 @@ def test_synthesize_stream(spark, catalog):
     assert got == want
 
 
-def test_rate_meter_stream(spark):
-    folder = fresh_folder(spark, "meter")
-    base = datetime(2030, 1, 1).timestamp()
-    rows = [("a", int((base + t) * 1e6), n) for t, n, _ in METER]
-    spark.createDataFrame(rows, "run_id string, us long, events long").coalesce(1).write.parquet(folder)
-    stream = J.table_stream(spark, folder).withColumn("t", F.timestamp_micros("us"))
-    got = J.run_available(J.current_rate_stream(stream), "meter", empty_batches=False).where("events is not null").orderBy("t").collect()
-    assert [r.current_eps for r in got][: len(METER)] == pytest.approx([e for *_, e in METER], rel=1e-3)
-
-
 # --- layout -----------------------------------------------------------------------------------------
 
 

@@ -36,7 +36,7 @@ DEFAULT_RULES = [
     FieldRule(
         "PERSON",
         names=["name", "ssun"],
-        words=[f"{s}_{e}" for s in V.PERSON_SUBJECTS for e in ("name", "nm")] + V.PERSON_WORDS,
+        words=V.PERSON_WORDS,
     ),
     FieldRule("EMAIL", words=V.EMAIL_WORDS),
     FieldRule("PHONE", words=V.PHONE_WORDS, unless="ldap_tel"),

@@ -30,11 +30,14 @@ def _quoted_marker(key: Column) -> Column:
     return F.concat(F.lit(r"\{\{"), key, F.lit(r"\}\}"))
 
 
-def restored(sample: Column, test_case: Column, **options) -> Column:
-    """n-th ``{{KEY}}`` becomes the n-th (sanitized) value of KEY. NULL when a key or a count is wrong."""
+def restored(sample: Column, test_case: Column, tokenized: bool = False, **options) -> Column:
+    """n-th ``{{KEY}}`` becomes the n-th (sanitized) value of KEY. NULL when a key or a count is wrong.
+
+    ``tokenized``: the values are sanitized already and taken as they are.
+    """
 
     def fill(text: Column, entry: Column) -> Column:
-        values = F.transform(entry["value"], lambda v: sanitize(v, **options))
+        values = entry["value"] if tokenized else F.transform(entry["value"], lambda v: sanitize(v, **options))
         gaps = F.split(text, _quoted_marker(entry["key"]), -1)
         ok = entry["key"].rlike("^[A-Z_]+$") & (F.size(gaps) == F.size(entry["value"]) + 1)
         return F.when(

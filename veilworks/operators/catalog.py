@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_of
 from ..functions.templates import analysis, restored, segments, tokenize
+from ..session import cut_lineage
 from ..sources.tables import spread
 from .deid import dictionary_terms
 from .ordering import dense_index
@@ -35,12 +36,14 @@ def _duplicates(df: DataFrame, *extra: Column) -> DataFrame:
 
 
 def _bad_id(c: Column) -> Column:
-    return ~c.rlike("^[0-9]+$")
+    return ~F.coalesce(c, F.lit("0")).rlike("^[0-9]+$")  # a missing id is missing text
 
 
 def _entry_rules() -> dict[str, Column]:
     pairs = F.map_entries("test_case")
     return {
+        "missing_text": F.col("id").isNull() | F.col("name").isNull() | F.col("sample").isNull(),
+        "missing_test_case": F.col("test_case").isNull(),
         "id_not_digits": _bad_id(F.col("id")),
         "empty_name": F.col("name") == "",
         "empty_sample": F.col("sample") == "",
@@ -59,7 +62,7 @@ def catalog_violations(templates: DataFrame) -> DataFrame:
 
 def save_violations(templates: DataFrame) -> DataFrame:
     """What must hold before a catalog is written."""
-    rules = {n: t for n, t in _entry_rules().items() if n in ("id_not_digits", "empty_name", "empty_sample")}
+    rules = {n: t for n, t in _entry_rules().items() if n in ("missing_text", "missing_test_case", "id_not_digits", "empty_name", "empty_sample")}
     return _violations(templates, rules, "id").unionByName(_duplicates(templates).select("id", "rule"))
 
 
@@ -112,13 +115,26 @@ def delete(templates: DataFrame, ids: DataFrame) -> DataFrame:
     return templates.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def upsert(templates: DataFrame, edits: DataFrame) -> DataFrame:
+def edit_problems(templates: DataFrame, edits: DataFrame) -> DataFrame:
+    """``(id, rule, edits)``: edits of ids that the catalog does not hold, and ids that are edited more than once."""
+    counts = edits.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("edits"))
+    known = templates.select("id", F.lit(True).alias("known")).distinct()
+    rows = counts.join(known, "id", "left")
+    unknown = rows.where(F.col("known").isNull()).select("id", F.lit("unknown_id").alias("rule"), "edits")
+    return unknown.unionByName(rows.where("edits > 1").select("id", F.lit("edited_twice").alias("rule"), "edits"))
+
+
+def upsert(templates: DataFrame, edits: DataFrame, strict: bool = True) -> DataFrame:
     """Rows with an id replace the row of that id in place; rows without one are appended with new ids.
 
-    Ids of deleted rows below the maximum are never used again.
+    Ids of deleted rows below the maximum are never used again. ``strict`` raises on an unknown id or a second edit
+    of one; otherwise the edit of largest ``pos`` counts, and ``edit_problems`` tells what was left out.
     """
+    if strict and (bad := edit_problems(templates, edits).first()):
+        raise ValueError(f"edit of {bad['id']}: {bad['rule']}")
     columns = ["pos", "id", "name", "sample", "source", "test_case"]
-    known = edits.where(F.col("id").isNotNull()).drop("pos")
+    last = edits.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("name", "sample", "source", "test_case"), "pos").alias("e"))
+    known = last.select("id", "e.*")
     replaced = templates.select("pos", "id").join(known, "id")
     kept = templates.join(known.select("id"), "id", "left_anti")
     fresh = dense_index(edits.where(F.col("id").isNull()), "pos", name="n")
@@ -154,35 +170,40 @@ def restore_mapped_values(templates: DataFrame, out: str = "restored", **options
 
 
 def fingerprint(sample: Column, test_case: Column) -> Column:
-    entries = F.to_json(F.array_sort(F.map_entries(test_case)))
-    return F.sha2(F.concat(sample, F.lit("\x1f"), entries), 256)
+    """Never NULL: a missing sample has keys of its own, a missing test case counts as an empty one."""
+    entries = F.to_json(F.array_sort(F.map_entries(_mapped(test_case))))
+    missing = F.concat(F.lit("missing:"), F.sha2(entries, 256))
+    return F.coalesce(F.sha2(F.concat(sample, F.lit("\x1f"), entries), 256), missing)
+
+
+def _mapped(test_case: Column) -> Column:
+    return F.coalesce(test_case, F.create_map().cast("map<string,array<string>>"))
 
 
 def compile_templates(templates: DataFrame, **options) -> DataFrame:
     """Adds ``segments`` and the analysis columns; the sample and the mapped values come back tokenized."""
-    rows = tokenize_table(templates, **options)
-    rows = rows.withColumn("segments", segments(restored(F.col("sample"), F.col("test_case"), **options)))
+    rows = tokenize_table(templates.withColumn("test_case", _mapped(F.col("test_case"))), **options)
+    return _analyzed(rows)
+
+
+def _analyzed(tokenized: DataFrame) -> DataFrame:
+    rows = tokenized.withColumn("segments", segments(restored(F.col("sample"), F.col("test_case"), tokenized=True)))
     return rows.select("*", *[c.alias(n) for n, c in analysis(F.col("segments")).items()])
 
 
 def compile_distinct(templates: DataFrame, **options) -> DataFrame:
-    """``compile_templates`` run once per distinct (sample, test case).
+    """``compile_templates`` run once per distinct (sample, test case); no template is lost, NULLs included.
 
     The raw fingerprint finds equal originals, the tokenized one finds originals that become equal. Copies
     collapse by partial aggregation before the shuffle; the join back may be split by adaptive execution.
+    Tokenized texts and compiled templates are each computed once and cut off the plan.
     """
     keyed = templates.withColumn("fp", fingerprint(F.col("sample"), F.col("test_case")))
-    once = keyed.groupBy("fp").agg(
-        F.any_value("sample").alias("sample"), F.any_value("test_case").alias("test_case")
-    )
-    tokenized = tokenize_table(spread(once, "fp"), **options).withColumn(
-        "compiled_fp", fingerprint(F.col("sample"), F.col("test_case"))
-    )
-    distinct = tokenized.groupBy("compiled_fp").agg(
-        F.any_value("sample").alias("sample"), F.any_value("test_case").alias("test_case")
-    )
-    built = spread(distinct, "compiled_fp").withColumn("segments", segments(restored(F.col("sample"), F.col("test_case"), **options)))
-    built = built.select("*", *[c.alias(n) for n, c in analysis(F.col("segments")).items()])
+    once = keyed.groupBy("fp").agg(F.any_value("sample").alias("sample"), F.any_value(_mapped(F.col("test_case"))).alias("test_case"))
+    tokenized = cut_lineage(tokenize_table(spread(once, "fp"), **options))
+    tokenized = tokenized.withColumn("compiled_fp", fingerprint(F.col("sample"), F.col("test_case")))
+    distinct = tokenized.groupBy("compiled_fp").agg(F.any_value("sample").alias("sample"), F.any_value("test_case").alias("test_case"))
+    built = cut_lineage(_analyzed(spread(distinct, "compiled_fp")))
     links = keyed.drop("sample", "test_case").join(tokenized.select("fp", "compiled_fp"), "fp")
     return links.drop("fp").join(built, "compiled_fp")
 

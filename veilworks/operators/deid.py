@@ -57,15 +57,16 @@ def tokenize_column(df: DataFrame, text: str, out: str | None = None, **options)
 def token_counts(df: DataFrame, by: str, text: str, **options) -> DataFrame:
     """How many tokens of each kind each ``by`` group holds after sanitizing: ``(by, kind, tokens, rows)``."""
     found = df.select(by, bind(sanitize(F.col(text), **options), lambda t: matches(t, TOKEN_MARKER)).alias("m"))
-    # counted per row first: a row sends one record per kind, not one per token
-    per_row = found.where(F.size("m") > 0).select(
+    # counted per row first: a row sends one record per kind, not one per token. The outer form keeps the optimizer from
+    # inferring a filter on the array, which would rewrite every text a second time
+    per_row = found.select(
         by,
-        F.explode(F.transform(F.array_distinct("m"), lambda k: F.struct(
+        F.explode_outer(F.transform(F.array_distinct("m"), lambda k: F.struct(
             F.substr(k, F.lit(3), F.length(k) - 4).alias("kind"),
             F.size(F.filter("m", lambda x: x == k)).alias("n"),
         ))).alias("c"),
     )
-    return per_row.groupBy(by, F.col("c.kind").alias("kind")).agg(
+    return per_row.where("c is not null").groupBy(by, F.col("c.kind").alias("kind")).agg(
         F.sum("c.n").alias("tokens"), F.count(F.lit(1)).alias("rows")
     )
 

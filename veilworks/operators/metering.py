@@ -60,12 +60,24 @@ def ticks(events: DataFrame, run: str, time: str, step_ms: int = 200) -> DataFra
 def step_rates(events: DataFrame, run: str, time: str, step_ms: int = 200) -> DataFrame:
     """Rate over each step with progress: events since the step before it, per second in between.
 
-    After an idle gap of at least max(3 s, 3 x the last step) the rate had dropped to 0 (``idle_before``).
+    After an idle gap of at least max(3 s, 3 x the last step) the rate had dropped to 0 (``idle_before``). Steps are
+    compared inside buckets of 2**16; the last two steps before a bucket come from a table of buckets, so the longest
+    window over one run has a row per bucket of its time span, not a row per step.
     """
-    w = W.partitionBy(run).orderBy("tick")
-    t = ticks(events, run, time, step_ms).withColumn("gap", F.col("tick") - F.lag("tick").over(w))
+    inside = W.partitionBy(run, "bucket").orderBy("tick")
+    t = ticks(events, run, time, step_ms).withColumn("bucket", F.shiftright("tick", 16))
+    t = t.withColumn("in1", F.lag("tick", 1).over(inside)).withColumn("in2", F.lag("tick", 2).over(inside))
+    buckets = t.groupBy(run, "bucket").agg(F.max("tick").alias("last1"), F.max("in1").alias("last2"))
+    over = W.partitionBy(run).orderBy("bucket")
+    carried = buckets.select(
+        run, "bucket", F.lag("last1").over(over).alias("out1"), F.coalesce(F.lag("last2").over(over), F.lag("last1", 2).over(over)).alias("out2")
+    )
+    t = t.join(carried, [run, "bucket"])
+    before = F.coalesce("in1", "out1")
+    earlier = F.coalesce("in2", F.when(F.col("in1").isNotNull(), F.col("out1")).otherwise(F.col("out2")))
+    t = t.withColumn("gap", F.col("tick") - before).withColumn("gap_before", before - earlier)
     seconds = F.col("gap") * (step_ms / 1000.0)
-    hold = F.greatest(F.lit(3.0), F.lag("gap").over(w) * (step_ms / 1000.0) * 3.0)
+    hold = F.greatest(F.lit(3.0), F.col("gap_before") * (step_ms / 1000.0) * 3.0)
     return t.select(
         run,
         "tick",
@@ -75,63 +87,6 @@ def step_rates(events: DataFrame, run: str, time: str, step_ms: int = 200) -> Da
     )
 
 
-class Meter:
-    """The displayed rate of one run, sample by sample."""
-
-    __slots__ = ("total", "at", "progress_at", "idle", "eps")
-
-    def __init__(self, total: int = 0, at: float | None = None, progress_at: float = 0.0, idle: float = 3.0, eps: float = 0.0):
-        self.total, self.at, self.progress_at, self.idle, self.eps = total, at, progress_at, idle, eps
-
-    def step(self, now: float, total: int) -> float:
-        if self.at is None:  # the run starts with its first sample
-            self.total, self.at, self.progress_at = total, now, now
-            return self.eps
-        passed = now - self.at
-        if total < self.total:
-            self.total, self.at, self.progress_at, self.idle, self.eps = total, now, now, 3.0, 0.0
-        elif total > self.total and passed >= 0.2:
-            self.eps = (total - self.total) / passed
-            self.total, self.at, self.progress_at = total, now, now
-            self.idle = max(3.0, passed * 3.0)
-        elif total == self.total and self.eps > 0 and now - self.progress_at >= self.idle:
-            self.eps, self.at = 0.0, now
-        return self.eps
-
-    def state(self) -> tuple:
-        return self.total, self.at, self.progress_at, self.idle, self.eps
-
-
-def current_rate(samples: DataFrame, run: str = "run_id", time: str = "t", total: str = "events") -> DataFrame:
-    """``(run, t, events, current_eps)`` for snapshots of a cumulative counter.
-
-    Each partition streams through its runs in time order and keeps one run's meter. Snapshots are polled, at
-    most some per second and run; use ``ticks`` first for tables with a row per event.
-    """
-    import pandas as pd
-
-    rows = samples.select(
-        F.col(run).cast("string").alias("run_id"),
-        F.unix_micros(F.col(time).cast("timestamp")).alias("us"),
-        F.col(total).cast("long").alias("events"),
-    )
-
-    def meter(batches):
-        run_id, m = None, Meter()
-        for pdf in batches:
-            eps = []
-            for this, us, n in zip(pdf["run_id"], pdf["us"].tolist(), pdf["events"].tolist()):
-                if this != run_id:
-                    run_id, m = this, Meter()
-                eps.append(m.step(us / 1e6, n))
-            yield pd.DataFrame({"run_id": pdf["run_id"], "us": pdf["us"], "events": pdf["events"], "current_eps": eps})
-
-    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "us")
-    return ordered.mapInPandas(meter, "run_id string, us long, events long, current_eps double").select(
-        "run_id", F.timestamp_micros("us").alias("t"), "events", "current_eps"
-    )
-
-
 def _side(packets: DataFrame, run: str, payload: str, time: str, prefix: str) -> DataFrame:
     size = F.octet_length(payload)
     seconds = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / F.lit(1e6)

@@ -1,8 +1,8 @@
 """Running totals and dense numbers over a whole table without a single-partition window.
 
 Rows are keyed by a unique integer order. A bucket is 2**16 consecutive order values, so it holds at most that
-many rows however the data is skewed. Bucket totals are summed per super-bucket of 2**16 buckets, and those
-totals per group; each level is a window over at most 2**16 rows for orders below 2**48.
+many rows however the data is skewed. Bucket totals are summed per super-bucket of 2**16 buckets, those per 2**16
+super-buckets, and those per group: every window sees at most 2**16 rows, for hashed 64-bit orders too.
 """
 
 from __future__ import annotations
@@ -20,18 +20,19 @@ def _before(value: str, window) -> Column:
 
 def _bucket_offsets(df: DataFrame, order: str, sums: dict[str, Column], by: list[str]) -> DataFrame:
     """Totals of everything before each bucket: ``(*by, b1, <name>_base, <name>_sum)``."""
-    buckets = df.groupBy(*by, F.shiftright(order, BITS).alias("b1")).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()]
-    )
-    buckets = buckets.withColumn("b2", F.shiftright("b1", BITS))
-    tops = buckets.groupBy(*by, "b2").agg(*[F.sum(n).alias(n) for n in sums])
-    top_window = W.partitionBy(*by, F.lit(0)).orderBy("b2")
-    tops = tops.select(*by, "b2", *[_before(n, top_window).alias(f"{n}_top") for n in sums])
-    bucket_window = W.partitionBy(*by, "b2").orderBy("b1")
-    return buckets.join(tops, [*by, "b2"]).select(
+    buckets = df.groupBy(*by, F.shiftright(order, BITS).alias("b1")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    buckets = buckets.withColumn("b2", F.shiftright("b1", BITS)).withColumn("b3", F.shiftright("b1", 2 * BITS))
+    middle = buckets.groupBy(*by, "b3", "b2").agg(*[F.sum(n).alias(n) for n in sums])
+    top = middle.groupBy(*by, "b3").agg(*[F.sum(n).alias(n) for n in sums])
+    over = W.partitionBy(*by, F.lit(0)).orderBy("b3")
+    top = top.select(*by, "b3", *[_before(n, over).alias(f"{n}_top") for n in sums])
+    over = W.partitionBy(*by, "b3").orderBy("b2")
+    middle = middle.join(top, [*by, "b3"]).select(*by, "b2", *[(F.col(f"{n}_top") + _before(n, over)).alias(f"{n}_mid") for n in sums])
+    over = W.partitionBy(*by, "b2").orderBy("b1")
+    return buckets.join(middle, [*by, "b2"]).select(
         *by,
         "b1",
-        *[(F.col(f"{n}_top") + _before(n, bucket_window)).alias(f"{n}_base") for n in sums],
+        *[(F.col(f"{n}_mid") + _before(n, over)).alias(f"{n}_base") for n in sums],
         *[F.col(n).alias(f"{n}_sum") for n in sums],
     )
 

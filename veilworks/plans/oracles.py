@@ -163,6 +163,29 @@ UNION ALL SELECT p.pos, p.id, e.name, '' FROM p JOIN e ON p.id = e.id
 UNION ALL SELECT mp + n, {_PAD.format('(m + n)')}, name, '' FROM
   (SELECT name, row_number() OVER (ORDER BY k) AS n FROM e WHERE id IS NULL), top
 """
+_NULLS = (
+    "(SELECT c_custkey AS k, CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS id, CASE WHEN c_custkey % 13 <> 0 THEN 'n' END AS name, "
+    "CASE WHEN c_custkey % 5 <> 0 THEN 'x ' || c_custkey % 3 END AS sample, c_custkey % 7 = 0 AS no_case FROM customer)"
+)
+_NULL_RULES = f"""
+WITH c AS (SELECT k, id, name, coalesce(sample, CASE WHEN k % 2 = 0 THEN 's' END) AS sample, no_case FROM {_NULLS})
+SELECT rule, count(*) AS n FROM (
+  SELECT 'missing_text' AS rule FROM c WHERE id IS NULL OR name IS NULL OR sample IS NULL
+  UNION ALL SELECT 'missing_test_case' FROM c WHERE no_case) GROUP BY rule
+"""
+_UNKNOWN = f"""
+WITH e AS (SELECT {_PAD.format('(c_custkey * 2)')} AS id FROM customer
+  UNION ALL SELECT {_PAD.format('(o_custkey * 2)')} FROM orders WHERE o_orderstatus = 'P'),
+n AS (SELECT id, count(*) AS edits FROM e GROUP BY id)
+SELECT id, 'unknown_id' AS rule, edits FROM n WHERE id NOT IN (SELECT {L.PART_ID} FROM part)
+UNION ALL SELECT id, 'edited_twice', edits FROM n WHERE edits > 1
+"""
+_SHORTFALLS = """
+WITH t AS (SELECT count(*) // 2 AS need FROM customer), p AS (SELECT count(*) AS n FROM part)
+SELECT 'with_timestamp' AS category, n AS found, need AS required FROM t, p WHERE n < need
+UNION ALL SELECT 'with_person', n, 10 * need FROM t, p WHERE n < 10 * need
+UNION ALL SELECT 'with_privacy', n, 1 FROM t, p WHERE n < 1
+"""
 _PART_MAPPED = "'/var/log/' || p_type || '/{{TIMESTAMP:COMPACT_DATE:20240305}}__x.json'"
 
 # --- synthesis --------------------------------------------------------------------------------------
@@ -234,13 +257,6 @@ _UNITS = _next_fit(
 )
 
 
-def _rated(target: int) -> str:
-    """Units of ``target`` lines are far below the packet limit: one packet per unit."""
-    return (
-        f"SELECT lane, seq, bytes, CAST(seq // {target} AS BIGINT) AS packet_no, CAST(seq // {target} AS BIGINT) AS unit_no FROM {_sized_lines()}"
-    )
-
-
 _LINES_OF = "CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END AS BIGINT)"
 
 
@@ -339,6 +355,16 @@ ORACLES = {
     "catalog_select": f"SELECT {L.PART_ID} AS id, p_name AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 10)",
     "catalog_unknown_ids": f"SELECT {_PAD.format('(c_custkey + 1000)')} AS id FROM customer WHERE c_custkey + 1000 NOT IN (SELECT p_partkey FROM part)",
     "catalog_roundtrip": f"SELECT p_partkey AS pos, {L.PART_ID} AS id, p_name AS name, {L.PART_TOKENIZED} AS sample, p_brand AS source, 'FILE_PATH' AS tokens, {_PART_MAPPED} AS mapped FROM part",
+    "catalog_roundtrip_unordered": f"SELECT o_orderkey AS pos, {_PAD.format('(100000000 - o_orderkey)')} AS id, o_orderstatus AS name, 'x ' || o_orderstatus AS sample FROM orders",
+    "compile_with_nulls": f"SELECT coalesce(sample, '?') AS sample, count(*) AS templates, CAST(1 AS BIGINT) AS forms, CASE WHEN sample IS NULL THEN 0 ELSE count(*) END AS cut FROM {_NULLS} GROUP BY sample",
+    "catalog_validate_nulls": _NULL_RULES,
+    "upsert_unknown": _UNKNOWN,
+    "dense_hashed_ids": "SELECT o_orderkey, row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) - 1 AS seq FROM orders",
+    "mapped_paths": f"SELECT {L.PART_ID} AS id, CAST(1 AS BIGINT) AS markers, CAST(2 AS BIGINT) AS values FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0",
+    "coverage_shortfalls": _SHORTFALLS,
+    "deid_company": "SELECT c_custkey, 'vendor ' || ['Your-Company', 'Your-Company', 'plain', 'Your-Company'][c_custkey % 4 + 1] || ' segment ' || c_mktsegment AS line FROM customer",
+    "windowed_rate_stream": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS events FROM events GROUP BY event_type, date_trunc('hour', ts) "
+    "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "restore_mapped_values": f"SELECT {L.PART_ID} AS id, replace({L.PART_SAMPLE}, '{{{{FILE_PATH}}}}', '/var/log/' || p_type || '/20240305__x.json') AS restored FROM part",
     "analyze_templates": f"SELECT {L.PART_ID} AS id, CAST(2 AS BIGINT) AS n_timestamps, CAST(1 AS BIGINT) AS n_src, CAST(1 AS BIGINT) AS n_dst, "
     "CAST(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_privacy, CAST(CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 1 END AS BIGINT) AS kind_mask, "
@@ -380,7 +406,6 @@ ORACLES = {
     "pack_packets": _next_fit(_sized_lines(), V.PACKET_BYTES, V.PACKET_EVENTS, False),
     "pack_documents": _next_fit(_DOC_LANE, V.PACKET_BYTES, V.PACKET_EVENTS, False),
     "group_packets": _UNITS,
-    "pack_rated": _rated(100),
     "batch_stream": _next_fit(_sized_lines(), V.FILE_BATCH_BYTES, V.FILE_BATCH_EVENTS, True, out="batch_no"),
     "batch_documents": _next_fit(_DOC_LANE, V.FILE_BATCH_BYTES, V.FILE_BATCH_EVENTS, True, out="batch_no"),
     "throughput_summary": _SUMMARY,

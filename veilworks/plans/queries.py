@@ -20,13 +20,14 @@ from ..operators import synthesis as S
 from ..operators.dimensions import profile_attribute, profile_values, styles, token_kinds
 from ..operators.ordering import dense_index
 from ..session import fresh_folder
-from ..sources.catalog_files import read_catalog, read_catalog_lines, write_catalog
+from ..sources.catalog_files import read_entries, write_catalog
 from ..sources.event_files import event_files
 from ..sources.tables import read_table, spread
 from ..streaming import jobs as J
 from . import lines as L
 
 RANGE = ("2030-01-02", "2030-01-05")
+COMPANIES = ["lottermart", "LotteMart", "plain", "TEST123"]
 FORBIDDEN = ["password", "secret", "Ωmega"]
 
 
@@ -291,14 +292,84 @@ def catalog_roundtrip(spark, sf):
     path = fresh_folder(spark, "catalog")
     parts = L.part_templates(spark, sf)
     write_catalog(parts, path)
-    large = parts.limit(10_001).count() > 10_000
-    back = read_catalog_lines(spark, path) if large else read_catalog(spark, path)
-    return back.select(
+    return read_entries(spark, path).select(
         F.col("pos").cast("long"), "id", "name", "sample", "source", F.array_join(F.map_keys("test_case"), ",").alias("tokens"),
         F.array_join(F.flatten(F.map_values("test_case")), ",").alias("mapped"),
     )
 
 
+def catalog_roundtrip_unordered(spark, sf):
+    """A catalog of all orders whose ids are not in file order, written and read back."""
+    o = read_table(spark, sf, "orders")
+    rows = o.select(
+        F.col("o_orderkey").cast("int").alias("pos"), C.padded_id(F.lit(100_000_000) - F.col("o_orderkey")).alias("id"), F.col("o_orderstatus").alias("name"),
+        F.concat(F.lit("x "), F.col("o_orderstatus")).alias("sample"), F.lit("").alias("source"), F.create_map().cast("map<string,array<string>>").alias("test_case"),
+    )
+    path = fresh_folder(spark, "catalog")
+    write_catalog(rows, path)
+    return read_entries(spark, path).select(F.col("pos").cast("long"), "id", "name", "sample")
+
+
+def _with_nulls(spark, sf):
+    """Customers as templates; some have no sample, no test case, no name or no id."""
+    k = F.col("c_custkey")
+    none = F.lit(None)
+    case = F.create_map().cast("map<string,array<string>>")
+    return read_table(spark, sf, "customer").select(
+        k.cast("int").alias("pos"), F.when(k % 11 != 0, k.cast("string")).otherwise(none).alias("id"), F.when(k % 13 != 0, F.lit("n")).otherwise(none).alias("name"),
+        F.when(k % 5 != 0, F.concat(F.lit("x "), (k % 3).cast("string"))).otherwise(none).alias("sample"), F.lit("").alias("source"),
+        F.when(k % 7 != 0, case).otherwise(none).alias("test_case"),
+    )
+
+
+def compile_with_nulls(spark, sf):
+    """No template is lost when samples or test cases are missing; equal ones share a compiled form."""
+    out = C.compile_distinct(_with_nulls(spark, sf))
+    return out.groupBy(F.coalesce("sample", F.lit("?")).alias("sample")).agg(
+        F.count(F.lit(1)).alias("templates"), F.countDistinct("compiled_fp").alias("forms"), F.count("segments").alias("cut")
+    )
+
+
+def catalog_validate_nulls(spark, sf):
+    return C.catalog_violations(_with_nulls(spark, sf).withColumn("sample", F.coalesce("sample", F.when(F.col("pos") % 2 == 0, F.lit("s"))))).groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def upsert_unknown(spark, sf):
+    """Edits that cannot be made: customers edit parts by key, orders of status P edit them a second time."""
+    c = read_table(spark, sf, "customer").select(C.padded_id(F.col("c_custkey") * 2).alias("id"))
+    o = read_table(spark, sf, "orders").where("o_orderstatus = 'P'").select(C.padded_id(F.col("o_custkey") * 2).alias("id"))
+    return C.edit_problems(L.part_templates(spark, sf), c.unionByName(o))
+
+
+def dense_hashed_ids(spark, sf):
+    """Orders numbered in the order of a 60-bit hash of their key."""
+    h = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    return dense_index(read_table(spark, sf, "orders").select("o_orderkey", h.alias("h")), "h").select("o_orderkey", "seq")
+
+
+def mapped_paths(spark, sf):
+    """Templates whose mapped paths do not fit their markers; every third part has one value too many, every fifth an empty one."""
+    p = L.part_templates(spark, sf)
+    more = F.when(F.col("pos") % 3 == 0, F.array(F.lit("more"))).when(F.col("pos") % 5 == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    changed = p.withColumn("test_case", F.transform_values("test_case", lambda k, v: F.concat(v, more)))
+    return D.mapped_path_mismatches(changed).select("id", F.col("markers").cast("long"), F.col("values").cast("long"))
+
+
+def coverage_shortfalls(spark, sf):
+    """Categories of which the catalog has fewer templates than half the customers, a threshold that grows with the tables."""
+    need = read_table(spark, sf, "customer").count() // 2
+    return C.coverage_shortfalls(C.coverage(C.compile_distinct(L.part_templates(spark, sf))), {"with_timestamp": need, "with_person": 10 * need, "with_privacy": 1})
+
+
+def deid_company(spark, sf):
+    """Company literals in lines of customers, whatever their case."""
+    name = F.element_at(F.array(*[F.lit(w) for w in COMPANIES]), (F.pmod("c_custkey", F.lit(len(COMPANIES))) + 1).cast("int"))
+    rows = read_table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("vendor "), name, F.lit(" segment "), "c_mktsegment").alias("line"))
+    return D.sanitize_table(rows, "line", company_literals=V.COMPANY_LITERALS)
+
+
 def restore_mapped_values(spark, sf):
     return C.restore_mapped_values(L.part_templates(spark, sf)).select("id", "restored")
 
@@ -422,7 +493,7 @@ def sanitize_stream(spark, sf):
 
 
 def windowed_rate_stream(spark, sf):
-    """Events per type and hour from the event stream. The last hours stay open until the watermark passes."""
+    """Events per type and hour of the event stream, for the hours that end 10 minutes before its last event or earlier."""
     stream = J.table_stream(spark, f"{sf}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     out = J.run_available(J.windowed_rate(stream, "event_type", "ts", "1 hour", "10 minutes"), "rate")
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "events")
@@ -492,11 +563,6 @@ def group_packets(spark, sf):
     return K.group_packets(packets).select("lane", "packet_no", "bytes", "unit_no")
 
 
-def pack_rated(spark, sf):
-    """A lane quota of 20 000 events per second: units of 100 events."""
-    return K.pack_rated(_sized_lines(spark, sf), quota=20_000)
-
-
 def batch_stream(spark, sf):
     """File batches: below 256 events and 64 KiB, checked before adding."""
     return K.batch_stream(_sized_lines(spark, sf), "file")
@@ -531,23 +597,6 @@ def step_rates(spark, sf):
     return M.step_rates(e, "event_type", "ts").withColumn("eps", F.round("eps", 6))
 
 
-def current_rate(spark, sf):
-    """The displayed rate of each event type, sampled at its own events."""
-    e = read_table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    per_tick = M.ticks(e, "event_type", "ts")
-    from ..operators.ordering import prefix_sums
-
-    total = prefix_sums(per_tick, "tick", {"events": F.col("events")}, ["event_type"])
-    samples = total.select(
-        F.col("event_type").alias("run_id"), F.timestamp_millis(F.col("tick") * 200).alias("t"),
-        (F.col("events_before") + F.col("events")).alias("events"),
-    )
-    return M.current_rate(samples).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if(F.col("current_eps") == 0).alias("silent"),
-        F.round(F.sum("current_eps"), 3).alias("eps_sum"),
-    )
-
-
 def _sides(spark, sf):
     lines = L.log_lines(spark, sf).select(
         F.col("source").alias("run_id"), F.col("row_id").alias("event_id"), F.concat(F.col("line"), F.lit("\n")).alias("payload"), "ts"
@@ -578,12 +627,13 @@ QUERIES = {
         privacy_audit, privacy_audit_lines, invalid_json_payloads, mask_endpoints, tokenize_lines, pseudonymize_contacts,
         pseudonymize_hashed, stable_pseudonyms, synthetic_people, synthetic_values, dictionary_terms, token_totals,
         detect_timestamps, timestamp_profile, timestamp_totals, mark_timestamps, rebase_timestamps, rebase_zoned, timestamps_in_documents,
-        catalog_validate, catalog_next_id, catalog_upsert, catalog_delete, catalog_select, catalog_unknown_ids, catalog_roundtrip,
+        catalog_validate, catalog_next_id, catalog_upsert, catalog_delete, catalog_select, catalog_unknown_ids, catalog_roundtrip, catalog_roundtrip_unordered,
+        compile_with_nulls, catalog_validate_nulls, upsert_unknown, dense_hashed_ids, mapped_paths, coverage_shortfalls, deid_company,
         restore_mapped_values, analyze_templates, compile_segments, catalog_coverage, dedupe_compile, search_docs, search_catalog,
         round_robin_events, round_robin_fairness, event_time_range, event_time_offset, synthesize_events, synthesize_offset,
         synthesize_summary, synthesize_stream, sanitize_stream, windowed_rate_stream,
         frame_sizes, split_batches, event_file_manifest, budget_bytes, budget_count, pack_packets, pack_documents, group_packets,
-        pack_rated, batch_stream, batch_documents,
-        throughput_summary, step_rates, current_rate, delivery_reconciliation, lost_events,
+        batch_stream, batch_documents,
+        throughput_summary, step_rates, delivery_reconciliation, lost_events,
     )
 }

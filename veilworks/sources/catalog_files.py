@@ -66,63 +66,79 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
         if bad:
             raise ValueError(f"catalog {path}: {bad['rule']} (entry {bad['pos']}, id {bad['id']})")
     rows = _documents(spark, path).select(F.posexplode("logs").alias("pos", "entry"))
-    return rows.select("pos", F.from_json("entry", LOG).alias("log")).select(
-        "pos",
-        "log.id",
-        "log.name",
-        "log.sample",
-        F.coalesce("log.source", F.lit("")).alias("source"),
-        F.coalesce("log.test_case", F.create_map().cast(TEST_CASE)).alias("test_case"),
-    )
+    return rows.select("pos", F.from_json("entry", LOG).alias("log")).select("pos", *_columns("log"))
+
+
+def _columns(log: str) -> list[Column]:
+    return [
+        F.col(f"{log}.id"),
+        F.col(f"{log}.name"),
+        F.col(f"{log}.sample"),
+        F.coalesce(f"{log}.source", F.lit("")).alias("source"),
+        F.coalesce(f"{log}.test_case", F.create_map().cast(TEST_CASE)).alias("test_case"),
+    ]
 
 
 def catalog_entry() -> Column:
     """One entry as JSON; an empty source or test case is left out."""
-    return F.to_json(
-        F.struct(
-            "id",
-            "name",
-            "sample",
-            F.when(F.col("source") != "", F.col("source")).alias("source"),
-            F.when(F.size("test_case") > 0, F.col("test_case")).alias("test_case"),
-        ),
-        {"ignoreNullFields": "true"},
-    )
+    return F.to_json(F.struct(*_fields()), {"ignoreNullFields": "true"})
 
 
-def write_catalog(df: DataFrame, path: str, one_file_limit: int = 10_000) -> None:
+def _fields() -> list[Column]:
+    return [
+        F.col("id"),
+        F.col("name"),
+        F.col("sample"),
+        F.when(F.col("source") != "", F.col("source")).alias("source"),
+        F.when(F.size("test_case") > 0, F.col("test_case")).alias("test_case"),
+    ]
+
+
+ENTRY = f"struct<pos:int,{LOG.removeprefix('struct<')}"
+
+
+def write_catalog(df: DataFrame, path: str) -> None:
     """Tokenize, then persist; raw text never reaches storage.
 
-    Up to ``one_file_limit`` entries are written as one catalog document. Larger catalogs are written as JSON
-    lines of entries (one task per partition), which ``read_catalog_lines`` reads back.
+    Whatever the size: ``entries/`` has one JSON line per entry with its place in the catalog (``pos``), written by
+    as many tasks as the table has partitions; ``header/`` has the schema version. ``read_entries`` reads both back.
     """
-    from ..operators.catalog import save_violations, tokenize_table
+    from ..operators.catalog import tokenize_table
 
-    bad = save_violations(df).first()
-    if bad:
-        raise ValueError(f"catalog not written: {bad['rule']} (id {bad['id']})")
+    _check(df)
+    rows = tokenize_table(df)
+    rows.select(F.to_json(F.struct("pos", *_fields()), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(f"{path}/entries")
+    df.sparkSession.range(1).select(F.lit('{"schema_version":1}').alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """A catalog written by ``write_catalog``, in any order of files; ``pos`` is the order of the catalog."""
+    version = spark.read.schema("schema_version int").json(f"{path}/header").first()
+    if version is None or version[0] != 1:
+        raise ValueError(f"catalog {path}: schema_version")
+    rows = spark.read.text(f"{path}/entries").select(F.from_json("value", ENTRY).alias("log"))
+    return rows.select("log.pos", *_columns("log"))
+
+
+def export_document(df: DataFrame, path: str, max_bytes: int = 64 << 20) -> None:
+    """The catalog as one JSON document, for tools that read that form; an error above ``max_bytes``, as one task writes it."""
+    from ..operators.catalog import tokenize_table
+
+    _check(df)
     rows = tokenize_table(df).select("pos", catalog_entry().alias("entry"))
-    count = rows.limit(one_file_limit + 1).count()
-    if count > one_file_limit:
-        rows.select("entry").write.mode("overwrite").text(path)
-        return
+    size = rows.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"a document of {size} bytes: write_catalog has no limit")
     logs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda e: e["entry"])
     document = rows.agg(logs.alias("logs")).select(
-        F.concat(
-            F.lit('{\n  "schema_version": 1,\n  "logs": [\n    '), F.array_join("logs", ",\n    "), F.lit("\n  ]\n}")
-        ).alias("value")
+        F.concat(F.lit('{\n  "schema_version": 1,\n  "logs": [\n    '), F.array_join("logs", ",\n    "), F.lit("\n  ]\n}")).alias("value")
     )
     document.coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A large catalog written as JSON lines; ids give the order."""
-    rows = spark.read.text(path).select(F.from_json("value", LOG).alias("log"))
-    return rows.select(
-        F.col("log.id").cast("long").alias("pos"),
-        "log.id",
-        "log.name",
-        "log.sample",
-        F.coalesce("log.source", F.lit("")).alias("source"),
-        F.coalesce("log.test_case", F.create_map().cast(TEST_CASE)).alias("test_case"),
-    )
+def _check(df: DataFrame) -> None:
+    from ..operators.catalog import save_violations
+
+    bad = save_violations(df).first()
+    if bad:
+        raise ValueError(f"catalog not written: {bad['rule']} (id {bad['id']})")

@@ -28,13 +28,13 @@ def plan_bytes(df: DataFrame) -> int:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use every core on a small input.
 
-    A few megabytes arrive as one row group and so as one busy task. Regex work is worth a shuffle then.
-    An input of at least one split per core is returned unchanged, so large tables are never shuffled here.
+    A few megabytes arrive as one row group and so as one busy task. Regex work is worth a shuffle then. An input
+    of more splits than half the cores, by its bytes or its files, is returned unchanged: it is never shuffled here.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    conf = spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf.get()
-    if plan_bytes(df) >= cores * int(conf.filesMaxPartitionBytes()):
+    split = int(spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf.get().filesMaxPartitionBytes())
+    if 2 * (plan_bytes(df) // split) > cores or 2 * len(df.inputFiles()) > cores:
         return df
     return df.repartition(cores, key)
 
