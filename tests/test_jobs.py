@@ -240,7 +240,7 @@ def test_synthesize_catalog(spark, catalog):
     assert one["0007"] == "plain text without any token"
 
 
-@pytest.mark.parametrize("limits", [{}, {"SLOT_LIMIT": 0}, {"PRERENDER_LIMIT": 0}, {"RUN_LIMIT": 1}, {"PRERENDER_LIMIT": 0, "PROGRAM_LIMIT": 0}])
+@pytest.mark.parametrize("limits", [{}, {"SLOT_LIMIT": 0}, {"PRERENDER_LIMIT": 0}, {"RUN_LIMIT": 1}, {"BROADCAST_BYTES": 0}, {"RUN_LIMIT": 1, "BROADCAST_BYTES": 0}])
 def test_all_ways_of_printing_agree(spark, catalog, monkeypatch, limits):
     clock = S.Clock(run_at=datetime(2030, 1, 2, 3, 4, 5), offset_minutes=-90, rate=3, local_tz="Asia/Seoul")
     want = {r.event_idx: (r.template_id, r.profile_idx, r.body) for r in S.synthesize(catalog, 50, clock).collect()}

@@ -14,6 +14,7 @@ from ..functions import programs as P
 from ..functions.columns import int_div
 from ..functions.templates import rendered
 from ..session import cut_lineage, use_utc
+from ..sources.tables import broadcast_if_small
 from .catalog import compile_distinct
 from .deid import profile_of
 from .dimensions import profiles
@@ -21,7 +22,7 @@ from .ordering import dense_index
 
 EVENTS_PER_TASK = 4_000_000
 PRERENDER_LIMIT = 2_000  # templates; times 50 identities
-PROGRAM_LIMIT = 100_000  # templates that are broadcast
+BROADCAST_BYTES = 64 << 20  # of printed or compiled templates, measured; larger catalogs are joined on their ordinal
 RUN_LIMIT = 48
 SLOT_LIMIT = 64  # timestamps per template x distinct runs that are unrolled into generated code
 
@@ -107,9 +108,7 @@ def assign_round_robin(events: DataFrame, templates: DataFrame, idx: str = "even
     n = templates.count()
     if n == 0:
         raise ValueError("no template to run")
-    numbered = number_templates(templates)
-    if n <= PROGRAM_LIMIT:
-        numbered = F.broadcast(numbered)
+    numbered = broadcast_if_small(number_templates(templates), max_bytes=BROADCAST_BYTES)
     return events.withColumn("ordinal", F.pmod(F.col(idx), F.lit(n))).join(numbered, "ordinal")
 
 
@@ -131,7 +130,8 @@ class Programs:
     n: int
     runs: list[str]
     slots: int | None  # most timestamps in one template, when programs are cut at them
-    prerendered: bool
+    prerendered: bool  # printed for every identity and cut into slots: a small catalog
+    small: bool  # whether the table may be broadcast, by its measured bytes
     source: DataFrame  # ordinal, template_id, segments: for catalogs that cannot be expressed as programs
     source_ip: str = V.SOURCE_IP
     destination_ip: str = V.DESTINATION_IP
@@ -171,21 +171,21 @@ def build_programs(
     )
     runs = sorted((r["run"] for r in found), key=lambda r: (-len(r), r))
     most = max((r["k"] for r in found), default=0)
-    prerendered = n <= PRERENDER_LIMIT
-    if not prerendered:
-        return Programs(base, n, runs, None, False, numbered, source_ip, destination_ip)
+    width = F.octet_length("program") + F.octet_length(F.to_json("segments")) + 64
+    size = base.join(numbered.select("ordinal", "segments"), "ordinal").agg(F.sum(width)).first()[0]
+    # identities lengthen a text by some dozens of bytes per marker; twice the program covers them
+    if n > PRERENDER_LIMIT or most * len(runs) > SLOT_LIMIT or 2 * size * V.PROFILE_COUNT > BROADCAST_BYTES:
+        return Programs(base, n, runs, None, False, size <= BROADCAST_BYTES, numbered, source_ip, destination_ip)
     # a small catalog sits in one partition by now; give every core its share of the printing
     cores = templates.sparkSession.sparkContext.defaultParallelism
     turns = base.repartition(cores, "ordinal").withColumn(
         "profile_idx", F.explode(F.sequence(F.lit(0), F.lit(V.PROFILE_COUNT - 1)))
     )
     people = F.broadcast(profiles(templates.sparkSession))  # 50 rows
-    slots = most if most * len(runs) <= SLOT_LIMIT else None
-    program = P.with_values(F.col("program"))
-    body = [program.alias("program")] if slots is None else P.cut(program, runs, slots)
+    body = P.cut(P.with_values(F.col("program")), runs, most)
     turn = F.col("ordinal") * V.PROFILE_COUNT + F.col("profile_idx")
     table = turns.join(people, "profile_idx").select(turn.alias("turn"), "template_id", "has_privacy", *body)
-    return Programs(table, n, runs, slots, True, numbered, source_ip, destination_ip)
+    return Programs(table, n, runs, most, True, True, numbered, source_ip, destination_ip)
 
 
 def _run_text(run: str, clock: Clock) -> Column:
@@ -239,11 +239,8 @@ def expand(events: DataFrame, programs: Programs, clock: Clock, seed: int = 0, p
         return _expand_segments(rows, programs, clock, keep)
     if programs.prerendered:
         rows = rows.withColumn("turn", F.col("ordinal") * V.PROFILE_COUNT + F.col("__profile"))
-        joined = rows.join(F.broadcast(programs.table), "turn")
-        if programs.slots is not None:
-            return print_slots(joined, programs, clock).select(*result)
-        return print_programs(joined, programs.runs, clock).select(*result)
-    table = F.broadcast(programs.table) if programs.n <= PROGRAM_LIMIT else programs.table
+        return print_slots(rows.join(F.broadcast(programs.table), "turn"), programs, clock).select(*result)
+    table = F.broadcast(programs.table) if programs.small else programs.table
     people = F.broadcast(profiles(events.sparkSession).withColumnRenamed("profile_idx", "__profile"))  # 50 rows
     joined = rows.join(table, "ordinal").join(people, "__profile").withColumn(
         "program", F.when(F.col("has_privacy"), P.with_values(F.col("program"))).otherwise(F.col("program"))
@@ -253,9 +250,7 @@ def expand(events: DataFrame, programs: Programs, clock: Clock, seed: int = 0, p
 
 def _expand_segments(rows: DataFrame, programs: Programs, clock: Clock, keep: list[str]) -> DataFrame:
     """The same for catalogs with more distinct time forms than are worth unrolling."""
-    table = programs.source
-    if programs.n <= PROGRAM_LIMIT:
-        table = F.broadcast(table)
+    table = F.broadcast(programs.source) if programs.small else programs.source
     people = profiles(rows.sparkSession)
     person = F.struct(*[F.col(k) for k in V.KINDS])
     joined = rows.join(table, "ordinal").join(

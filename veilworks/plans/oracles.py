@@ -363,6 +363,16 @@ ORACLES = {
     "mapped_paths": f"SELECT {L.PART_ID} AS id, CAST(1 AS BIGINT) AS markers, CAST(2 AS BIGINT) AS values FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0",
     "coverage_shortfalls": _SHORTFALLS,
     "deid_company": "SELECT c_custkey, 'vendor ' || ['Your-Company', 'Your-Company', 'plain', 'Your-Company'][c_custkey % 4 + 1] || ' segment ' || c_mktsegment AS line FROM customer",
+    "synthesize_large": f"""
+        WITH t AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS turn FROM orders), n AS (SELECT count(*) AS n FROM orders)
+        SELECT event_id AS event_idx, {_PAD.format('k')} AS template_id, 'o ' || k || ' seen ' ||
+          strftime(TIMESTAMP '2030-01-02 00:00:00' + to_seconds(event_id % {_RANGE_SECONDS}), '%Y-%m-%d %H:%M:%S') || '.0 by ' || {L.profile_sql('(event_id % 50 + 1)')['PERSON']} AS body
+        FROM events, n, t WHERE turn = event_id % n""",
+    "synthesize_many_forms": f"""
+        WITH t AS (SELECT c_custkey AS k, c_custkey % 60 AS z, row_number() OVER (ORDER BY c_custkey) - 1 AS turn FROM customer), n AS (SELECT count(*) AS n FROM customer)
+        SELECT event_id AS event_idx, {_PAD.format('k')} AS template_id, 'z ' || strftime(TIMESTAMP '2030-01-02 04:34:05' + to_microseconds(event_id * 10000) + to_minutes(CAST((z % 15) * 60 + z // 15 * 15 AS BIGINT)), '%Y-%m-%dT%H:%M:%S')
+          || '+' || lpad(CAST(z % 15 AS VARCHAR), 2, '0') || ':' || lpad(CAST(z // 15 * 15 AS VARCHAR), 2, '0') || ' k' || k AS body
+        FROM events, n, t WHERE turn = event_id % n""",
     "windowed_rate_stream": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS events FROM events GROUP BY event_type, date_trunc('hour', ts) "
     "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "restore_mapped_values": f"SELECT {L.PART_ID} AS id, replace({L.PART_SAMPLE}, '{{{{FILE_PATH}}}}', '/var/log/' || p_type || '/20240305__x.json') AS restored FROM part",

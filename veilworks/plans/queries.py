@@ -469,6 +469,31 @@ def synthesize_offset(spark, sf):
     return _synthesized(spark, sf, clock).select("event_idx", "template_id", "body")
 
 
+def _catalog_of(df, key, sample):
+    none = F.create_map().cast("map<string,array<string>>")
+    return df.select(F.col(key).cast("int").alias("pos"), C.padded_id(F.col(key)).alias("id"), F.lit("n").alias("name"), sample.alias("sample"), F.lit("").alias("source"), none.alias("test_case"))
+
+
+def synthesize_large(spark, sf):
+    """Events from a catalog with a template per order: too many to print beforehand."""
+    sample = F.concat(F.lit("o "), F.col("o_orderkey").cast("string"), F.lit(" seen 2024-03-05 10:11:12.5 by {{PERSON}}"))
+    clock = S.Clock.between(*RANGE)
+    programs = S.build_programs(_catalog_of(read_table(spark, sf, "orders"), "o_orderkey", sample), clock, V.SOURCE_IP, V.DESTINATION_IP)
+    by_turn = F.pmod("event_idx", F.lit(V.PROFILE_COUNT)).cast("int")
+    return S.expand(_event_ids(spark, sf), programs, clock, profile=by_turn).select("event_idx", "template_id", "body")
+
+
+def synthesize_many_forms(spark, sf):
+    """Customers as templates in sixty written zones: more time forms than are unrolled into code."""
+    k = F.col("c_custkey") % 60
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    zone = F.concat(F.lit("+"), two(k % 15), F.lit(":"), two(int_div(k, 15) * 15))
+    sample = F.concat(F.lit("z 2024-03-05T10:11:12"), zone, F.lit(" k"), F.col("c_custkey").cast("string"))
+    clock = S.Clock(run_at=datetime(2030, 1, 2, 3, 4, 5), offset_minutes=90, rate=100)
+    programs = S.build_programs(_catalog_of(read_table(spark, sf, "customer"), "c_custkey", sample), clock, V.SOURCE_IP, V.DESTINATION_IP)
+    return S.expand(_event_ids(spark, sf), programs, clock).select("event_idx", "template_id", "body")
+
+
 def synthesize_summary(spark, sf):
     """Hash-chosen identities over every event: nothing unresolved, shares per template balanced."""
     clock = S.Clock.between(*RANGE)
@@ -631,7 +656,7 @@ QUERIES = {
         compile_with_nulls, catalog_validate_nulls, upsert_unknown, dense_hashed_ids, mapped_paths, coverage_shortfalls, deid_company,
         restore_mapped_values, analyze_templates, compile_segments, catalog_coverage, dedupe_compile, search_docs, search_catalog,
         round_robin_events, round_robin_fairness, event_time_range, event_time_offset, synthesize_events, synthesize_offset,
-        synthesize_summary, synthesize_stream, sanitize_stream, windowed_rate_stream,
+        synthesize_large, synthesize_many_forms, synthesize_summary, synthesize_stream, sanitize_stream, windowed_rate_stream,
         frame_sizes, split_batches, event_file_manifest, budget_bytes, budget_count, pack_packets, pack_documents, group_packets,
         batch_stream, batch_documents,
         throughput_summary, step_rates, delivery_reconciliation, lost_events,
