@@ -21,7 +21,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 10",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "capitals": "100 * n_upper > 50 * word_chars",
