@@ -19,7 +19,7 @@ from veilworks.operators.dimensions import profile_values, profiles, token_kinds
 from veilworks.operators.ordering import dense_index, first_over, prefix_sums
 from veilworks.session import fresh_folder
 from veilworks.sources.catalog_files import export_document, read_catalog, read_entries, read_raw_catalog, write_catalog
-from veilworks.sources.event_files import event_files, file_stamp, write_event_files
+from veilworks.sources.event_files import append_event_files, event_files, file_stamp, taken_indexes, write_event_files
 from veilworks.sources.tables import broadcast_if_small, spread
 from veilworks.streaming import jobs as J
 
@@ -385,8 +385,16 @@ def test_event_files(spark):
     free = [i for i in range(40) if i not in (0, 3, 4, 9, 30)][:12]
     assert names == [f"{stamp}_{i + 1:04d}.log" for i in free]
     path = fresh_folder(spark, "files")
-    write_event_files(event_files(events, stamp), path, events_per_file=1)
-    assert spark.read.text(f"{path}/events").count() == 12 and spark.read.parquet(f"{path}/manifest").count() == 12
+    listed = write_event_files(event_files(events, stamp), path, part=F.col("event_idx") % 2, events_per_file=1)
+    assert [(r.part, r.event_idx, r.file_name) for r in listed.orderBy("event_idx").collect()] == [(str(r.event_idx % 2), r.event_idx, r.file_name) for r in plain]
+    assert spark.read.parquet(path).count() == 12 == len(spark.read.parquet(path).inputFiles())
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        write_event_files(event_files(events, stamp), path)
+    # a second run of the same stamp goes on behind the names in the folder
+    more = event_files(events, stamp, taken=taken_indexes(spark, path, stamp))
+    names = [r.file_name for r in append_event_files(more, path, part=F.lit(2)).collect()]
+    assert len(set(names)) == 24 and f"{stamp}_0024.log" in names
+    assert taken_indexes(spark, path + "-none", stamp).count() == 0
 
 
 # --- metering ---------------------------------------------------------------------------------------

@@ -411,6 +411,10 @@ ORACLES = {
     "split_batches": r"SELECT doc_id, CAST(unnest(range(len(e))) AS BIGINT) AS event_no, unnest(e) AS event FROM "
     r"(SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+', 0) AS e FROM documents)",
     "event_file_manifest": _MANIFEST,
+    "event_files_written": f"""
+        SELECT strftime(ts, '%Y%m%d') AS part, row_id AS event_idx,
+          '20300102_030405_006' || CASE WHEN row_id > 0 THEN '_' || {_PAD.format('(row_id + 1)')} ELSE '' END || '.log' AS file_name,
+          CAST(strlen(line) + 1 AS BIGINT) AS bytes, sha256(line || chr(10)) AS content_sha256 FROM ({L.LOG_LINES})""",
     "budget_bytes": _budget(1_000_000, None),
     "budget_count": _budget(2_000_000, 5_000),
     "pack_packets": _next_fit(_sized_lines(), V.PACKET_BYTES, V.PACKET_EVENTS, False),

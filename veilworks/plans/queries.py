@@ -21,7 +21,7 @@ from ..operators.dimensions import profile_attribute, profile_values, styles, to
 from ..operators.ordering import dense_index
 from ..session import fresh_folder
 from ..sources.catalog_files import read_entries, write_catalog
-from ..sources.event_files import event_files
+from ..sources.event_files import event_files, write_event_files
 from ..sources.tables import read_table, spread
 from ..streaming import jobs as J
 from . import lines as L
@@ -545,6 +545,16 @@ def event_file_manifest(spark, sf):
     return out.select("event_idx", "file_name", F.col("bytes").cast("long"))
 
 
+def event_files_written(spark, sf):
+    """Event files written by day: the manifest of the folder, and what the files hold."""
+    lines = L.log_lines(spark, sf).select(F.col("row_id").alias("event_idx"), F.col("line").alias("body"), F.date_format("ts", "yyyyMMdd").alias("day"))
+    path = fresh_folder(spark, "events")
+    files = event_files(lines, "20300102_030405_006", keep=["day"])
+    listed = write_event_files(files, path, part=F.col("day"))
+    held = spark.read.parquet(path).select("event_idx", F.sha2("content", 256).alias("content_sha256"))
+    return listed.join(held, "event_idx").select("part", "event_idx", "file_name", F.col("bytes").cast("long"), "content_sha256")
+
+
 def budget_bytes(spark, sf):
     """Documents accepted before the byte budget of 1 MB breaks."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
@@ -657,7 +667,7 @@ QUERIES = {
         restore_mapped_values, analyze_templates, compile_segments, catalog_coverage, dedupe_compile, search_docs, search_catalog,
         round_robin_events, round_robin_fairness, event_time_range, event_time_offset, synthesize_events, synthesize_offset,
         synthesize_large, synthesize_many_forms, synthesize_summary, synthesize_stream, sanitize_stream, windowed_rate_stream,
-        frame_sizes, split_batches, event_file_manifest, budget_bytes, budget_count, pack_packets, pack_documents, group_packets,
+        frame_sizes, split_batches, event_file_manifest, event_files_written, budget_bytes, budget_count, pack_packets, pack_documents, group_packets,
         batch_stream, batch_documents,
         throughput_summary, step_rates, delivery_reconciliation, lost_events,
     )

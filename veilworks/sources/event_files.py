@@ -1,10 +1,10 @@
-"""Event files: one logical file per event, stored as partitioned text with a manifest of names and sizes."""
+"""Event files: one logical file per event, stored once as partitioned rows; the manifest is read from them."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.framing import newline_framed
@@ -42,9 +42,9 @@ def free_indexes(events: DataFrame, taken: DataFrame, idx: str = "event_idx") ->
 
 
 def event_files(
-    events: DataFrame, stamp: str, body: str = "body", taken: DataFrame | None = None, idx: str = "event_idx"
+    events: DataFrame, stamp: str, body: str = "body", taken: DataFrame | None = None, idx: str = "event_idx", keep: list[str] | None = None
 ) -> DataFrame:
-    """``(event_idx, file_name, bytes, content)``: newline-framed content and the name it goes by."""
+    """``(event_idx, file_name, bytes, content, *keep)``: newline-framed content and the name it goes by."""
     rows = free_indexes(events, taken, idx) if taken is not None else events.withColumn("file_index", F.col(idx))
     content = newline_framed(F.col(body))
     return rows.select(
@@ -52,19 +52,44 @@ def event_files(
         file_name(stamp, F.col("file_index")).alias("file_name"),
         F.octet_length(content).alias("bytes"),
         content.alias("content"),
+        *(keep or []),
     )
 
 
-def write_event_files(files: DataFrame, path: str, events_per_file: int = 0) -> None:
-    """Content under ``events/`` (one line per event) and names under ``manifest/``; nothing for no events.
+def write_event_files(files: DataFrame, path: str, part: Column | None = None, events_per_file: int = 0) -> DataFrame:
+    """Write the events once, by ``part`` (a day, a template; one part if none), and return the manifest of what is there.
 
-    ``events_per_file=1`` gives literally one physical file per event: for small runs only. Existing output
-    is an error, never overwritten.
+    A row is one logical file: its name, size and content, so name and content cannot disagree. Existing output is an
+    error, never overwritten; ``append_event_files`` goes on in a folder. ``events_per_file=1`` gives one physical file
+    per event: for small runs only.
     """
-    if files.isEmpty():
-        return
-    files.drop("content").write.mode("error").parquet(f"{path}/manifest")
-    writer = files.select(F.regexp_replace("content", "\n$", "").alias("value")).write.mode("error")
+    return _write(files, path, part, events_per_file, "error")
+
+
+def append_event_files(files: DataFrame, path: str, part: Column | None = None, events_per_file: int = 0) -> DataFrame:
+    """The same into a folder that may hold files already; take ``taken_indexes`` first."""
+    return _write(files, path, part, events_per_file, "append")
+
+
+def _write(files: DataFrame, path: str, part: Column | None, events_per_file: int, mode: str) -> DataFrame:
+    rows = files.withColumn("part", part if part is not None else F.lit("all"))
+    writer = rows.write.mode(mode).partitionBy("part")
     if events_per_file:
         writer = writer.option("maxRecordsPerFile", events_per_file)
-    writer.text(f"{path}/events")
+    writer.parquet(path)
+    return manifest(files.sparkSession, path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, event_idx, file_name, bytes)`` of a folder; contents are not read."""
+    return spark.read.option("basePath", path).parquet(path).select(F.col("part").cast("string").alias("part"), "event_idx", "file_name", "bytes")
+
+
+def taken_indexes(spark: SparkSession, path: str, stamp: str) -> DataFrame:
+    """``(file_index)`` of the names with this stamp in a folder, for ``event_files``; empty if the folder is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "file_index long")
+    name = F.regexp_extract("file_name", "^" + stamp + r"(?:_([0-9]+))?\.log$", 1)
+    names = manifest(spark, path).where(F.col("file_name").startswith(stamp))
+    return names.select(F.when(name == "", F.lit(0)).otherwise(name.cast("long") - 1).cast("long").alias("file_index"))
