@@ -24,11 +24,11 @@ def _violations(df: DataFrame, rules: dict[str, Column], *keep: str) -> DataFram
     return df.select(*keep, F.explode(hit).alias("rule"))
 
 
-def _duplicates(df: DataFrame, *extra: Column) -> DataFrame:
+def _duplicates(df: DataFrame, *extra: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per id that occurs more than once; counts are combined before the shuffle."""
     return (
         df.where(F.col("id").isNotNull())
-        .groupBy("id")
+        .groupBy(*by, "id")
         .agg(F.count(F.lit(1)).alias("n"), *extra)
         .where("n > 1")
         .withColumn("rule", F.lit("duplicate_id"))
@@ -66,8 +66,8 @@ def save_violations(templates: DataFrame) -> DataFrame:
     return _violations(templates, rules, "id").unionByName(_duplicates(templates).select("id", "rule"))
 
 
-def catalog_file_violations(raw: DataFrame) -> DataFrame:
-    """``(pos, id, rule)`` for entries as read from a file (see ``read_raw_catalog``)."""
+def catalog_file_violations(raw: DataFrame, *by: str) -> DataFrame:
+    """``(*by, pos, id, rule)`` for entries as read from files (see ``read_raw_catalog``); ``"file"`` checks many at once."""
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     is_object = F.coalesce(F.col("is_object"), F.lit(False))
     has_map = F.col("test_case_type").startswith("OBJECT")
@@ -89,8 +89,8 @@ def catalog_file_violations(raw: DataFrame) -> DataFrame:
         "empty_name": F.col("name") == "",
         "empty_sample": F.col("sample") == "",
     }
-    doubles = _duplicates(raw, F.max("pos").alias("pos")).select("pos", "id", "rule")
-    return _violations(raw, rules, "pos", "id").unionByName(doubles)
+    doubles = _duplicates(raw, F.max("pos").alias("pos"), by=by).select(*by, "pos", "id", "rule")
+    return _violations(raw, rules, *by, "pos", "id").unionByName(doubles)
 
 
 # ----------------------------------------------------------------------------------------------------

@@ -183,3 +183,18 @@ PART_TOKENIZED = (
     "CASE WHEN p_partkey % 3 = 0 THEN ' code {{STORE_CODE}}' ELSE '' END"
 )
 PART_ID = "lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(4, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0')"
+
+# each kind of mistake a catalog file can have, and none; %s is a name from the tables
+FILES = [
+    ('{"schema_version":2,"logs":[{"id":"1","name":"%s","sample":"s"}]}', ["schema_version"]),
+    ('{"schema_version":1}', ["logs_missing"]),
+    ('{"schema_version":1,"logs":[3]}', ["entry_not_object"]),
+    ('{"schema_version":1,"logs":[{"id":"1","name":"%s"}]}', ["missing_text"]),
+    ('{"schema_version":1,"logs":[{"id":"1","name":"%s","sample":"s","source":5}]}', ["source_not_text"]),
+    ('{"schema_version":1,"logs":[{"id":"a1","name":"%s","sample":""}]}', ["empty_sample", "id_not_digits"]),
+    ('{"schema_version":1,"logs":[{"id":"1","name":"%s","sample":"s"},{"id":"1","name":"","sample":"s"}]}', ["duplicate_id", "empty_name"]),
+    ('{"schema_version":1,"logs":[{"id":"1","name":"%s","sample":"s","test_case":[]}]}', ["test_case_not_object"]),
+    ('{"schema_version":1,"logs":[{"id":"1","name":"%s","sample":"s","test_case":{"A":"x"}}]}', ["test_case_not_array"]),
+    ('{"schema_version":1,"logs":[{"id":"1","name":"%s","sample":"s","test_case":{"A":["x",1]}}]}', ["test_case_not_text"]),
+    ('{"schema_version":1,"logs":[{"id":"1","name":"%s","sample":"s","test_case":{"A":["x"]}}]}', []),
+]

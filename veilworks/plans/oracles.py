@@ -373,6 +373,19 @@ ORACLES = {
         SELECT event_id AS event_idx, {_PAD.format('k')} AS template_id, 'z ' || strftime(TIMESTAMP '2030-01-02 04:34:05' + to_microseconds(event_id * 10000) + to_minutes(CAST((z % 15) * 60 + z // 15 * 15 AS BIGINT)), '%Y-%m-%dT%H:%M:%S')
           || '+' || lpad(CAST(z % 15 AS VARCHAR), 2, '0') || ':' || lpad(CAST(z // 15 * 15 AS VARCHAR), 2, '0') || ' k' || k AS body
         FROM events, n, t WHERE turn = event_id % n""",
+    "pseudonymize_hashed": "SELECT c_mktsegment AS source, count(*) AS customers, CAST(0 AS BIGINT) AS left_over, CAST(0 AS BIGINT) AS outside FROM customer GROUP BY c_mktsegment",
+    "timestamps_several": f"""
+        SELECT row_id, 'u={{{{TIMESTAMP:ISO8601:' || strftime(t, '%Y/%m/%d %-H:%M:%S') || '}}}} [{{{{TIMESTAMP:APACHE:' || strftime(t, '%d/%b/%Y:%H:%M:%S') || ' +0530}}}}] run {{{{TIMESTAMP:COMPACT_T:'
+          || strftime(t, '%Y%m%dT%H%M%S') || '.5-0330}}}} born={{{{TIMESTAMP:DATE:' || strftime(t, '%Y/%m/%d') || '}}}} kept_month={{{{TIMESTAMP:YEAR_MONTH:' || strftime(t, '%Y-%m') || '}}}}' AS line FROM {L.ORDERS}""",
+    "batch_stream_kind": _next_fit(_sized_lines(1), V.STREAM_BATCH_BYTES, V.STREAM_BATCH_EVENTS, True, out="batch_no"),
+    "budget_duration": """
+        WITH r AS (SELECT doc_id, text, sum(strlen(text)) OVER (ORDER BY doc_id) AS b FROM documents),
+        c AS (SELECT min(CASE WHEN text <> '' AND doc_id * 10 >= 5000 THEN doc_id END) AS late, min(CASE WHEN b > 3000000 THEN doc_id END) AS big FROM r)
+        SELECT doc_id, CASE WHEN late IS NULL AND big IS NULL THEN 'sent' WHEN big IS NULL OR late <= big THEN 'duration' ELSE 'bytes' END AS stop_reason
+        FROM r, c WHERE doc_id < coalesce(least(late, big), 9223372036854775807)""",
+    "restore_two_keys": f"SELECT {L.PART_ID} AS id, 'z' || p_type || ' ' || p_brand || ' / ' || p_brand || ' end' AS restored FROM part",
+    "catalog_files_checked": "SELECT s_suppkey, unnest("
+    + str([r for _, r in L.FILES]) + "[s_suppkey % " + str(len(L.FILES)) + " + 1]) AS rule FROM supplier",
     "windowed_rate_stream": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS events FROM events GROUP BY event_type, date_trunc('hour', ts) "
     "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "restore_mapped_values": f"SELECT {L.PART_ID} AS id, replace({L.PART_SAMPLE}, '{{{{FILE_PATH}}}}', '/var/log/' || p_type || '/20240305__x.json') AS restored FROM part",

@@ -20,7 +20,7 @@ from ..operators import synthesis as S
 from ..operators.dimensions import profile_attribute, profile_values, styles, token_kinds
 from ..operators.ordering import dense_index
 from ..session import fresh_folder
-from ..sources.catalog_files import read_entries, write_catalog
+from ..sources.catalog_files import read_entries, read_raw_catalog, write_catalog
 from ..sources.event_files import event_files, write_event_files
 from ..sources.tables import read_table, spread
 from ..streaming import jobs as J
@@ -121,11 +121,12 @@ def pseudonymize_contacts(spark, sf):
 
 
 def pseudonymize_hashed(spark, sf):
-    """Hash-chosen identities: how many customers each of the fifty got."""
+    """Hash-chosen identities: every customer has one of the fifty, and no marker is left."""
     lines = D.sanitize_table(L.contact_lines(spark, sf), "line")
-    return D.pseudonymize(lines, "row_id", "line").groupBy("profile_idx").agg(
-        F.count(F.lit(1)).alias("customers"), F.count_if(F.col("line").contains("{{")).alias("left_over")
-    )
+    return D.pseudonymize(lines, "row_id", "line").groupBy("source").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(F.col("line").contains("{{")).alias("left_over"),
+        F.count_if(~F.col("profile_idx").between(0, V.PROFILE_COUNT - 1)).alias("outside"),
+    )
 
 
 def stable_pseudonyms(spark, sf):
@@ -223,13 +224,14 @@ def rebase_zoned(spark, sf):
     return L.order_lines(spark, sf).select("row_id", T.rebased(F.col("line"), F.col("t"), local_tz="+09:00").alias("line"))
 
 
-def timestamps_in_documents(spark, sf):
-    """Timestamps in free text by style (the text tables hold few)."""
-    docs = _docs(spark, sf)
-    spans = docs.where(F.col("text").rlike("[0-9]")).select(F.explode(T.resolved(F.col("text"))).alias("s"))
-    return spans.groupBy(F.col("s.style").alias("style")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("s.raw")).cast("long").alias("chars")
-    )
+def timestamps_several(spark, sf):
+    """Lines with a one-digit hour, a zone and a fraction behind one another, and a date that lies inside a longer stamp."""
+    day = F.date_format("t", "yyyy/MM/dd")
+    line = F.concat(
+        F.lit("u="), day, F.lit(" "), F.date_format("t", "H:mm:ss"), F.lit(" ["), F.date_format("t", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0530] run "),
+        F.date_format("t", "yyyyMMdd'T'HHmmss"), F.lit(".5-0330 born="), day, F.lit(" kept_month="), F.date_format("t", "yyyy-MM"),
+    )
+    return L.order_lines(spark, sf).select("row_id", T.mark(line).alias("line"))
 
 
 # --- catalog ----------------------------------------------------------------------------------------
@@ -370,6 +372,27 @@ def deid_company(spark, sf):
     return D.sanitize_table(rows, "line", company_literals=V.COMPANY_LITERALS)
 
 
+def restore_two_keys(spark, sf):
+    """Two keys in one test case; a value of the first brings the marker of the second."""
+    p = read_table(spark, sf, "part")
+    case = F.create_map(
+        F.lit("B"), F.array(F.col("p_type"), F.col("p_brand"), F.lit("end")), F.lit("A"), F.array(F.lit("z{{B}}"), F.col("p_brand")),
+    )
+    rows = p.select(C.padded_id(F.col("p_partkey")).alias("id"), F.lit("{{A}} {{B}} / {{A}} {{B}}").alias("sample"), case.alias("test_case"))
+    return C.restore_mapped_values(rows).select("id", "restored")
+
+
+def catalog_files_checked(spark, sf):
+    """A catalog file per nation and supplier, each with a mistake by its number: violations of every file."""
+    k = F.pmod("s_suppkey", F.lit(len(L.FILES)))
+    text = F.replace(F.element_at(F.array(*[F.lit(f) for f, _ in L.FILES]), (k + 1).cast("int")), F.lit("%s"), F.col("n_name"))
+    names = read_table(spark, sf, "supplier").join(read_table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    path = fresh_folder(spark, "files")
+    names.select(F.col("s_suppkey").alias("file"), text.alias("value")).write.partitionBy("file").text(path)
+    bad = C.catalog_file_violations(read_raw_catalog(spark, f"{path}/*/*"), "file")
+    return bad.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("s_suppkey"), "rule")
+
+
 def restore_mapped_values(spark, sf):
     return C.restore_mapped_values(L.part_templates(spark, sf)).select("id", "restored")
 
@@ -603,6 +626,17 @@ def batch_stream(spark, sf):
     return K.batch_stream(_sized_lines(spark, sf), "file")
 
 
+def batch_stream_kind(spark, sf):
+    """Stream batches: below 1 024 events and 1 MiB; a lane holds them all."""
+    return K.batch_stream(_sized_lines(spark, sf, 1), "stream")
+
+
+def budget_duration(spark, sf):
+    """Documents that come every 10 ms, for 5 seconds or 3 MB."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") * 10).alias("ms"))
+    return K.budgeted(d, "doc_id", "text", max_ms=5_000, max_bytes=3_000_000, elapsed_ms="ms").select("doc_id", "stop_reason")
+
+
 def batch_documents(spark, sf):
     """The same over documents in one lane, where the byte limit decides."""
     d = dense_index(read_table(spark, sf, "documents").select("doc_id", newline_framed_size(F.col("text")).alias("bytes")), "doc_id")
@@ -661,14 +695,14 @@ QUERIES = {
         deid_token_counts, deid_text_rewrite, deid_pages, deid_contacts, extract_fields, field_dictionary, classify_line_fields,
         privacy_audit, privacy_audit_lines, invalid_json_payloads, mask_endpoints, tokenize_lines, pseudonymize_contacts,
         pseudonymize_hashed, stable_pseudonyms, synthetic_people, synthetic_values, dictionary_terms, token_totals,
-        detect_timestamps, timestamp_profile, timestamp_totals, mark_timestamps, rebase_timestamps, rebase_zoned, timestamps_in_documents,
+        detect_timestamps, timestamp_profile, timestamp_totals, mark_timestamps, rebase_timestamps, rebase_zoned, timestamps_several,
         catalog_validate, catalog_next_id, catalog_upsert, catalog_delete, catalog_select, catalog_unknown_ids, catalog_roundtrip, catalog_roundtrip_unordered,
         compile_with_nulls, catalog_validate_nulls, upsert_unknown, dense_hashed_ids, mapped_paths, coverage_shortfalls, deid_company,
-        restore_mapped_values, analyze_templates, compile_segments, catalog_coverage, dedupe_compile, search_docs, search_catalog,
+        restore_mapped_values, restore_two_keys, catalog_files_checked, analyze_templates, compile_segments, catalog_coverage, dedupe_compile, search_docs, search_catalog,
         round_robin_events, round_robin_fairness, event_time_range, event_time_offset, synthesize_events, synthesize_offset,
         synthesize_large, synthesize_many_forms, synthesize_summary, synthesize_stream, sanitize_stream, windowed_rate_stream,
         frame_sizes, split_batches, event_file_manifest, event_files_written, budget_bytes, budget_count, pack_packets, pack_documents, group_packets,
-        batch_stream, batch_documents,
+        batch_stream, batch_stream_kind, batch_documents, budget_duration,
         throughput_summary, step_rates, delivery_reconciliation, lost_events,
     )
 }
