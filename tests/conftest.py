@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from veilworks.session import build_session  # noqa: E402
+from veilworks.session import build_session, remove_folders  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ def spark():
     session = build_session("tests", "local[8]", 8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_folders(session)
     session.stop()
 
 

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "veilworks", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution and a UTC clock. Everything else is left to the cluster."""
+def build_session(app: str = "veilworks", master: str | None = None, shuffle_partitions: int | None = None, folder: str | None = None) -> SparkSession:
+    """A session with adaptive execution and a UTC clock; ``folder`` is shared by all executors. The rest is left to the cluster."""
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,6 +21,8 @@ def build_session(app: str = "veilworks", master: str | None = None, shuffle_par
     )
     if master:
         b = b.master(master)
+    if folder:
+        b = b.config("spark.checkpoint.dir", folder)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -45,8 +47,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/veilworks-{spark.sparkContext.applicationId}"
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folders(spark: SparkSession) -> None:
+    """Delete what this application's jobs have written between their steps. Tables that read it are gone then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
