@@ -6,25 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .columns import BOUNDARY, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, any_of, bind, replace_when
+from .columns import NOT_AFTER_WORD, SPACE, any_of, bind, replace_when
 from .field_kinds import FieldRule
 from .fields import mask_fields
 
-EMAIL = (
-    BOUNDARY + r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+" + BOUNDARY
-)
-PHONE = (
-    r"(?:\+82[- ]?0?1[016789]|01(?<!\w01)[016789])[- ]?\d{3,4}[- ]?\d{4}" + NOT_BEFORE_WORD
-)
-RESIDENT = NOT_AFTER_WORD + r"\d{6}[- ]?[1-8]\d{6}" + NOT_BEFORE_WORD
-MAC = NOT_AFTER_WORD + r"(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}" + NOT_BEFORE_WORD
-USER_DIR = r"(?i)(" + NOT_AFTER_WORD + r"[a-z]:\\Users\\)[^\\" + SPACE + r"]+"
+EMAIL, PHONE, RESIDENT, MAC, USER_DIR = V.EMAIL_VALUE, V.PHONE_VALUE, V.RESIDENT_VALUE, V.MAC_VALUE, V.USER_DIR_VALUE
 CODE_FIELD_STORE = (
     r"(?i)(" + NOT_AFTER_WORD + r"(?:" + any_of(V.STORE_CODE_WORDS) + r")\s*[:=]\s*[\"']?)\{\{STORE\}\}"
 )
 PARTIAL_MAC = r"(^|[^0-9A-Za-z_])(?:[0-9A-Fa-f]{2}:)+[\"']?\{\{MAC_ADDRESS\}\}"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
-IP = r"\d{1,3}(?:\.\d{1,3}){3}"
+IP = V.IP_VALUE
 
 
 def _endpoint_field(names: list[str]) -> str:

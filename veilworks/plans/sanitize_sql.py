@@ -5,6 +5,7 @@ The character in front of a pair is consumed instead of looked behind at. Only u
 
 from __future__ import annotations
 
+from ..functions import fixed as V
 from ..functions.field_kinds import kind_sql
 
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
@@ -51,7 +52,7 @@ def sanitized(table: str, key: str, text: str) -> str:
     resident = r"\b\d{6}[- ]?[1-8]\d{6}\b"
     mac = r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b"
     home = r"(?i)(\b[a-z]:\\Users\\)[^\\\s]+"
-    store = r"(?i)(\b(?:store_code|branch_code|shop_code|site_num|site_code|site_cd|str_cd|bizpl_cd)\s*[:=]\s*[" + "\"''" + r"]?)\{\{STORE\}\}"
+    store = r"(?i)(\b(?:" + "|".join(V.STORE_CODE_WORDS) + r")\s*[:=]\s*[" + "\"''" + r"]?)\{\{STORE\}\}"
     partial = r"(^|[^0-9A-Za-z_])(?:[0-9A-Fa-f]{2}:)+[" + "\"''" + r"]?\{\{MAC_ADDRESS\}\}"
     chain = "t1"
     for pattern, new in [
