@@ -440,8 +440,17 @@ def test_synthesize_stream(spark, catalog):
 # --- layout -----------------------------------------------------------------------------------------
 
 
+def test_each_text_is_rewritten_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = D.token_counts(docs, "source", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[1-8]\\d{6}") == 1, plan.count("[1-8]\\d{6}")
+
+
 def test_layout_helpers(spark, sf):
     small = spark.read.parquet(f"{sf}/documents.parquet")
     assert spread(small, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = fresh_folder(spark, "many")
+    spark.range(0, 400, 1, 40).write.parquet(many)
+    assert "Exchange" not in spread(spark.read.parquet(many), "id")._jdf.queryExecution().executedPlan().toString()
     assert "broadcast" in broadcast_if_small(small)._jdf.queryExecution().logical().toString()
     assert "broadcast" not in broadcast_if_small(small, max_rows=10)._jdf.queryExecution().logical().toString()

@@ -15,10 +15,16 @@ from ..functions.timestamps import placed
 from .dimensions import profile_attribute
 
 
-def extract_fields(df: DataFrame, key: str, text: str, nested: bool = False) -> DataFrame:
-    """``(key, field_no, pos, field, value, quoted)`` for every pair of every text; no shuffle."""
+def extract_fields(df: DataFrame, key: str, text: str, nested: bool = False, positions: bool = True) -> DataFrame:
+    """``(key, field_no, pos, field, value, quoted)`` for every pair of every text; no shuffle.
+
+    Positions cost two more passes of the pattern: leave them out where they are not needed (no ``pos`` then).
+    """
     pattern = pair_pattern(nested)
     holding = df.where(may_hold_pair(F.col(text)))
+    if not positions:
+        rows = holding.select(key, F.posexplode(pairs(F.col(text), nested)).alias("field_no", "p"))
+        return rows.select(key, "field_no", "p.field", "p.value", F.col("p.head").rlike("[:=] *[\"']$").alias("quoted"))
     both = F.arrays_zip(pairs(F.col(text), nested).alias("pair"), placed(F.col(text), pattern).alias("place"))
     rows = holding.select(key, F.posexplode(both).alias("field_no", "p"))
     return rows.select(

@@ -67,19 +67,19 @@ def _field_texts(spark, sf):
 
 
 def extract_fields(spark, sf):
-    return D.extract_fields(_field_texts(spark, sf), "row_id", "text").select(
+    return D.extract_fields(_field_texts(spark, sf), "row_id", "text", positions=False).select(
         "row_id", F.col("field_no").cast("long").alias("field_no"), "field", "value", "quoted"
     )
 
 
 def field_dictionary(spark, sf):
-    return D.field_dictionary(D.extract_fields(_field_texts(spark, sf), "row_id", "text"))
+    return D.field_dictionary(D.extract_fields(_field_texts(spark, sf), "row_id", "text", positions=False))
 
 
 def classify_line_fields(spark, sf):
     """Every field of the contact and event lines with its kind, counted."""
     both = L.contact_lines(spark, sf).select("row_id", "line").unionByName(L.log_lines(spark, sf).select("row_id", "line"))
-    return D.field_dictionary(D.extract_fields(both, "row_id", "line"))
+    return D.field_dictionary(D.extract_fields(both, "row_id", "line", positions=False))
 
 
 def privacy_audit(spark, sf):
