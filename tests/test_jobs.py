@@ -352,8 +352,8 @@ def test_ordering(spark):
         total += values[i]
     assert {r.id: r.v_before for r in prefix_sums(df, "id", {"v": F.col("v")}).collect()} == expected
     cut = next(i for i in sorted(ids) if expected[i] + values[i] > total // 2)
-    assert first_over(df, "id", F.col("v"), total // 2).first()[0] == cut
-    assert first_over(df, "id", F.col("v"), total).first()[0] is None
+    assert first_over(df, "id", F.col("v"), total // 2) == cut
+    assert first_over(df, "id", F.col("v"), total) is None
     assert [r.seq for r in dense_index(df, "id").orderBy("id").collect()] == list(range(1500))
 
 

@@ -58,22 +58,33 @@ def dense_index(df: DataFrame, order: str, by: list[str] | None = None, name: st
     return prefix_sums(df, order, {"n": F.lit(1)}, by).withColumnRenamed("n_before", name)
 
 
-def first_over(df: DataFrame, order: str, size: Column, limit: int) -> DataFrame:
-    """One row ``(cut)``: the first order whose running total passes the limit, NULL if none does.
+def first_over_each(df: DataFrame, order: str, limits: dict[str, tuple[Column, int]]) -> dict[str, int | None]:
+    """For each ``name: (size, limit)`` the first order whose running total passes the limit, None if none does.
 
-    Only bucket totals are shuffled; rows are looked at again in the one bucket that holds the cut.
+    One pass sums the buckets of all sizes, and only these totals are shuffled; a second one looks at the rows of the
+    few buckets that hold a cut.
     """
-    offsets = _bucket_offsets(df, order, {"v": size}, [])
-    bucket = (
-        offsets.where(F.col("v_base") + F.col("v_sum") > limit)
-        .agg(F.min(F.struct("b1", "v_base")).alias("b"))
-        .select("b.*")
-        .first()
-    )
-    spark = df.sparkSession
-    if bucket["b1"] is None:
-        return spark.range(1).select(F.lit(None).cast("long").alias("cut"))
-    low = bucket["b1"] << BITS
-    inside = df.where(F.col(order).between(low, low + (1 << BITS) - 1)).select(order, size.cast("long").alias("v"))
-    running = F.sum("v").over(W.partitionBy(F.shiftright(order, BITS)).orderBy(order)) + F.lit(bucket["v_base"])
-    return inside.select(order, running.alias("total")).where(F.col("total") > limit).agg(F.min(order).alias("cut"))
+    offsets = _bucket_offsets(df, order, {n: size for n, (size, _) in limits.items()}, [])
+    found = offsets.agg(
+        *[F.min(F.when(F.col(f"{n}_base") + F.col(f"{n}_sum") > limit, F.struct("b1", f"{n}_base"))).alias(n) for n, (_, limit) in limits.items()]
+    ).first()
+    cuts = {n: found[n] for n in limits if found[n] is not None}
+    if not cuts:
+        return dict.fromkeys(limits)
+    bucket = F.shiftright(order, BITS)
+    near = None
+    for b in {c["b1"] for c in cuts.values()}:
+        here = F.col(order).between(b << BITS, (b << BITS) + (1 << BITS) - 1)
+        near = here if near is None else near | here
+    running = W.partitionBy("b1").orderBy(order)
+    rows = df.where(near).select(order, bucket.alias("b1"), *[limits[n][0].cast("long").alias(n) for n in cuts])
+    rows = rows.select(order, "b1", *[F.sum(n).over(running).alias(n) for n in cuts])
+    first = rows.agg(
+        *[F.min(F.when((F.col("b1") == c["b1"]) & (F.col(n) + F.lit(c[f"{n}_base"]) > limits[n][1]), F.col(order))).alias(n) for n, c in cuts.items()]
+    ).first()
+    return dict.fromkeys(limits) | first.asDict()
+
+
+def first_over(df: DataFrame, order: str, size: Column, limit: int) -> int | None:
+    """The first order whose running total passes the limit."""
+    return first_over_each(df, order, {"v": (size, limit)})["v"]
