@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.columns import BOUNDARY, NOT_AFTER_WORD, NOT_BEFORE_WORD, any_of, bind, count_of, marker, matches
+from ..functions.columns import NOT_AFTER_WORD, NOT_BEFORE_WORD, any_of, bind, count_of, marker, matches
 from ..functions.field_kinds import FieldRule, kind_of, normalize
 from ..functions.fields import may_hold_pair, pair_pattern, pairs
 from ..functions.sanitize import CODE_FIELD_STORE, CONTROLS, mask_endpoints, sanitize
-from ..functions.templates import TOKEN_MARKER, kind_bit, tokenize
+from ..functions.templates import TOKEN_MARKER, tokenize
 from ..functions.timestamps import placed
 from .dimensions import profile_attribute
 
