@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2_000
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -144,6 +145,14 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_ROWS texts (a session setting), so that long texts fit beside the heap."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch, int, int, np.ndarray, np.ndarray], dict[str, object] | None], column: str = "text", packed: bool = False) -> DataFrame:
     """mapInArrow that calls ``work(batch, lo, hi, bytes, offsets)`` for every slice and emits its columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -158,7 +167,7 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch, int,
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) and out[f.name].type == f.type else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def rows_of(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> pa.Array:

@@ -13,7 +13,6 @@ so nothing is shuffled and a hot source or a very long text stays in its own sli
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import re
 import struct
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .arrays import map_slices, rows_of, span_hashes
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NONE = np.int64(1) << 62
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 0
 # Unicode's White_Space; fixed values

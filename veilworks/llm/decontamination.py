@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import map_slices, rows_of, slices, span_hashes, words
+from .arrays import map_batches, map_slices, rows_of, slices, span_hashes, words
 
 THRESHOLD = 0.6
 OVERLAP = 0.8
@@ -258,7 +258,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: floa
                     keep[[lo + r for r, _ in leaks_of(shared.value, [t or "" for t in rows_of(b, text, lo, hi).to_pylist()], threshold, overlap)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs
 
 

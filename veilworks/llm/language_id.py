@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrays import map_slices, mix, rows_of, runs, slices, span_hashes
+from .arrays import map_batches, map_slices, mix, rows_of, runs, slices, span_hashes
 from .quality_classifier import bucket
 
 ORDER = 4
@@ -158,7 +158,7 @@ def counted(learn: DataFrame) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_pandas(pd.concat(parts).groupby(["lang", "code"], sort=False, as_index=False)["n"].sum(), preserve_index=False)
 
-    return learn.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return map_batches(learn, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def train(learn: DataFrame) -> Models:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrays import map_slices, rows_of, slices
+from .arrays import map_batches, map_slices, rows_of, slices
 from .measures import measure
 
 THRESHOLD = 0.3
@@ -108,7 +108,7 @@ def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return map_batches(stats.select("doc_id", "x"), run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Discriminant, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -120,7 +120,7 @@ def accepted(docs: DataFrame, model: Discriminant, text: str = "text", threshold
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def bucket(key: Column, n: int) -> Column:
