@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import mix, rows_of, slices
+from .arrays import map_batches, mix, rows_of, slices
 from .bpe import encode_texts, load
 from .tables import written
 
 LENGTH = 256
 SHARD = 1024
 STRIDE = 2 + 2 * LENGTH
+MAX_TASKS = 1 << 20  # up to so many writing tasks their offsets are broadcast
+SHARDS_PER_TASK = 64  # at most, when shards are written
 ROUNDS = 6
 KEY = 20_260_101
 
@@ -76,7 +78,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "at", "doc_id", "sequence", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, at long, doc_id long, sequence long, n int, ids binary")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(narrow, run, "part int, at long, doc_id long, sequence long, n int, ids binary")
 
 
 def placed(docs: DataFrame, path: str, key: int = KEY) -> tuple[DataFrame, int]:
@@ -87,13 +90,14 @@ def placed(docs: DataFrame, path: str, key: int = KEY) -> tuple[DataFrame, int]:
     block = parts.withColumn("block", F.expr("part div 4096"))
     inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     block = block.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    totals, begin = {}, 0
-    for r in block.groupBy("block").agg(F.sum("size").alias("size")).orderBy("block").collect():
+    totals, begin, tasks = {}, 0, 0
+    for r in block.groupBy("block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("tasks")).orderBy("block").collect():
         totals[r["block"]] = begin
-        begin += r["size"]
+        begin, tasks = begin + r["size"], tasks + r["tasks"]
     starts = F.create_map(*[F.lit(x).cast("long") for kv in totals.items() for x in kv]) if totals else F.expr("map(0L, 0L)")
     offsets = block.select("part", (F.col("before") + F.element_at(starts, F.col("block").cast("long"))).alias("begin"))
-    numbered = table.join(offsets, "part")
+    # a row of two numbers per writing task: counted, so the payload need not move for it
+    numbered = table.join(F.broadcast(offsets) if tasks <= MAX_TASKS else offsets, "part")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +116,8 @@ def shards(docs: DataFrame, path: str, key: int = KEY, partitions: int | None =
     """
     rows, n = placed(docs, path, key)
     many = -(-n // SHARD)
-    partitions = max(1, min(many, partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    wanted = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(many, wanted), -(-many // SHARDS_PER_TASK))
     per = -(-many // partitions) * SHARD
     ranged = rows.repartitionById(partitions, F.expr(f"cast(slot div {max(per, 1)} as int)")).sortWithinPartitions("slot")
 
