@@ -134,7 +134,9 @@ def test_non_negative_risk_finds_positives():
     x = (rng.random((n, 30)) < 0.05).astype(np.float32)
     x[hidden, 0] = rng.random(hidden.sum()) < 0.9
     positive = hidden & (rng.random(n) < 0.4)
-    weights, bias = toxicity.train(x, positive, 0.15)
+    row, column = np.nonzero(x)
+    order = np.random.default_rng(2).permutation(len(row))  # entries come in any order
+    weights, bias = toxicity.train(row[order], column[order], positive, 30, 0.15)
     z = x[~positive] @ weights + bias
     assert auc(z, hidden[~positive].astype(int)) > 0.85
 

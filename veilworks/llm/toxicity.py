@@ -58,25 +58,29 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return key >> 20, key & (BUCKETS - 1)
 
 
-def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4, sharp: float = 1.0) -> tuple[np.ndarray, float]:
-    """Non-negative risk with the sigmoid loss, Adam over all rows; deterministic."""
-    xp, xu = x[positive], x[~positive]
-    theta = np.zeros(x.shape[1] + 1)
+def train(row: np.ndarray, column: np.ndarray, positive: np.ndarray, features: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Non-negative risk with the sigmoid loss, Adam over all documents; deterministic.
+
+    Documents are the entries of ``positive``; document ``row[i]`` has feature ``column[i]``.
+    """
+    theta = np.zeros(features + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    size = {True: positive.sum(), False: (~positive).sum()}
 
-    def mean_gradient(rows: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
-        """Mean of the loss sigmoid(-sign * z) over rows, and its gradient."""
-        s = 1 / (1 + np.exp(np.clip(sharp * sign * (rows @ theta[:-1] + theta[-1]), -40, 40)))
-        g = -sign * sharp * s * (1 - s)
-        return float(s.mean()), np.append(rows.T @ g, g.sum()) / len(rows)
+    def mean_gradient(slope: np.ndarray, side: bool) -> np.ndarray:
+        """Gradient of the mean over one side of a loss with these slopes in z."""
+        g = np.where(positive == side, slope, 0.0)
+        return np.append(np.bincount(column, g[row], features), g.sum()) / size[side]
 
     for t in range(1, steps + 1):
-        _, up = mean_gradient(xp, 1.0)
-        as_zero, g_zero = mean_gradient(xp, -1.0)
-        unlabelled, g_unlabelled = mean_gradient(xu, -1.0)
-        rest, g_rest = unlabelled - prior * as_zero, g_unlabelled - prior * g_zero
-        g = prior * up + g_rest if rest >= 0 else -g_rest
+        z = np.bincount(row, theta[column], len(positive)) + theta[-1]
+        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))  # loss of calling a document toxic when it is not
+        slope = s * (1 - s)
+        rest = s[~positive].mean() - prior * s[positive].mean()
+        up = mean_gradient(slope, True)
+        g_rest = mean_gradient(slope, False) - prior * up
+        g = -prior * up + g_rest if rest >= 0 else -g_rest
         g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -114,13 +118,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Li
     slots = np.array(sorted(r["slot"] for r in best.collect()), np.int64)
     if not len(slots):
         return nothing
-    hits = entries.filter(F.col("slot").isin(slots.tolist())).select("doc_id", "positive", "slot").toPandas()
-    x = np.zeros((sizes[1] + sizes[0], len(slots)), np.float32)
-    positive = np.arange(len(x)) < sizes[1]
+    hits = entries.filter(F.col("slot").isin(slots.tolist())).select("doc_id", "positive", "slot").toArrow()
+    hits = {n: hits.column(n).to_numpy() for n in hits.column_names}
+    # documents of the positive side first; those without a chosen word have no entry
+    positive = np.arange(sizes[1] + sizes[0]) < sizes[1]
+    row = np.zeros(len(hits["slot"]), np.int64)
     for side, base in ((1, 0), (0, sizes[1])):
-        own = hits[hits["positive"] == side]
-        x[base + pd.factorize(own["doc_id"], sort=True)[0], np.searchsorted(slots, own["slot"])] = 1
-    weights, bias = train(x, positive, prior)
+        own = hits["positive"] == side
+        row[own] = base + pd.factorize(hits["doc_id"][own], sort=True)[0]
+    weights, bias = train(row, np.searchsorted(slots, hits["slot"]), positive, len(slots), prior)
     return Linear(slots, weights, bias)
 
 
