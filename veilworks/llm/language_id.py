@@ -201,7 +201,7 @@ def arrays_of(tables: list[DataFrame], languages: list[str], missing: float) ->
     whole = tables[0]
     for t in tables[1:]:
         whole = whole.unionByName(t)
-    whole = whole.mapInArrow(run, "order int, lang string, slot long, value double").groupBy("order", "lang", "slot").agg(F.max("value").alias("value")).toPandas()
+    whole = whole.mapInArrow(run, "order int, lang string, slot long, value double").groupBy("order", "lang", "slot").agg(F.max("value").alias("value")).toArrow().to_pandas()
     out = []
     for n in range(1, ORDER + 1):
         own = whole[whole["order"] == n]
