@@ -144,7 +144,7 @@ def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     firsts = found.groupBy("anchor", "block").agg(F.min(here).alias("first"))
     later = found.join(dealt_anew(firsts), ["anchor", "block"]).filter(here != F.col("first"))
     later = later.select("doc_id", "place", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
-    unsure = firsts.join(several, "anchor", "left_semi").select("first.doc_id", "first.place")
+    unsure = firsts.join(dealt_anew(several), "anchor", "left_semi").select("first.doc_id", "first.place")
     copies = later.unionByName(unsure, allowMissingColumns=True)
     copies = copies.groupBy("doc_id").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("copies"))
     base = packed_texts(narrow).join(copies, "doc_id", "left")
