@@ -14,6 +14,9 @@ from veilworks.llm.queries import vocabulary
 from veilworks.llm.tables import written
 from veilworks.sources.tables import read_table
 
+NEAR_GROUP = 5  # words; the near-duplicate rule of the pipeline, op8 has its own
+NEAR_SIMILAR = 80  # percent
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is trained here, without the held-out fold of the labels."""
@@ -23,8 +26,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of similar documents."""
-    found = jaccard_join.components(docs)
+    """The document of least id of each group of similar documents: five-word groups, similarity 0.8 or more."""
+    found = jaccard_join.components(docs, group=NEAR_GROUP, similar=NEAR_SIMILAR)
     return docs.join(found.filter("component_id != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -11,7 +11,7 @@ import corpus_pipeline
 from veilworks.llm import decontamination, quality_classifier
 from veilworks.llm.tables import written
 
-from test_operators import brute_components, brute_spans
+from test_operators import brute_components, brute_spans, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,6 +63,37 @@ def test_stages(spark, sf, docs, labels, items):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def five_word_components(rows, similar=80):
+    """doc_id -> least id of its component, every pair compared by groups of five words."""
+    low = {i: i + 32 for i in range(65, 91)}
+    sets, least = {}, {}
+    for i, t in rows:
+        w = words((t or "").translate(low))
+        sets[i], least[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), i
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]):
+                x, y = sorted((least[a], least[b]))
+                least = {i: x if c == y else c for i, c in least.items()}
+    return least
+
+
+def test_near_copies_by_five_words(spark, sf, docs):
+    """Copies around the limits: some reach 0.8 of five-word groups but not 0.85 of four-word groups."""
+    rng = np.random.default_rng(21)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for family in range(20):
+        base = [f"n{family}w{i}" for i in rng.integers(0, 5000, int(rng.integers(30, 140)))]
+        for copy in range(8):
+            edits = set(rng.integers(0, len(base), copy).tolist())
+            text = " ".join(f"e{copy}x{k}" if k in edits else w for k, w in enumerate(base))
+            rows.append((100_000 + 100 * family + copy, text.upper() if copy % 3 == 0 else text))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    want = {i for i, c in five_word_components(rows).items() if c == i}
+    assert want != {i for i, (_, c) in brute_components(rows).items() if c == i}
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, sf).collect()} == want
+
+
 def test_run_and_odd_rows(spark, sf, odd, docs):
     assert 0 < corpus_pipeline.run(spark, sf).count() < docs.count()
     table = odd
