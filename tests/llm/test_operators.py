@@ -179,6 +179,46 @@ def test_decontamination_finds_planted_items(spark, docs, items):
     assert left == {r[0] for r in rows if r[0] is not None} - {d for d, _ in want}
 
 
+def test_decontamination_finds_edited_and_cut_items(spark, docs, items):
+    """One word changed, dropped or put in, and questions whose short last sentence is missing or another one."""
+    tests = {r.item_id: r.text for r in items.collect()}
+    plain = [r for r in docs.collect() if r.text and not any(t in r.text for t in tests.values())][:40]
+    rows, want = [(r.doc_id, r.text) for r in plain], set()
+
+    def plant(i, text):
+        host, name = plain[len(rows) % len(plain)].text, 10_000 + len(rows)
+        rows.append((name, host[: len(host) // 2] + " " + text + "\n" + host[len(host) // 2 :]))
+        want.add((name, i))
+
+    for i, t in tests.items():
+        w = t.split(" ")
+        for k in range(i % 3, len(w), 3):
+            edit = (["zzzqqq"], [], [w[k], "zzzqqq"])[k % 3]
+            plant(i, " ".join(w[:k] + edit + w[k + 1 :]))
+        ends = [m.end() for m in re.finditer(r"[.!?](?=\s)", t)]
+        if ends and len(t[ends[-1] :].split()) <= 8 and 2 * len(t[: ends[-1]].split()) > len(w):
+            plant(i, t[: ends[-1]])
+            plant(i, t[: ends[-1]] + " Zzz qqq.")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = decontamination.leaks(df, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert any(r.answer_overlap == 0 for r in got) and all(0 <= x <= 1 for r in got for x in (r.question_overlap, r.answer_overlap))
+    assert {r.doc_id for r in decontamination.clean(df, items).collect()} == {r.doc_id for r in plain}
+
+
+def test_overlap_in_order_is_the_edit_distance():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        want, text = (rng.integers(0, 6, int(n)).tolist() for n in (rng.integers(1, 30), rng.integers(0, 60)))
+        cost = [0] * (len(text) + 1)
+        for i, x in enumerate(want):
+            below = [i + 1]
+            for j, y in enumerate(text):
+                below.append(min(cost[j] + (x != y), cost[j + 1] + 1, below[j] + 1))
+            cost = below
+        assert decontamination.in_order(want, text) == 1 - min(cost) / len(want)
+
+
 def test_wand_equals_scoring_everything(items):
     rows = [(r.item_id, r.text) for r in items.collect()]
     index = decontamination.build(rows, 0.3)
