@@ -400,6 +400,17 @@ def test_secrets_are_replaced(spark, odd):
     assert secret_scan.without_secrets(odd).columns == odd.columns
 
 
+def test_bare_hexadecimal_keys_of_either_case_are_replaced(spark):
+    rng = np.random.default_rng(17)
+    keys = [("".join(rng.choice(list(digits), size)), size) for digits in ("0123456789ABCDEF", "0123456789abcdefABCDEF") for size in (32, 40, 64) for _ in range(20)]
+    keys = [k for k, _ in keys if not re.search(secret_scan.ALLOWED, k)]
+    df = spark.createDataFrame([(i, f"é see {k} there, DEADLINE 20301231 ABCDEF") for i, k in enumerate(keys)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in secret_scan.without_secrets(df).collect()}
+    mark = re.compile(r"é see [0-9A-Fa-f]{0,12}\[SECRET\][0-9A-Fa-f]{0,12} there, DEADLINE 20301231 ABCDEF")
+    assert all(mark.fullmatch(t) for t in left.values()), [t for t in left.values() if not mark.fullmatch(t)]
+    assert sum(t == "é see [SECRET] there, DEADLINE 20301231 ABCDEF" for t in left.values()) >= 0.9 * len(keys)
+
+
 def test_secret_scan_has_no_python(docs):
     plan = secret_scan.op7(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

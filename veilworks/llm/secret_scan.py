@@ -33,6 +33,8 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdef", 3_000_000),
     "entropy_key": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3_700_000),
 }
+# what the replacement of secrets scans: hexadecimal digits of either case; op7 is held to CLASSES by its SQL
+REPLACED = CLASSES | {"entropy_hex": ("0123456789abcdefABCDEF", 3_000_000)}
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|test_?key|0123456789|abcdefghij|x{6,}|0{8,}"
 MICRO = [round(c * math.log2(c) * 1_000_000) if c else 0 for c in range(WINDOW + 1)]
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -106,8 +108,8 @@ def hot_windows(codes: Column, least: int) -> Column:
     return F.aggregate(codes, start, step, lambda s: s["out"])
 
 
-def entropy_spans(text: Column, kind: str) -> Column:
-    alphabet, least = CLASSES[kind]
+def entropy_spans(text: Column, kind: str, classes: dict[str, tuple[str, int]] = CLASSES) -> Column:
+    alphabet, least = classes[kind]
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     candidates = F.zip_with(placed(text, CANDIDATE), found, lambda p, v: F.struct(p["start"].alias("at"), v.alias("value")))
 
@@ -153,9 +155,9 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 
 def without_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with every span in the text replaced; other columns, of any name, pass as they are."""
+    """The rows with every span in the text replaced, hexadecimal keys of either case too; other columns, of any name, pass as they are."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = F.array_sort(F.concat(*base_spans(whole).values(), *[entropy_spans(whole, k) for k in CLASSES]))
+    found = F.array_sort(F.concat(*base_spans(whole).values(), *[entropy_spans(whole, k, REPLACED) for k in REPLACED]))
     once = F.transform(F.array(found), lambda spans_: redacted(F.col(text), spans_))[0]  # the spans are computed once
     return docs.select(*[once.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
