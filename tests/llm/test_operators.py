@@ -284,6 +284,36 @@ def test_kneser_ney_tables(spark, docs):
     assert math.isclose(got, (seen[gram] - max(0.05, min(0.95, discount))) / total, rel_tol=1e-4)
 
 
+def test_grams_of_a_large_alphabet_keep_apart(spark):
+    """80 000 distinct grams: what was never seen has no share, and the probabilities after a context sum to one."""
+    rng = np.random.default_rng(19)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 400))) for _ in range(200)]
+    models = language_id.train(spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string"))
+    seen = {t[i : i + 4] for t in texts for i in range(397)}
+    assert len(models.grams[3][0]) > 75_000
+
+    def code(gram):
+        return sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(gram))
+
+    strangers = [g for g in ("".join(map(chr, x)) for x in rng.integers(0x4E00, 0x4E00 + 3000, (5000, 4))) if g not in seen]
+    key = language_id.slot(np.array([code(g) for g in strangers], np.uint64), 4)
+    assert (models.at(models.grams[3], key, 0.0) == 0).all()
+    alphabet = sorted({c for t in texts for c in t} | {" "})
+    for context in ("   ", texts[0][:3], texts[7][50:53]):
+        p = 2 ** models.log2(np.array([code(context + c) for c in alphabet], np.uint64))[:, 0]
+        assert math.isclose(p.sum(), 1, abs_tol=0.001)
+
+
+def test_joined_language_tables_equal_sent_ones(odd, docs, monkeypatch):
+    both = docs.unionByName(odd.select(docs.columns))
+    want = by_row(language_id.op4(both).collect())
+    monkeypatch.setattr(language_id, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", 20_000)
+    got = by_row(language_id.op4(both).collect())
+    key = ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted"]
+    assert [[r[k] for k in key] for r in got] == [[r[k] for k in key] for r in want]
+
+
 def test_language_of_texts_without_letters(odd):
     got = {r.doc_id: r for r in language_id.op4(odd).collect()}
     for i in (20, 21, 22, 29, 31):

@@ -2,8 +2,10 @@
 
 Text is read as words of letters in lower case, each between word marks; a character is predicted from the three before
 it. Counts of all learning documents are gathered by Spark; discounts, continuation counts and interpolation weights
-are Spark aggregates. What tasks get are sorted arrays of hashes, at most ``1 << SLOTS`` for each order and language
-(grams that share a slot share its larger weight), so the broadcast model has a fixed bound however large the corpus.
+are Spark aggregates. The tables are keyed by the whole gram (64 bits hold four characters) and grow with the input. Of
+at most ``BROADCAST_BYTES``, as measured, they are sent to the tasks as sorted arrays. Larger ones stay Spark tables: the
+texts are written in blocks with the distinct grams of each, the distinct grams of all blocks are joined order by order
+with the tables, and each block gets back the probabilities of its grams. Both ways give equal results.
 
 A document goes to the language of least cross-entropy per character (ties: first by name). Rejection is calibrated:
 ``accepted`` is false if the cross-entropy is above mean + 4 deviations of learning documents of that language, measured
@@ -17,7 +19,9 @@ characters above U+FFFF are one letter; columns other than the named ones are no
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import os
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .arrays import map_batches, map_slices, mix, rows_of, runs, slices, span_hashes
 from .quality_classifier import bucket
+from .tables import written
 
 ORDER = 4
-SLOTS = 20
+BROADCAST_BYTES = 64 << 20  # of model tables that are sent to every task; larger ones are joined
+BLOCK_BYTES = 4 << 20  # of texts that are scored together where the tables are joined
 CALIBRATION = 20_000
 MARK = 0x20
 UNKNOWN = "und"
@@ -83,7 +89,8 @@ def grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 
 def slot(code: np.ndarray, order: int) -> np.ndarray:
-    return (mix(code * np.uint64(2 * ORDER + 1) + np.uint64(order)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+    """Key of a gram in the table of its order: the gram itself, so no two grams share one."""
+    return tail(code, order).view(np.int64)
 
 
 def tail(code: np.ndarray, n: int) -> np.ndarray:
@@ -93,8 +100,8 @@ def tail(code: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Models:
     languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted slots, discounted share by language
-    contexts: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted slots, weight of the lower order by language
+    grams: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted keys, discounted share by language
+    contexts: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted keys, weight of the lower order by language
     floor: np.ndarray  # by language: probability that an unseen character gets
     limits: np.ndarray | None = None  # by language: largest accepted cross-entropy
 
@@ -131,6 +138,60 @@ class Models:
         return bits, np.bincount(row, (ends - starts + 1)[number], n)
 
 
+@dataclass
+class Scores(Models):
+    """The probabilities of some grams as they come from the joined tables: ``grams`` holds one table of whole grams."""
+
+    def log2(self, code: np.ndarray) -> np.ndarray:
+        return np.log2(np.maximum(self.at(self.grams[0], code.view(np.int64), np.nan), 1e-12))
+
+
+@dataclass
+class Tables:
+    """The same models as Spark tables ``(order, lang, code, value)``; ``lang`` is the number of the language."""
+
+    languages: list[str]
+    grams: DataFrame
+    contexts: DataFrame
+    floor: np.ndarray
+    limits: np.ndarray | None = None
+
+    def size(self) -> int:
+        """Most bytes of the sorted arrays: as if no two languages shared a gram."""
+        return (self.grams.count() + self.contexts.count()) * (8 + 4 * len(self.languages))
+
+    def collected(self) -> Models:
+        return Models(self.languages, arrays_of(self.grams, self.languages, 0.0), arrays_of(self.contexts, self.languages, 1.0), self.floor, self.limits)
+
+    def scored(self, codes: DataFrame) -> DataFrame:
+        """``(code, p)``: the probabilities by language of distinct grams, as ``Models.log2`` computes them."""
+
+        def by_code(table: DataFrame, n: int, missing: float, name: str) -> DataFrame:
+            own = table.filter(F.col("order") == n).groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias("m"))
+            values = F.transform(F.sequence(F.lit(0), F.lit(len(self.languages) - 1)), lambda k: F.coalesce(F.try_element_at("m", k).cast("double"), F.lit(missing)))
+            return own.select("code", values.alias(name))
+
+        def constant(values) -> F.Column:
+            return F.array(*[F.lit(float(v)) for v in values])
+
+        none, whole = constant([0.0] * len(self.languages)), constant([1.0] * len(self.languages))
+        levels = [codes]
+        for n in range(ORDER - 1, 0, -1):
+            levels.append(levels[-1].select(F.col("code").bitwiseAND(F.lit((1 << (16 * n)) - 1)).alias("code")).distinct())
+        lower = None
+        for n, level in zip(range(1, ORDER + 1), reversed(levels)):
+            rows = level.join(by_code(self.grams, n, 0.0, "share"), "code", "left").withColumn("share", F.coalesce("share", none))
+            if lower is None:
+                rows = rows.withColumn("weight", whole).withColumn("p", constant(self.floor))
+            else:
+                back = by_code(self.contexts, n, 1.0, "weight").withColumnRenamed("code", "context")
+                rows = rows.withColumn("context", F.shiftrightunsigned(F.col("code"), 16)).join(back, "context", "left").withColumn("weight", F.coalesce("weight", whole))
+                rows = rows.withColumn("tail", F.col("code").bitwiseAND(F.lit((1 << (16 * (n - 1))) - 1))).join(lower.select(F.col("code").alias("tail"), "p"), "tail")
+            weighed = F.zip_with("weight", "p", lambda w, p: w * p)
+            lower = rows.select("code", F.zip_with("share", weighed, lambda a, b: a + b).alias("p"))
+        return lower
+
+
 def counted(learn: DataFrame) -> DataFrame:
     """``(lang, code, n)``: summed per task over its slices; learn has ``(text, lang)``."""
 
@@ -162,6 +223,11 @@ def counted(learn: DataFrame) -> DataFrame:
 
 
 def train(learn: DataFrame) -> Models:
+    """The tables of ``(text, lang)`` rows as sorted arrays, of any size."""
+    return tables(learn).collected()
+
+
+def tables(learn: DataFrame) -> Tables:
     """Kneser-Ney tables of ``(text, lang)`` rows, from all of them."""
     types = cut_lineage(counted(learn))
     every, back, floors = [], [], {}
@@ -184,65 +250,128 @@ def train(learn: DataFrame) -> Models:
     languages = sorted(floors)
     vocabulary = max([r["kinds"] for r in floors.values()], default=0) + 1
     floor = np.array([floors[k]["d"] * floors[k]["kinds"] / floors[k]["all"] / vocabulary for k in languages])
-    return Models(languages, arrays_of(every, languages, 0.0), arrays_of(back, languages, 1.0), floor)
+    return Tables(languages, numbered(every, languages), numbered(back, languages), floor)
 
 
-def arrays_of(tables: list[DataFrame], languages: list[str], missing: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted slots and values by language for each order; at most ``1 << SLOTS`` rows an order and language come here."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order, code = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.zeros(len(code), np.int64)
-            for n in set(order.tolist()):
-                at[order == n] = slot(code[order == n], n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at), b.column(3)], names=["order", "lang", "slot", "value"])
-
-    whole = tables[0]
-    for t in tables[1:]:
+def numbered(parts: list[DataFrame], languages: list[str]) -> DataFrame:
+    """``(order, lang, code, value)`` of all orders, languages by number, values in single precision."""
+    whole = parts[0]
+    for t in parts[1:]:
         whole = whole.unionByName(t)
-    whole = whole.mapInArrow(run, "order int, lang string, slot long, value double").groupBy("order", "lang", "slot").agg(F.max("value").alias("value")).toArrow().to_pandas()
+    names = F.array(*[F.lit(k) for k in languages]).cast("array<string>")
+    return cut_lineage(whole.select("order", (F.array_position(names, F.col("lang")) - 1).cast("int").alias("lang"), "code", F.col("value").cast("float").alias("value")))
+
+
+def arrays_of(table: DataFrame, languages: list[str], missing: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and values by language for each order."""
+    whole = table.toArrow()
+    order, lang, code, value = (whole.column(k).to_numpy() for k in ("order", "lang", "code", "value"))
     out = []
     for n in range(1, ORDER + 1):
-        own = whole[whole["order"] == n]
-        keys, number = np.unique(own["slot"].to_numpy(np.int64), return_inverse=True)
+        own = order == n
+        keys, number = np.unique(code[own].astype(np.int64), return_inverse=True)
         values = np.full((len(keys), len(languages)), missing, np.float32)
-        values[number, np.searchsorted(languages, own["lang"].to_numpy(str)) if len(own) else []] = own["value"]
+        values[number, lang[own]] = value[own]
         out.append((keys, values))
     return out
 
 
-def calibrate(models: Models, learn: DataFrame) -> None:
+def over_texts(rows: DataFrame, models: Models | Tables, schema: str, work: Callable[..., dict[str, object]]) -> DataFrame:
+    """The columns of ``work(models, batch, lo, hi, bytes, offsets)`` for every slice of the texts."""
+    if isinstance(models, Models):
+        shared = rows.sparkSession.sparkContext.broadcast(models)
+        return map_slices(rows, schema, lambda *x: work(shared.value, *x))
+    return over_blocks(rows, models, schema, work)
+
+
+def over_blocks(rows: DataFrame, models: Tables, schema: str, work: Callable[..., dict[str, object]]) -> DataFrame:
+    """The same with joined tables: a block of texts meets the probabilities of its own grams."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    languages, floor, limits = models.languages, models.floor, models.limits
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch, limit=BLOCK_BYTES):
+                row, _, low, starts, ends, _ = distinct_words(data, offsets)
+                codes = np.unique(grams(low, starts, ends)[0]) if len(row) else np.zeros(0, np.uint64)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as stream:
+                    stream.write_batch(batch.slice(lo, hi - lo))
+                packed = zlib.compress(sink.getvalue().to_pybytes(), 1)
+                name = int.from_bytes(os.urandom(8), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([packed], pa.binary()), pa.array([codes.view(np.int64)], pa.list_(pa.int64()))], names=["block", "packed", "codes"])
+
+    blocks = written(map_batches(rows, cut, "block long, packed binary, codes array<long>"))
+    pairs = blocks.select("block", F.explode("codes").alias("code"))
+    scored = pairs.join(models.scored(pairs.select("code").distinct()), "code")
+    texts = blocks.select("block", F.lit(0).alias("role"), F.lit(0).cast("long").alias("code"), "packed", F.lit(None).cast("array<double>").alias("p"))
+    both = texts.unionByName(scored.select("block", F.lit(1).alias("role"), "code", F.lit(None).cast("binary").alias("packed"), "p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, packed, codes, values = None, None, [], []
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if packed is None:
+                return
+            table = (np.concatenate(codes), np.concatenate(values)) if codes else (np.zeros(0, np.int64), np.zeros((0, len(languages))))
+            scores = Scores(languages, [table], [], floor, limits)
+            for batch in pa.ipc.open_stream(zlib.decompress(packed)):
+                for lo, hi, data, offsets in slices(batch):
+                    out = work(scores, batch, lo, hi, data, offsets)
+                    yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) and out[f.name].type == f.type else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+        for b in batches:
+            names, roles = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if names[lo] != block or roles[lo] == 0:
+                    yield from finished()
+                    block, packed, codes, values = names[lo], b.column(3)[lo].as_py(), [], []
+                    lo += 1
+                if lo < hi:
+                    codes.append(b.column(2).slice(lo, hi - lo).to_numpy())
+                    values.append(b.column(4).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1))
+        yield from finished()
+
+    dealt = both.repartition("block").sortWithinPartitions("block", "role", "code")
+    return map_batches(dealt.select("block", "role", "code", "packed", "p"), run, schema)
+
+
+def calibrate(models: Models | Tables, learn: DataFrame) -> None:
     """Set the limits from the cross-entropies of learning documents under their own language."""
-    shared = learn.sparkSession.sparkContext.broadcast(models)
 
-    def work(batch, lo, hi, data, offsets):
-        bits, chars = shared.value.entropies(data, offsets)
+    def work(m, batch, lo, hi, data, offsets):
+        bits, chars = m.entropies(data, offsets)
         lang = rows_of(batch, "lang", lo, hi)
-        at = np.searchsorted(shared.value.languages, lang.to_numpy(zero_copy_only=False).astype(str))
+        at = np.searchsorted(m.languages, lang.to_numpy(zero_copy_only=False).astype(str))
         return {"lang": lang, "h": np.where(chars > 0, bits[np.arange(hi - lo), at] / np.maximum(chars, 1), np.nan)}
 
-    rows = map_slices(learn.select("text", "lang"), "lang string, h double", work).filter("not isnan(h)")
+    rows = over_texts(learn.select("text", "lang"), models, "lang string, h double", work).filter("not isnan(h)")
     found = {r["lang"]: r["m"] + 4 * (r["s"] or 0) for r in rows.groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()}
     models.limits = np.array([found.get(k, np.inf) for k in models.languages])
 
 
-def fit(docs: DataFrame, folds: int = 4, held: int = 2) -> Models:
+def fit(docs: DataFrame, folds: int = 4, held: int = 2) -> Models | Tables:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     learn = rows.filter("doc_id is not null and lang is not null and text is not null").filter(bucket(F.col("doc_id"), folds) != held)
-    models = train(learn.select("text", "lang"))
+    models = tables(learn.select("text", "lang"))
+    if models.size() <= BROADCAST_BYTES:
+        models = models.collected()
     ids = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)  # bounded
     calibrate(models, learn.join(F.broadcast(ids), "doc_id", "left_semi"))
     return models
 
 
-def identified(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
+def identified(docs: DataFrame, models: Models | Tables, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score, cross_entropy, accepted)`` of every document."""
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def work(batch, lo, hi, data, offsets):
-        m = shared.value
+    def work(m, batch, lo, hi, data, offsets):
         out = {"doc_id": rows_of(batch, "doc_id", lo, hi)}
         if not m.languages:
             return out | {"lang_pred": [UNKNOWN] * (hi - lo), "score": np.zeros(hi - lo), "cross_entropy": np.zeros(hi - lo), "accepted": np.zeros(hi - lo, bool)}
@@ -255,7 +384,7 @@ def identified(docs: DataFrame, models: Models, key: str = "doc_id", text: str =
         names = np.where(chars > 0, np.array(m.languages, object)[best], UNKNOWN)
         return out | {"lang_pred": names, "score": score, "cross_entropy": least, "accepted": (chars > 0) & (least <= limits[best]) & (score > 0.5)}
 
-    return map_slices(narrow, "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean", work)
+    return over_texts(narrow, models, "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean", work)
 
 
 def op4(docs: DataFrame) -> DataFrame:
