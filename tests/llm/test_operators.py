@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from veilworks.llm import bpe, decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity, training_order
 from veilworks.llm.arrays import span_hashes
@@ -304,6 +305,16 @@ def test_grams_of_a_large_alphabet_keep_apart(spark):
         assert math.isclose(p.sum(), 1, abs_tol=0.001)
 
 
+def test_rare_languages_have_a_limit(spark):
+    """Three documents of one language among 21 000 of another, none of them among the first by hashed id."""
+    ids = spark.range(28_000).filter(quality_classifier.bucket(F.col("id"), 4) != 2).orderBy(F.xxhash64("id").desc(), "id")
+    rare = [r.id for r in ids.limit(3).collect()]
+    text = F.when(F.col("id").isin(rare), F.concat(F.lit("zwölf größe fünf "), F.col("id").cast("string"))).otherwise(F.lit("the river and the tree"))
+    df = spark.range(28_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id").isin(rare), "de").otherwise("en").alias("lang"))
+    models = language_id.fit(df)
+    assert models.languages == ["de", "en"] and np.isfinite(models.limits).all()
+
+
 def test_joined_language_tables_equal_sent_ones(odd, docs, monkeypatch):
     both = docs.unionByName(odd.select(docs.columns))
     want = by_row(language_id.op4(both).collect())

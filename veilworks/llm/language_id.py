@@ -8,8 +8,8 @@ texts are written in blocks with the distinct grams of each, the distinct grams
 with the tables, and each block gets back the probabilities of its grams. Both ways give equal results.
 
 A document goes to the language of least cross-entropy per character (ties: first by name). Rejection is calibrated:
-``accepted`` is false if the cross-entropy is above mean + 4 deviations of learning documents of that language, measured
-on at most ``CALIBRATION`` of them (smallest hashed id; a documented bound), or if another language is as likely.
+``accepted`` is false if the cross-entropy is above mean + 4 deviations of all learning documents of that language (the
+deviation of a single one is 0), or if another language is as likely.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and not accepted, as is everything if nothing
 can be learnt; null languages and ids teach nothing; repeated rows count as often as they occur and are predicted alike;
@@ -38,7 +38,6 @@ from .tables import written
 ORDER = 4
 BROADCAST_BYTES = 64 << 20  # of model tables that are sent to every task; larger ones are joined
 BLOCK_BYTES = 4 << 20  # of texts that are scored together where the tables are joined
-CALIBRATION = 20_000
 MARK = 0x20
 UNKNOWN = "und"
 CERTAIN = 50  # characters up to which evidence adds up in the score
@@ -362,8 +361,7 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2) -> Models | Tables:
     models = tables(learn.select("text", "lang"))
     if models.size() <= BROADCAST_BYTES:
         models = models.collected()
-    ids = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)  # bounded
-    calibrate(models, learn.join(F.broadcast(ids), "doc_id", "left_semi"))
+    calibrate(models, learn)
     return models
 
 
