@@ -19,20 +19,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept for the next call."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[base] = both[0], both[1]
-    return _powers[base]
+_keys: dict[int, np.ndarray] = {}
+TAIL = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)  # keeps k bytes of eight
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,21 +30,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE, block: int = 1 << 22) -> np.ndarray:
-    """A 64-bit hash of each values[start:end]; starts and ends ascend. Prefix sums, in blocks of bounded length."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        at = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(ends, at + block, "right")))
-        part = values[at : int(ends[hi - 1])]
-        up, down = powers(base, len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        s, e = starts[lo:hi] - at, ends[lo:hi] - at
-        out[lo:hi] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        lo = hi
-    return mix(out)
+def place_keys(seed: int, n: int) -> np.ndarray:
+    """A pseudo-random 64-bit key of each of n places; kept for the next call."""
+    if len(_keys.get(seed, ())) < n:
+        n = max(n, 1 << 10)
+        _keys[seed] = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & (1 << 64) - 1))
+    return _keys[seed]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BASE, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each values[start:end], a function of seed and content; blocks of bounded length.
+
+    Every value (of bytes: every eight) is mixed with a key of its place in the span, and the mixed values are added. The
+    mixing is not linear, so texts built of repeated and swapped parts do not cancel out as they do in a polynomial.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    if values.dtype == np.uint8:
+        padded = np.concatenate([values, np.zeros(8, np.uint8)])
+        loads, step, many = np.ndarray(len(values) + 1, "<u8", padded, strides=(1,)), 8, (size + 7) >> 3
+    else:
+        loads, step, many = values.astype(np.uint64, copy=False), 1, size
+    keys = place_keys(seed, int(many.max()))
+    out = np.zeros(len(starts), np.uint64)
+    if step == 1 and (many == many[0]).all():  # windows
+        for i in range(int(many[0])):
+            out += mix(loads[starts + i] ^ keys[i])
+    else:
+        upto = np.cumsum(many)
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - many[lo] + block, "right")))
+            n = many[lo:hi]
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(first, n)
+            value = loads[np.repeat(starts[lo:hi], n) + place * step].astype(np.uint64)
+            if step == 8:
+                some = np.flatnonzero(n)
+                value[first[some] + n[some] - 1] &= TAIL[size[lo:hi][some] - 8 * (n[some] - 1)]
+            sums = np.zeros(len(place) + 1, np.uint64)
+            np.cumsum(mix(value ^ keys[place]), out=sums[1:])
+            out[lo:hi] = sums[first + n] - sums[first]
+            lo = hi
+    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

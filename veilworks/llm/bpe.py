@@ -198,7 +198,33 @@ def encode_pieces(v: Vocabulary, texts: list[bytes]) -> list[bytes]:
     return out
 
 
-_remembered: dict[str, dict[int, bytes]] = {}
+_remembered: dict[str, dict[str, bytes]] = {}
+
+
+def piece_codes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each piece, equal for equal pieces, and the place of the first piece of each number.
+
+    Pieces are grouped by hash and compared with the first of their group; those that differ are grouped anew.
+    """
+    codes = pd.factorize(span_hashes(points, starts, ends))[0]
+    first = np.full(int(codes.max()) + 1 if len(codes) else 0, -1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    size = ends - starts
+    like = first[codes]
+    other = size != size[like]
+    same = np.flatnonzero(~other & (like != np.arange(len(like))))
+    n = size[same]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    differ = points[np.repeat(starts[same], n) + inside] != points[np.repeat(starts[like[same]], n) + inside]
+    other[np.repeat(same, n)[differ]] = True
+    if other.any():
+        rest = np.flatnonzero(other)
+        again = pd.factorize(np.array([points[a:b].tobytes() for a, b in zip(starts[rest], ends[rest])], object))[0]
+        codes[rest] = again + len(first)
+        more = np.empty(int(again.max()) + 1, np.int64)
+        more[again[::-1]] = rest[::-1]
+        first = np.concatenate([first, more])
+    return codes, first
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
@@ -222,16 +248,12 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     row_end = np.cumsum(lengths)
     starts, ends = pieces(points, row_end)
-    keys, first = span_hashes(points, starts, ends), None
-    codes, kinds = pd.factorize(keys)
-    first = np.empty(len(kinds), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    names = kinds.tolist()
+    codes, first = piece_codes(points, starts, ends)
+    names = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
     known = [memory.get(k) for k in names]
     new = [i for i, k in enumerate(known) if k is None]
     if new:
-        s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
-        got = encode_pieces(v, [whole[a:b].encode("utf-8", "surrogatepass") for a, b in zip(s, e)])
+        got = encode_pieces(v, [names[i].encode("utf-8", "surrogatepass") for i in new])
         if len(memory) + len(new) > REMEMBERED:
             memory.clear()
         for i, ids in zip(new, got):

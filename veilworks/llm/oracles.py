@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan
+from . import quality_rules, ranked_search, secret_scan
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -127,9 +127,26 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(ot
 FROM d LEFT JOIN n USING (doc_id)
 """
 
+RANKED_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ranked_search.UPPER}', '{ranked_search.LOWER}'), '{ranked_search.TERM}') AS w FROM documents),
+total AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{ranked_search.UPPER}', '{ranked_search.LOWER}'), '{ranked_search.TERM}')) AS term FROM benchmark),
+weighed AS (SELECT item_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM q JOIN df USING (term), total WHERE item_id IS NOT NULL),
+scored AS (
+  SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::BIGINT AS score
+  FROM weighed JOIN tf USING (term), total WHERE doc_id IS NOT NULL GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0
+) WHERE rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op5_quality_rules": QUALITY_RULES,
     "op7_secret_scan": SECRET_SCAN,
     "op8_jaccard_join": JACCARD_JOIN,
+    "op11_ranked_search": RANKED_SEARCH,
 }
