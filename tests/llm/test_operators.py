@@ -12,7 +12,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from veilworks.llm import bpe, decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity, training_order
-from veilworks.llm.arrays import span_hashes
+from veilworks.llm.arrays import TEXT_SEED, span_hashes
 from veilworks.llm.components import smallest_reachable
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -93,6 +93,50 @@ def test_substring_dedup(request, table):
             assert (f.source, f.source_start) < (r.doc_id, f.start) and f.length >= substring_dedup.WINDOW
 
 
+def test_rows_that_share_an_id(spark):
+    """Texts of one id are documents of their own: unique text stays, copies go once, equal rows have equal results."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(0, a), (1, a), (1, b), (1, a + " " + c), (1, b), (2, c), (2, "x " + b)]
+    tag = lambda t: int(span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]), TEXT_SEED).view(np.int64)[0])
+    want, seen = {}, set()
+    for i, t in sorted(set(rows), key=lambda r: (r[0], tag(r[1]))):
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(g)
+        want[i, len(w), t] = sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))
+    got = substring_dedup.op1(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((i, len(words(t)), *want[i, len(words(t)), t]) for i, t in rows)
+
+
+def test_swapped_words_are_told_apart(spark):
+    """Complementary words that a polynomial hash cannot tell apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    x, y = " ".join(word), " ".join(other)
+    df = spark.createDataFrame([(0, word), (1, other), (2, "z " + x), (3, "z " + y)], "doc_id long, text string")
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    for ids, t in zip(bpe.encode_texts(PATH, [word, other]), (word, other)):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert [bpe.encode_texts(PATH, [t])[0] for t in (word, other)] == bpe.encode_texts(PATH, [word, other])
+    assert {r.doc_id: r.n_shingles for r in jaccard_join.op8(df).collect()} == {i: v[0] for i, v in brute_components([(r.doc_id, r.text) for r in df.collect()]).items()}
+    want = brute_windows([(r.doc_id, r.text) for r in df.collect()])
+    assert {r.doc_id: r.n_removed for r in substring_dedup.op1(df).collect()} == {i: sum(g) for i, (_, g) in want.items()}
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda points, starts, ends: np.zeros(len(starts), np.uint64))
+    bpe._remembered.clear()
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    text = "one two three one hundred two twos don't one"
+    assert np.frombuffer(bpe.encode_texts(PATH, [text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_factors_end_inside_blocks(spark):
     """Passages spliced at every offset: the copies end inside reference blocks."""
     rng = np.random.default_rng(5)

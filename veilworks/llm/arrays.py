@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 2_000
-BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15
+TEXT_SEED = 0x8CB92BA72F3D8DD7  # of the hash that tells texts of one id apart
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -109,14 +110,15 @@ def packed_slices(batch: pa.RecordBatch, column: str = "packed", limit: int = SL
             lo, held, size = i + 1, [], 0
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, packed)``: texts in half the bytes, for a shuffle."""
+def packed_texts(docs: DataFrame, tagged: bool = False) -> DataFrame:
+    """``(doc_id[, tag], packed)``: texts in half the bytes, for a shuffle; the tag is a hash of the text."""
 
     def work(batch, lo, hi, data, offsets):
         flat, cut = data.tobytes(), offsets.tolist()
-        return {"doc_id": rows_of(batch, "doc_id", lo, hi), "packed": [zlib.compress(flat[a:b], 6) for a, b in zip(cut, cut[1:])]}
+        out = {"doc_id": rows_of(batch, "doc_id", lo, hi), "packed": [zlib.compress(flat[a:b], 6) for a, b in zip(cut, cut[1:])]}
+        return out | {"tag": span_hashes(data, offsets[:-1], offsets[1:], TEXT_SEED).view(np.int64)} if tagged else out
 
-    return map_slices(docs, "doc_id long, packed binary", work)
+    return map_slices(docs, "doc_id long, " + "tag long, " * tagged + "packed binary", work)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,8 +15,10 @@ Scale. Anchors that occur once are dropped by a partial aggregate before anythin
 partial minima and joins that adaptive execution splits. Texts are shuffled once, by document.
 
 Defined cases: words are runs of bytes other than 0x20 and 0x09-0x0D; a null, empty or shorter text loses nothing.
-"Earlier" is a smaller id, or an earlier start in one document; a null id is never a source and loses nothing; rows
-that share id and text have one result each; extra columns are not read; an empty table gives an empty result.
+"Earlier" is a smaller id, or an earlier start in one document; rows that share an id and differ in text are documents of
+their own, in the order of a hash of their texts; rows that share both have equal results, and no word goes because of
+its own copy; a null id is never a source and loses nothing; of equal windows the first start stays; a very long text is
+one row of one task, cut into blocks like any other; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import map_slices, packed_texts, rows_of, span_hashes, windows, words
+from .arrays import TEXT_SEED, map_slices, packed_texts, rows_of, span_hashes, windows, words
 from .tables import dealt_anew, written
 
 WINDOW = 20
@@ -80,9 +82,10 @@ def indexed(docs: DataFrame, window: int, whole: bool) -> DataFrame:
         row, anchor, content, place = found
         if not whole:
             return {"route": (anchor >> np.uint64(16)).view(np.int64)}
-        return {"anchor": anchor.view(np.int64), "block": content.view(np.int64), "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row)), "place": place}
+        tag = span_hashes(data, offsets[:-1], offsets[1:], TEXT_SEED).view(np.int64)
+        return {"anchor": anchor.view(np.int64), "block": content.view(np.int64), "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row)), "tag": tag[row], "place": place}
 
-    return map_slices(docs, "anchor long, block long, doc_id long, place long" if whole else "route long", work)
+    return map_slices(docs, "anchor long, block long, doc_id long, tag long, place long" if whole else "route long", work)
 
 
 def cells(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -113,9 +116,9 @@ def open_windows(base: DataFrame, window: int) -> DataFrame:
         order = np.argsort(at, kind="stable")
         n, begin, at = n[order], begin[order], at[order]
         one, two = span_hashes(hashes, at, at + window), span_hashes(hashes, at, at + window, SECOND)
-        return {"one": one.view(np.int64), "two": two.view(np.int64) >> 32, "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row[n])), "start": begin}
+        return {"one": one.view(np.int64), "two": two.view(np.int64) >> 32, "doc_id": rows_of(batch, "doc_id", lo, hi).take(pa.array(row[n])), "tag": rows_of(batch, "tag", lo, hi).take(pa.array(row[n])), "start": begin}
 
-    return map_slices(base, "one long, two int, doc_id long, start long", work, packed=True)
+    return map_slices(base, "one long, two int, doc_id long, tag long, start long", work, packed=True)
 
 
 def greedy(copies: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -139,23 +142,23 @@ def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     twice = dealt_anew(indexed(known.select("text"), window, False).groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("route"))
     occurrences = indexed(known, window, True)
     found = written(occurrences.join(twice, F.shiftrightunsigned("anchor", 16) == twice["route"], "left_semi"))
-    here = F.struct("doc_id", "place")
+    here = F.struct("doc_id", "tag", "place")
     several = found.groupBy("anchor").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x != y").select("anchor")
     firsts = found.groupBy("anchor", "block").agg(F.min(here).alias("first"))
     later = found.join(dealt_anew(firsts), ["anchor", "block"]).filter(here != F.col("first"))
-    later = later.select("doc_id", "place", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
-    unsure = firsts.join(dealt_anew(several), "anchor", "left_semi").select("first.doc_id", "first.place")
+    later = later.select("doc_id", "tag", "place", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
+    unsure = firsts.join(dealt_anew(several), "anchor", "left_semi").select("first.doc_id", "first.tag", "first.place")
     copies = later.unionByName(unsure, allowMissingColumns=True)
-    copies = copies.groupBy("doc_id").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("copies"))
-    base = packed_texts(narrow).join(copies, "doc_id", "left")
+    copies = copies.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("copies"))
+    base = packed_texts(narrow, tagged=True).join(copies, ["doc_id", "tag"], "left")
 
     # one plan with the last join: the shuffled texts and copies are read again, not shuffled again
     opened = open_windows(base, window)
-    there = F.struct("doc_id", "start")
+    there = F.struct("doc_id", "tag", "start")
     earliest = opened.groupBy("one", "two").agg(F.min(there).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = opened.join(dealt_anew(earliest), ["one", "two"]).filter(there != F.col("first"))
-    again = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("first.doc_id").alias("source"), F.col("first.start").alias("source_start"))).alias("windows"))
-    return finished(base.join(again, "doc_id", "left"), window, kept_text)
+    again = again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", F.col("first.doc_id").alias("source"), F.col("first.start").alias("source_start"))).alias("windows"))
+    return finished(base.join(again, ["doc_id", "tag"], "left"), window, kept_text)
 
 
 def finished(whole: DataFrame, window: int, kept_text: bool) -> DataFrame:
