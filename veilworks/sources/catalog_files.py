@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .snapshots import Snapshots
+
 TEST_CASE = "map<string,array<string>>"
 LOG = f"struct<id:string,name:string,sample:string,source:string,test_case:{TEST_CASE}>"
 CATALOG = T.StructType(
@@ -97,26 +99,33 @@ def _fields() -> list[Column]:
 ENTRY = f"struct<pos:int,{LOG.removeprefix('struct<')}"
 
 
-def write_catalog(df: DataFrame, path: str) -> None:
-    """Tokenize, then persist; raw text never reaches storage.
+def write_catalog(df: DataFrame, path: str, base: int | None = None) -> int:
+    """Tokenize, then save as the next version of the catalog at ``path``; raw text never reaches storage.
 
-    Whatever the size: ``entries/`` has one JSON line per entry with its place in the catalog (``pos``), written by
-    as many tasks as the table has partitions; ``header/`` has the schema version. ``read_entries`` reads both back.
+    The entries are JSON lines with their place in the catalog (``pos``), written by as many tasks as the table has partitions
+    into a folder of their own. They become the catalog when their version is published, so ``df`` may read the catalog it
+    is saved to, a save that fails leaves the version before it, and a save that does not start from the last version (``base``,
+    by default the last one when this call begins) raises ``SaveConflict``. Returns the number of the version.
     """
     from ..operators.catalog import tokenize_table
 
+    at = Snapshots(df.sparkSession, path)
+    base = at.current() if base is None else base
     _check(df)
-    rows = tokenize_table(df)
-    rows.select(F.to_json(F.struct("pos", *_fields()), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(f"{path}/entries")
-    df.sparkSession.range(1).select(F.lit('{"schema_version":1}').alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    folder = at.fresh()
+    tokenize_table(df).select(F.to_json(F.struct("pos", *_fields()), {"ignoreNullFields": "true"}).alias("value")).write.text(folder)
+    return at.publish(folder, base, {"schema_version": 1}).number
+
 
+def read_entries(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a catalog that ``write_catalog`` saved, the last one by default; ``pos`` is the order of the catalog.
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog written by ``write_catalog``, in any order of files; ``pos`` is the order of the catalog."""
-    version = spark.read.schema("schema_version int").json(f"{path}/header").first()
-    if version is None or version[0] != 1:
+    The table reads this version for good, also if others are saved before it is computed.
+    """
+    at = Snapshots(spark, path).version(version)
+    if at.about.get("schema_version") != 1:
         raise ValueError(f"catalog {path}: schema_version")
-    rows = spark.read.text(f"{path}/entries").select(F.from_json("value", ENTRY).alias("log"))
+    rows = spark.read.schema("value string").text(at.data).select(F.from_json("value", ENTRY).alias("log"))
     return rows.select("log.pos", *_columns("log"))
 
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.framing import newline_framed
 from ..operators.ordering import prefix_sums
+from ..session import cut_lineage
+
+MAX_STEPS = 1 << 20  # runs of taken indexes that are sent to the tasks; beyond that indexes are joined
 
 
 def file_stamp(moment: datetime) -> str:
@@ -31,7 +36,9 @@ def free_indexes(events: DataFrame, taken: DataFrame, idx: str = "event_idx") ->
     """
     used = taken.select(F.col("file_index").cast("long")).distinct()
     used = prefix_sums(used, "file_index", {"j": F.lit(1)})
-    pushes = used.groupBy((F.col("file_index") - F.col("j_before")).alias("at")).agg(F.count(F.lit(1)).alias("push"))
+    pushes = cut_lineage(used.groupBy((F.col("file_index") - F.col("j_before")).alias("at")).agg(F.count(F.lit(1)).alias("push")))
+    if pushes.count() <= MAX_STEPS:
+        return _looked_up(events, pushes, idx)
     marks = pushes.select((F.col("at") * 2).alias("o"), "push").unionByName(
         events.select((F.col(idx) * 2 + 1).alias("o"), F.lit(0).cast("long").alias("push"))
     )
@@ -41,6 +48,18 @@ def free_indexes(events: DataFrame, taken: DataFrame, idx: str = "event_idx") ->
     ).withColumn("file_index", F.col(idx) + F.col("push_before")).drop("push_before")
 
 
+def _looked_up(events: DataFrame, pushes: DataFrame, idx: str) -> DataFrame:
+    """The step function sent to the tasks (two numbers per run of taken indexes): only ``idx`` goes through Python, bodies stay."""
+    steps = pushes.orderBy("at").toPandas()
+    at, total = steps["at"].to_numpy(), np.append(0, steps["push"].to_numpy().cumsum())
+
+    @F.pandas_udf("long")
+    def index(i: pd.Series) -> pd.Series:
+        return i + total[np.searchsorted(at, i.to_numpy(), "right")]
+
+    return events.withColumn("file_index", index(F.col(idx).cast("long")))
+
+
 def event_files(
     events: DataFrame, stamp: str, body: str = "body", taken: DataFrame | None = None, idx: str = "event_idx", keep: list[str] | None = None
 ) -> DataFrame:
