@@ -17,6 +17,7 @@ from veilworks.operators import metering as M
 from veilworks.operators import packing as K
 from veilworks.operators import term_search as TS
 from veilworks.session import fresh_folder
+from veilworks.sources import compiled_store as CS
 from veilworks.sources import event_files as EF
 from veilworks.sources import literal_files as LF
 from veilworks.sources.catalog_files import read_catalog, read_entries, write_catalog
@@ -423,3 +424,45 @@ def test_rules_are_data(spark):
     assert {r.field: r.kind for r in R.classify(df, rules).collect()} == {"Card-No": "ACARD", "gift_card": None, "plain": "ANY", "xx": None, "id_card": "CARD"}
     assert {r.kind for r in R.classify(df, rules.limit(0)).collect()} == {None}
     assert C.search(df.withColumn("search_text", F.col("field")), "card").count() == 2
+
+
+# --- compiled forms between runs ----------------------------------------------------------------------
+
+
+def test_a_second_run_compiles_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame(
+        [(i, f"{i:04d}", "n", s, "", c) for i, (s, c) in enumerate([("at 2024-01-02T03:04:05Z kim@corp.kr", {}), (None, {}), ("at 2024-01-02T03:04:05Z kim@corp.kr", None), ("x {{FILE_PATH}}", {"FILE_PATH": ["/a"]})])], TEMPLATE
+    )
+    path = f"file://{tmp_path}/store"
+    key = lambda df: sorted((r.id, r.compiled_fp, str(r.segments), r.n_timestamps, r.kind_mask) for r in df.collect())
+    want = key(C.compile_distinct(rows))
+    store = Snapshots(spark, path)
+    parts = lambda: [spark.read.parquet(f"{path}/data/{p}").count() for p in store.version().about["parts"]]
+    assert key(CS.compile_stored(rows.where("id != '0003'"), path)) == [w for w in want if w[0] != "0003"] and parts() == [2]
+    assert key(CS.compile_stored(rows, path)) == want and parts() == [2, 1]
+    at = store.current()
+    assert key(CS.compile_stored(rows, path)) == want and store.current() == at and parts() == [2, 1]
+    assert key(CS.compile_stored(rows.limit(0), path)) == [] and store.current() == at
+    assert len(store.expire(keep=1, grace_seconds=0)) == 2 and key(CS.compile_stored(rows, path)) == want  # the parts stay
+    monkeypatch.setattr(CS, "code_version", lambda options=None: "other")
+    assert key(CS.compile_stored(rows, path)) == want and parts() == [3]
+
+
+# --- long texts ---------------------------------------------------------------------------------------
+
+
+def test_positions_of_very_many_stamps_take_linear_time(spark):
+    import time
+
+    from veilworks.functions import timestamps as T
+
+    text = lambda n: " ".join(f"2024-01-{1 + i % 28:02d}T03:04:{i % 60:02d}Z {i}" for i in range(n))
+    mark = lambda t: spark.createDataFrame([(t,)], "t string").select(T.resolved(F.col("t")).alias("s"))
+    for n in (255, 256, 257, 513):
+        t = text(n)
+        spans = mark(t).first()["s"]
+        assert len(spans) == n and all(t[s.pos : s.pos - s.neg_len] == s.raw for s in spans)
+    mark(text(1000)).first()
+    started = time.time()
+    assert len(mark(text(30_000)).first()["s"]) == 30_000
+    assert time.time() - started < 30

@@ -62,3 +62,26 @@ def int_div(value: Column, by: int) -> Column:
 
 def any_of(words: list[str]) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)
+
+
+BLOCK = 256
+
+
+def fold_blocks(items: Column, kind: str, step) -> Column:
+    """Go over an array with a position ``at`` (from 0) and a growing ``out`` (an array of ``kind``); the result is ``out``.
+
+    ``step(acc, item)`` returns the next ``struct<at, out>``. Growing an array copies it, so the items are taken in blocks
+    whose results are joined at the end: the cost is linear in the items.
+    """
+    empty, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def over(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), int_div(F.size(all_) - 1, BLOCK).cast("int"))), lambda b: F.slice(all_, b * BLOCK + 1, BLOCK))
+
+        def block(acc: Column, part: Column) -> Column:
+            own = F.struct(acc["at"].alias("at"), empty.alias("out"))
+            return F.aggregate(part, own, step, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), nested.alias("out")), block, lambda acc: F.flatten(acc["out"]))
+
+    return bind(items, over)

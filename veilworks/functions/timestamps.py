@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .columns import NOT_AFTER_WORD, NOT_BEFORE_WORD, bind, matches
+from .columns import NOT_AFTER_WORD, NOT_BEFORE_WORD, bind, fold_blocks, matches
 
 # what may not come before is looked at after the first digits: most places fail on those
 _YM = r"(?:19|20)(?<!\w\d\d)\d{2}[-/](?:0[1-9]|1[0-2])"
@@ -58,7 +58,6 @@ SPANS = f"array<{SPAN}>"
 def _placed(between: Column, found: Column) -> Column:
     """``array<struct<pos, raw>>`` of matches, from the pieces between them."""
     steps = F.zip_with(F.transform(between, F.length), found, lambda g, m: F.struct(g.alias("gap"), m.alias("raw")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         pos = acc["at"] + s["gap"]
@@ -67,7 +66,7 @@ def _placed(between: Column, found: Column) -> Column:
             F.struct((pos + F.length(s["raw"])).alias("at"), F.concat(acc["out"], here).alias("out"))
         )
 
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    return fold_blocks(steps, "struct<pos:int,raw:string>", step)
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -188,17 +187,13 @@ def candidates(text: Column) -> Column:
 
 def sweep(spans: Column) -> Column:
     """Left to right, keep a span that starts at or after the end of the last one kept."""
-    zero = F.struct(F.lit(0).alias("at"), none().alias("kept"))
-    return F.aggregate(
+    return fold_blocks(
         F.array_sort(spans),
-        zero,
+        SPAN,
         lambda acc, s: F.when(
             s["pos"] >= acc["at"],
-            F.struct(
-                (s["pos"] - s["neg_len"]).alias("at"), F.concat(acc["kept"], F.array(s)).cast(SPANS).alias("kept")
-            ),
+            F.struct((s["pos"] - s["neg_len"]).alias("at"), F.concat(acc["out"], F.array(s)).cast(SPANS).alias("out")),
         ).otherwise(acc),
-        lambda acc: acc["kept"],
     )
 
 

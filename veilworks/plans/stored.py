@@ -16,8 +16,9 @@ from ..operators import field_rules as R
 from ..operators import term_search as TS
 from ..session import fresh_folder
 from ..sources.catalog_files import read_entries, write_catalog
+from ..sources.compiled_store import compile_stored as compile_
 from ..sources.literal_files import read_literal_files, write_literal_files
-from ..sources.tables import read_table
+from ..sources.tables import read_corpus, read_table
 from ..streaming import committed as CO
 from ..streaming import jobs as J
 from ..streaming import stateful as ST
@@ -268,12 +269,33 @@ SELECT c_custkey, CASE WHEN lower(n_name) LIKE '%ia' AND lower(n_name) NOT LIKE
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """
 
+def compile_stored(spark, sf):
+    """Parts as templates, compiled in two runs that share a store: the second one compiles the half the first one had not."""
+    path, parts = fresh_folder(spark, "compiled"), L.part_templates(spark, sf)
+    compile_(parts.where("pos % 2 = 0"), path)
+    out = compile_(parts, path)
+    return out.select("id", *[F.col(c).cast("long") for c in ("n_timestamps", "n_src", "n_dst", "n_privacy", "kind_mask")], F.array_join("styles", ",").alias("styles"))
+
+
+def corpus_lengths(spark, sf):
+    """Corpora in three formats as one: documents from Parquet, conversations from JSON lines, pages' addresses as plain text."""
+    folder = fresh_folder(spark, "corpus")
+    talk = read_table(spark, sf, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("name"), "text")
+    talk.write.json(f"{folder}/talk")
+    read_table(spark, sf, "pages").select("url").where("url is not null and not contains(url, '\n')").write.text(f"{folder}/pages")
+    docs = read_corpus(spark, f"{sf.rstrip('/')}/documents.parquet", "doc_id", "text", keep=("source",))
+    lines = read_corpus(spark, f"{folder}/talk", "name", "text", "json")
+    plain = read_corpus(spark, f"{folder}/pages", "value", "value", "text")
+    rows = docs.select(F.lit("documents").alias("corpus"), "text").union(lines.select(F.lit("talk"), "text")).union(plain.select(F.lit("pages"), "text"))
+    return rows.groupBy("corpus").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.char_length("text")).alias("chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         search_many, search_many_blocks, search_many_joined, forbidden_terms, privacy_audit_terms, catalog_saved_in_place, literal_event_files,
         synthesize_stream_restarted, pack_packets_stream, step_rates_stream, lost_events_stream, joined_pseudonyms, restored_names,
-        field_dictionary_rules, nation_rules,
+        field_dictionary_rules, nation_rules, compile_stored, corpus_lengths,
     )
 }
 
@@ -292,4 +314,7 @@ ORACLES = {
     "count(*) AS restored, CAST(0 AS BIGINT) AS reshaped FROM customer GROUP BY 1",
     "field_dictionary_rules": O.ORACLES["field_dictionary"],
     "nation_rules": _NATIONS,
+    "compile_stored": O.ORACLES["analyze_templates"],
+    "corpus_lengths": "SELECT 'documents' AS corpus, count(*) AS texts, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'talk', count(*), sum(length(text))::BIGINT FROM conversations "
+    "UNION ALL SELECT 'pages', count(*), sum(length(url))::BIGINT FROM pages WHERE url IS NOT NULL AND NOT contains(url, chr(10))",
 }

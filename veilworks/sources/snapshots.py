@@ -2,7 +2,7 @@
 
 ``data/<name>/`` holds what one writer wrote and is never changed. ``versions/<number>.json`` names the data of a version and is
 published whole and only if that number does not exist yet, so of two writers that start from one version the
-second fails, and overwrites nothing. A reader takes the highest number once and goes on with its data, whatever is
+second fails, and overwrites nothing. A version may name more data that it consists of (``parts``). A reader takes the highest number once and goes on with its data, whatever is
 saved meanwhile. A save that dies leaves data that no version names; ``expire`` removes it.
 
 Publishing needs a store that refuses to replace: a hard link on a file system, a rename on HDFS. On a store whose rename
@@ -104,7 +104,7 @@ class Snapshots:
         """Remove all but the last ``keep`` versions and the data no version names; younger data may be a save under way."""
         numbers = self.numbers()
         kept = numbers[-keep:] if keep else []
-        named = {self.version(n).about["data"] for n in kept}
+        named = {name for n in kept for name in (lambda a: [a["data"], *a.get("parts", [])])(self.version(n).about)}
         for n in numbers:
             if n not in kept and n != self.current():
                 self._fs.delete(self._where(self._pointer(n)), False)
