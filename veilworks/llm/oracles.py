@@ -89,9 +89,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {matches("hexed", "[0-9a-f]{16,}")},
 {matches("candidate", secret_scan.CANDIDATE)},
 suspect AS (
-  SELECT * FROM candidate WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+  SELECT * REPLACE (array_to_string(list_transform(list_zip(string_split_regex(value, '{secret_scan.ALLOWED}'), regexp_extract_all(value, '{secret_scan.ALLOWED}')),
+    lambda x: x[1] || repeat(' ', coalesce(length(x[2]), 0))), '') AS value) FROM candidate WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     AND (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') OR regexp_matches(value, '([0-9][^0-9]*){{4}}'))
-    AND NOT regexp_matches(value, '{secret_scan.ALLOWED}')
 ),
 {entropy("entropy_hex")},
 {entropy("entropy_key")},

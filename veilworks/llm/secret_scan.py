@@ -1,14 +1,16 @@
 """Secret scans: three base patterns, and high entropy in windows of candidate strings; DataFrame functions only.
 
 Candidates are runs of key characters of at least a window's length. A window slides over the candidate in each class
-of characters (hexadecimal digits; letters, digits and ``+/_=-``). It keeps the count of each character and the sum of
+of characters (hexadecimal digits of either case; letters, digits and ``+/_=-``). It keeps the count of each character and the sum of
 ``c * log2(c)``; a step adds one character and drops one, so the Shannon entropy ``log2(W) - sum / W`` costs the same at
 every place. Sums are whole micro-bits, so results are exact. Touching windows over the class's limit make one span.
-Candidates that match the allow-list, have no digit, or have letters of one case and few digits (words, numbers) are
-suppressed; base matches never are.
+Candidates that have no digit, or letters of one case and few digits (words, numbers), are suppressed, and so are windows
+that touch a match of the allow-list; the rest of such a candidate is scanned. Base matches are never suppressed.
 
-Positions are code points, ends exclusive. Defined cases: a null or empty text has no span; rows are scanned one by one,
-so repeated rows repeat their result; null ids stay; other columns are not read, whatever their names.
+Positions are code points, ends exclusive. Defined cases: a null or empty text has no span; of spans that start together
+the kinds go in the order listed; rows are scanned one by one, so repeated rows repeat their result; a very long text is one
+row of one task, positions take time linear in its matches in blocks of 256; null ids stay; other columns are not read,
+whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import fold_blocks
+
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_key")  # the order of spans that start together
 ASSIGN = (
@@ -30,11 +34,9 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 # class -> (alphabet, least entropy in micro-bits)
 CLASSES = {
-    "entropy_hex": ("0123456789abcdef", 3_000_000),
+    "entropy_hex": ("0123456789abcdefABCDEF", 3_000_000),
     "entropy_key": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3_700_000),
 }
-# what the replacement of secrets scans: hexadecimal digits of either case; op7 is held to CLASSES by its SQL
-REPLACED = CLASSES | {"entropy_hex": ("0123456789abcdefABCDEF", 3_000_000)}
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|test_?key|0123456789|abcdefghij|x{6,}|0{8,}"
 MICRO = [round(c * math.log2(c) * 1_000_000) if c else 0 for c in range(WINDOW + 1)]
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -45,14 +47,13 @@ def placed(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     lengths = F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
 
     def go_on(done: Column, x: Column) -> Column:
         begin = done["at"] + x["gap"]
         end = begin + x["size"]
         return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(lengths, start, go_on, lambda done: done["out"])
+    return fold_blocks(lengths, "struct<start:int,end:int>", go_on)
 
 
 def spans(places: Column, kind: str) -> Column:
@@ -108,18 +109,25 @@ def hot_windows(codes: Column, least: int) -> Column:
     return F.aggregate(codes, start, step, lambda s: s["out"])
 
 
-def entropy_spans(text: Column, kind: str, classes: dict[str, tuple[str, int]] = CLASSES) -> Column:
-    alphabet, least = classes[kind]
+def without_allowed(value: Column) -> Column:
+    """The candidate with blanks, which are in no class, in place of what the allow-list matches."""
+    found = F.regexp_extract_all(value, F.lit(ALLOWED), F.lit(0))
+    blanks = F.zip_with(F.split(value, ALLOWED, -1), found, lambda piece, m: F.concat(piece, F.coalesce(F.repeat(F.lit(" "), F.char_length(m)), F.lit(""))))
+    return F.when(value.rlike(ALLOWED), F.array_join(blanks, "")).otherwise(value)
+
+
+def entropy_spans(text: Column, kind: str) -> Column:
+    alphabet, least = CLASSES[kind]
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     candidates = F.zip_with(placed(text, CANDIDATE), found, lambda p, v: F.struct(p["start"].alias("at"), v.alias("value")))
 
     def suspicious(c: Column) -> Column:
         v = c["value"]
         mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ((v.rlike("[a-z]") & v.rlike("[A-Z]")) | v.rlike("([0-9][^0-9]*){4}"))
-        return mixed & ~v.rlike(ALLOWED)
+        return mixed
 
     def windows(c: Column) -> Column:
-        codes = F.transform(F.split(c["value"], ""), lambda ch: F.instr(F.lit(alphabet), ch))
+        codes = F.transform(F.split(without_allowed(c["value"]), ""), lambda ch: F.instr(F.lit(alphabet), ch))
         hot = F.flatten(F.transform(F.array(codes), lambda ks: hot_windows(ks, least)))
         return F.transform(hot, lambda w: F.struct((c["at"] + w["start"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (c["at"] + w["end"]).alias("end")))
 
@@ -157,7 +165,7 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 def without_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span in the text replaced, hexadecimal keys of either case too; other columns, of any name, pass as they are."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = F.array_sort(F.concat(*base_spans(whole).values(), *[entropy_spans(whole, k, REPLACED) for k in REPLACED]))
+    found = F.array_sort(F.concat(*base_spans(whole).values(), *[entropy_spans(whole, k) for k in CLASSES]))
     once = F.transform(F.array(found), lambda spans_: redacted(F.col(text), spans_))[0]  # the spans are computed once
     return docs.select(*[once.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
