@@ -130,11 +130,11 @@ def test_swapped_words_are_told_apart(spark):
 
 
 def test_pieces_that_share_a_hash(monkeypatch):
-    monkeypatch.setattr(bpe, "span_hashes", lambda points, starts, ends: np.zeros(len(starts), np.uint64))
-    bpe._remembered.clear()
+    monkeypatch.setattr(bpe, "sums_of", lambda words, first, n, seed: np.zeros(len(n), np.uint64))
     lib = tokenizers.Tokenizer.from_file(PATH)
-    text = "one two three one hundred two twos don't one"
-    assert np.frombuffer(bpe.encode_texts(PATH, [text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    for text in ("one two three one hundred two twos don't one", "one two six ten one two"):
+        bpe._remembered.clear()
+        assert np.frombuffer(bpe.encode_texts(PATH, [text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
 def test_factors_end_inside_blocks(spark):

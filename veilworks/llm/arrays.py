@@ -39,6 +39,29 @@ def place_keys(seed: int, n: int) -> np.ndarray:
     return _keys[seed]
 
 
+def loads_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of bytes as 64-bit words, the last one of a span filled with zeros: (words, first word of each span, its words)."""
+    size = ends - starts
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    loads = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at = np.repeat(starts - 8 * first, n)
+    at += np.arange(len(at)) << 3
+    words = loads[at].astype(np.uint64, copy=False)
+    some = np.flatnonzero(n)
+    words[first[some] + n[some] - 1] &= TAIL[size[some] - 8 * (n[some] - 1)]
+    return words, first, n
+
+
+def sums_of(words: np.ndarray, first: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """Of each span the sum of its words, each mixed with a key of its place."""
+    place = np.arange(len(words))
+    place -= np.repeat(first, n)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words ^ place_keys(seed, int(n.max()))[place]), out=sums[1:])
+    return sums[first + n] - sums[first]
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BASE, block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each values[start:end], a function of seed and content; blocks of bounded length.
 
@@ -48,31 +71,27 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    if values.dtype == np.uint8:
-        padded = np.concatenate([values, np.zeros(8, np.uint8)])
-        loads, step, many = np.ndarray(len(values) + 1, "<u8", padded, strides=(1,)), 8, (size + 7) >> 3
-    else:
-        loads, step, many = values.astype(np.uint64, copy=False), 1, size
-    keys = place_keys(seed, int(many.max()))
+    byte = values.dtype == np.uint8
+    if not byte:
+        values = values.astype(np.uint64, copy=False)
     out = np.zeros(len(starts), np.uint64)
-    if step == 1 and (many == many[0]).all():  # windows
-        for i in range(int(many[0])):
-            out += mix(loads[starts + i] ^ keys[i])
+    if not byte and (size == size[0]).all():  # windows
+        keys = place_keys(seed, int(size[0]))
+        for i in range(int(size[0])):
+            out += mix(values[starts + i] ^ keys[i])
     else:
-        upto = np.cumsum(many)
+        upto = np.cumsum(size)
         lo = 0
         while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - many[lo] + block, "right")))
-            n = many[lo:hi]
-            first = np.cumsum(n) - n
-            place = np.arange(int(n.sum())) - np.repeat(first, n)
-            value = loads[np.repeat(starts[lo:hi], n) + place * step].astype(np.uint64)
-            if step == 8:
-                some = np.flatnonzero(n)
-                value[first[some] + n[some] - 1] &= TAIL[size[lo:hi][some] - 8 * (n[some] - 1)]
-            sums = np.zeros(len(place) + 1, np.uint64)
-            np.cumsum(mix(value ^ keys[place]), out=sums[1:])
-            out[lo:hi] = sums[first + n] - sums[first]
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + block, "right")))
+            s, e = starts[lo:hi], ends[lo:hi]
+            if byte:
+                words, first, n = loads_of(values[s[0] : e.max()], s - s[0], e - s[0])
+            else:
+                n = e - s
+                first = np.cumsum(n) - n
+                words = values[np.arange(int(n.sum())) + np.repeat(s - first, n)]
+            out[lo:hi] = sums_of(words, first, n, seed)
             lo = hi
     return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

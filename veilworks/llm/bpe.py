@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import map_slices, rows_of, span_hashes
+from .arrays import BASE, loads_of, map_slices, rows_of, sums_of
 
 REMEMBERED = 200_000
 NONE = np.int64(1) << 62
@@ -206,20 +206,24 @@ def piece_codes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
 
     Pieces are grouped by hash and compared with the first of their group; those that differ are grouped anew.
     """
-    codes = pd.factorize(span_hashes(points, starts, ends))[0]
+    words, begin, n = loads_of(points.view(np.uint8), starts * 4, ends * 4)
+    codes = pd.factorize(sums_of(words, begin, n, BASE) if len(n) else np.zeros(0, np.uint64))[0]
     first = np.full(int(codes.max()) + 1 if len(codes) else 0, -1, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     size = ends - starts
     like = first[codes]
     other = size != size[like]
-    same = np.flatnonzero(~other & (like != np.arange(len(like))))
-    n = size[same]
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    differ = points[np.repeat(starts[same], n) + inside] != points[np.repeat(starts[like[same]], n) + inside]
-    other[np.repeat(same, n)[differ]] = True
+    if not other.any():
+        to = np.repeat(begin[like] - begin, n)
+        to += np.arange(len(words))
+        differ = np.flatnonzero(words != words[to])
+        other[np.searchsorted(begin, differ, "right") - 1] = True
+    else:
+        other[:] = True  # a clash of pieces of different lengths: all are grouped anew
     if other.any():
         rest = np.flatnonzero(other)
         again = pd.factorize(np.array([points[a:b].tobytes() for a, b in zip(starts[rest], ends[rest])], object))[0]
+        codes = codes.copy()
         codes[rest] = again + len(first)
         more = np.empty(int(again.max()) + 1, np.int64)
         more[again[::-1]] = rest[::-1]
