@@ -280,9 +280,15 @@ def test_wand_equals_scoring_everything(items):
 
 
 def test_items_in_several_blocks(spark, docs, items, monkeypatch):
-    whole = {tuple(r) for r in decontamination.op3(docs, items).select("doc_id", "item_id").collect()}
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
-    assert {tuple(r) for r in decontamination.op3(docs, items).select("doc_id", "item_id").collect()} == whole
+    copies = items.selectExpr("item_id + 900000 as doc_id", "concat('some words before ', text) as text").limit(200)
+    both = docs.select("doc_id", "text").unionByName(copies)
+    many = items.select("item_id", "text").unionByName(items.selectExpr("7 as item_id", "concat(text, ' again') as text"))
+    for asked in (items, many):  # the second has one id of many texts
+        monkeypatch.undo()
+        whole = sorted(decontamination.op3(both, asked).collect())
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", 8000)
+        assert decontamination.item_blocks(asked, "item_id", "text")[1] > 1
+        assert sorted(decontamination.op3(both, asked).collect()) == whole and len(whole) >= items.count()
 
 
 def test_decontamination_of_odd_and_empty_tables(spark, odd, docs, items):

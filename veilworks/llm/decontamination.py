@@ -13,11 +13,12 @@ change, drop or put in to find it in one piece (bit-parallel, over the whole pas
 answer. So no edited word and no missing or other last sentence of a few words loses an item of five words or more,
 as long as its score reaches the threshold.
 
-The index holds the items only. It is broadcast in blocks of at most ``BLOCK_BYTES`` of item text; a larger test set is
-taken in several passes over the documents, each with an index of bounded size. No document row moves.
+The index holds the items only. It is broadcast in blocks of about ``BLOCK_BYTES`` of item text; a larger test set is
+taken in several passes over the documents, each with an index of bounded size. Document frequencies, the number of items,
+their mean and longest length are aggregates over the whole test set, so scores do not depend on the blocks. No document row moves.
 
 Defined cases: words are runs of letters, digits and non-ASCII characters in lower case; a null or empty text or item
-matches nothing; equal items are found each; rows with one id are searched each and reported once per item with their
+matches nothing; equal texts of different ids are found each, rows equal in id and text are one item; rows with one id are searched each and reported once per item with their
 best score; null ids are not reported; extra columns are not read; empty tables give an empty result.
 """
 
@@ -29,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import map_batches, map_slices, rows_of, slices, span_hashes, words
+from .tables import written
 
 THRESHOLD = 0.5  # a question without its answer may hold little more than half of an item's score
 OVERLAP = 0.8
@@ -85,7 +87,19 @@ class Index:
     stride: int
 
 
-def build(rows: list[tuple[int, str]], threshold: float) -> Index | None:
+@dataclass
+class Whole:
+    """Statistics of the whole test set, and the document frequencies of the terms of one block."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray  # ascending
+    df: np.ndarray
+
+
+def build(rows: list[tuple[int, str]], threshold: float, whole: Whole | None = None) -> Index | None:
+    """Index of a block of items; without statistics the block is the whole test set."""
     hashes, first, closes = low_words([t or "" for _, t in rows])
     own = [hashes[a:b] for a, b in zip(first, first[1:])]
     kept = [i for i, h in enumerate(own) if len(h)]
@@ -106,9 +120,11 @@ def build(rows: list[tuple[int, str]], threshold: float) -> Index | None:
     terms, term = np.unique(flat, return_inverse=True)
     pair, tf = np.unique(term.astype(np.int64) * len(own) + number, return_counts=True)
     term, item = pair // len(own), pair % len(own)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((len(own) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+    if whole is None:
+        whole = Whole(len(own), len(flat), int(length.max()), terms, np.bincount(term, minlength=len(terms)))
+    df = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] * whole.items / whole.words))
     weight /= np.bincount(item, weight, len(own))[item]
     begin = np.searchsorted(term, np.arange(len(terms) + 1))
     top = np.maximum.reduceat(weight, begin[:-1])
@@ -124,7 +140,7 @@ def build(rows: list[tuple[int, str]], threshold: float) -> Index | None:
             break
         slack[item[a:b]] = grown
         rare[t] = False
-    return Index(np.array([rows[i][0] for i in kept]), terms, begin, item, weight, lists, weights, top.tolist(), blocks, rare, slack, question, answer, sizes, [h.tolist() for h in own], cuts_, max(STRIDE, int(length.max() * 1.25) + 1))
+    return Index(np.array([rows[i][0] for i in kept]), terms, begin, item, weight, lists, weights, top.tolist(), blocks, rare, slack, question, answer, sizes, [h.tolist() for h in own], cuts_, max(STRIDE, int(whole.longest * 1.25) + 1))
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -260,13 +276,26 @@ def leaks_of(index: Index, texts: list[str], threshold: float, overlap: float) -
     return out
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> list[DataFrame]:
-    """The test items in blocks of bounded bytes; the driver holds one block while its index is built."""
+def item_blocks(items: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """``(block, item_id, text)`` of the different test items, in blocks of about equal bytes, and how many there are."""
     rows = items.select(F.col(key).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).filter("item_id is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    part = F.expr(f"pmod(xxhash64(item_id), {max(n, 1)})")
-    return [rows.filter(part == k) for k in range(n)]
+    rows = written(rows.distinct())
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    return rows.withColumn("block", F.expr(f"pmod(xxhash64(item_id, text), {max(n, 1)})").cast("int")), n
+
+
+def item_terms(blocks: DataFrame) -> DataFrame:
+    """``(block, n_words, terms)`` of every item with words: its different terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, _, _ in slices(b):
+                hashes, first, _ = low_words(rows_of(b, "text", lo, hi).to_pylist())
+                own = [np.unique(hashes[x:y]).view(np.int64) for x, y in zip(first, first[1:])]
+                columns = [rows_of(b, "block", lo, hi), pa.array(np.diff(first).astype(np.int64)), pa.array(own, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "n_words", "terms"])
+
+    return map_batches(blocks.select("block", "text"), run, "block int, n_words long, terms array<long>").filter("n_words > 0")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -291,9 +320,21 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def indexes(items: DataFrame, threshold: float):
-    """A broadcast index for each block of items, one after another."""
-    for block in item_blocks(items, "item_id", "text"):
-        index = build(sorted((r[0], r[1]) for r in block.collect()), threshold)
+    """A broadcast index for each block of items, one after another; the driver holds one block while its index is built."""
+    blocks, n = item_blocks(items, "item_id", "text")
+    if not n:
+        return
+    terms = written(item_terms(blocks))
+    count, total, longest = terms.agg(F.count(F.lit(1)), F.sum("n_words"), F.max("n_words")).first()
+    # counted per block first, so a frequent term is one row per block
+    counts = terms.select("block", F.explode("terms").alias("term")).groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"))
+    counts = written(counts.withColumn("df", F.sum("df").over(Window.partitionBy("term"))))
+    for k in range(n):
+        known = counts.filter(F.col("block") == k).select("term", "df").toArrow()
+        term, df = (known.column(c).to_numpy() for c in ("term", "df"))
+        order = np.argsort(term.view(np.uint64))
+        whole = Whole(count, total, longest, term.view(np.uint64)[order], df[order])
+        index = build(sorted((r["item_id"], r["text"]) for r in blocks.filter(F.col("block") == k).collect()), threshold, whole)
         if index is not None:
             yield items.sparkSession.sparkContext.broadcast(index)
 
