@@ -442,6 +442,31 @@ def test_shards_hold_every_sequence_once(request, table, tmp_path):
         assert payload == r.payload and hashlib.sha256(payload).hexdigest() == r.sha256 and len(payload) == r.n_slots * r.stride
 
 
+def test_order_does_not_depend_on_the_split(docs, odd, tmp_path):
+    """Also with rows of one id, repeated rows and null ids; the bytes of every shard are the same."""
+    df = docs.unionByName(odd.select(docs.columns)).unionByName(odd.select(docs.columns))
+    seen = []
+    for split in (df, df.repartition(3, "source"), df.orderBy(F.desc("text")).coalesce(1), df.repartition(11)):
+        split.write.parquet(f"{tmp_path}/{len(seen)}")
+        again = docs.sparkSession.read.parquet(f"{tmp_path}/{len(seen)}")
+        seen.append(sorted((r.shard, r.sha256, r.doc_ids, r.sequences) for r in training_order.shards(again, PATH).collect()))
+    assert seen[0] and seen[0] == seen[1] == seen[2] == seen[3]
+
+
+def test_numbering_moves_no_ids(docs):
+    """The only exchange above the encoded table is by slot; the numbers of documents come to it."""
+    rows, _ = training_order.placed(docs, PATH)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    joined = plan[plan.index("ShuffledHashJoin") :]
+    assert "Bucketed: true" in joined and joined.index("Bucketed: true") < joined.index("Exchange")
+
+
+def test_a_document_longer_than_a_piece(odd, monkeypatch):
+    want = sorted((r.shard, r.sha256) for r in training_order.shards(odd, PATH).collect())
+    monkeypatch.setattr(training_order, "PIECE", 2 * training_order.LENGTH)
+    assert sorted((r.shard, r.sha256) for r in training_order.shards(odd, PATH).collect()) == want
+
+
 def test_no_sequences(docs):
     assert training_order.op6(docs.limit(0), PATH).count() == 0
 

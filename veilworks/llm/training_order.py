@@ -6,19 +6,21 @@ each sequence its global slot: a bijection that needs no sort, no shuffle table
 of slots write their shards one after another. A record is two bytes of length and ``LENGTH`` unsigned 16-bit ids, all
 little-endian, so slot s is at ``(s % SHARD) * STRIDE`` of shard ``s // SHARD`` and a reader can stop and go on anywhere.
 
-Encoded documents are written once, with the writing task and the place in it as columns; only one row per task is
-needed to number all sequences, so the numbering does not depend on how a later job splits its input. The payload is
-shuffled once.
+Sequences are numbered in the order of two hashes of (id, text) and their place in the document, so the slots are a
+function of the key and the rows alone: another split or file layout of the input gives the same shards. Encoded documents
+are written once, bucketed by the task that wrote them. Only their hashes and counts are shuffled to find where each
+document begins; these numbers come back as one row per writing task and meet its bucket without moving the ids. The ids
+are shuffled once, by slot.
 
 Defined cases: a null or empty text has no sequence and no slot; rows with one id, or equal rows, are separate documents
-with separate slots; null ids stay null; extra columns are not read; an empty table has no shard.
+with separate slots (equal rows have equal sequences, so it does not matter which has which); a very long text is many
+sequences, made in pieces of ``PIECE`` ids; null ids stay null; extra columns are not read; an empty table has no shard.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh_folder
 from .arrays import map_batches, mix, rows_of, slices
 from .bpe import encode_texts, load
-from .tables import written
 
 LENGTH = 256
 SHARD = 1024
 STRIDE = 2 + 2 * LENGTH
-MAX_TASKS = 1 << 20  # up to so many writing tasks their offsets are broadcast
+MAX_BUCKETS = 1 << 16
+BUCKET_BITS = 16  # of a hash: places in the order that are counted together
+PIECE = 1 << 20  # ids that are cut at once, a multiple of LENGTH
 SHARDS_PER_TASK = 64  # at most, when shards are written
 ROUNDS = 6
 KEY = 20_260_101
@@ -59,54 +63,109 @@ def permuted(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``(part, at, doc_id, sequence, n, ids)``: sequences with the task that made them and their number in it."""
+    """``(part, at, doc_id, one, two, many, ids)``: the ids of each document with a token, as 16-bit integers.
+
+    part, at: the writing task and the place in it; one, two: hashes of the row; many: how many sequences it makes.
+    """
     if len(load(path).tokens) > 1 << 16:
         raise ValueError("ids of this vocabulary do not fit in 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            names = batch.column(0).to_pylist()
             for lo, hi, _, _ in slices(batch):
-                rows = []
-                for name, ids in zip(names[lo:hi], encode_texts(path, ["" if t is None else t for t in rows_of(batch, "text", lo, hi).to_pylist()])):
-                    flat = np.frombuffer(ids, "<u4").astype("<u2")
-                    for k, begin in enumerate(range(0, len(flat), LENGTH)):
-                        own = flat[begin : begin + LENGTH]
-                        rows.append((part, at, name, k, len(own), zlib.compress(own.tobytes(), 1)))
-                        at += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "at", "doc_id", "sequence", "n", "ids"])
+                ids = encode_texts(path, ["" if t is None else t for t in rows_of(batch, "text", lo, hi).to_pylist()])
+                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                some = np.flatnonzero(size)
+                if len(some):
+                    narrow = np.frombuffer(b"".join(ids), "<u4").astype("<u2")
+                    cuts = np.append(0, np.cumsum(2 * size[some])).astype(np.int32)
+                    columns = {
+                        "part": pa.array(np.full(len(some), part, np.int32)),
+                        "at": pa.array(np.arange(at, at + len(some))),
+                        **{n: rows_of(batch, n, lo, hi).take(pa.array(some)) for n in ("doc_id", "one", "two")},
+                        "many": pa.array(-(-size[some] // LENGTH)),
+                        "ids": pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cuts), pa.py_buffer(narrow)]),
+                    }
+                    at += len(some)
+                    yield pa.RecordBatch.from_pydict(columns)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(narrow, run, "part int, at long, doc_id long, sequence long, n int, ids binary")
+    narrow = narrow.select("*", F.xxhash64("doc_id", "text").alias("one"), F.xxhash64("text", "doc_id", F.lit(1)).alias("two"))
+    return map_batches(narrow, run, "part int, at long, doc_id long, one long, two long, many long, ids binary")
+
+
+def written_by_part(table: DataFrame, tasks: int) -> DataFrame:
+    """The rows as a Parquet table bucketed by ``part``: what one task writes is one file, so a join by it moves no row."""
+    spark, name = table.sparkSession, f"training_order_{uuid.uuid4().hex}"
+    buckets = max(1, min(2 * tasks, MAX_BUCKETS))
+    table.write.bucketBy(buckets, "part").option("path", fresh_folder(spark, "step")).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolves the table; its name is not needed from here on, its files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def begins(table: DataFrame) -> tuple[DataFrame, int]:
+    """``(part, begin)``: for each writing task the number of the first sequence of each of its documents; and the total.
+
+    Equal rows are counted per task before they are shuffled, so a frequent row costs one row per task.
+    """
+    keys = ["one", "two", "part"]
+    groups = table.groupBy(*keys).agg((F.count(F.lit(1)) * F.max("many")).alias("size")).withColumn("bucket", F.shiftright("one", 64 - BUCKET_BITS))
+    totals = groups.groupBy("bucket").agg(F.sum("size").alias("size"))
+    n = totals.agg(F.sum("size")).first()[0] or 0
+    # at most 2**BUCKET_BITS rows
+    base = totals.select("bucket", (F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("size")).alias("base"))
+    inside = F.sum("size").over(Window.partitionBy("bucket").orderBy(*keys)) - F.col("size")
+    groups = groups.withColumn("inside", inside).join(F.broadcast(base), "bucket").select(*keys, (F.col("base") + F.col("inside")).alias("first"))
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
+    rows = table.select(*keys, "at", "many").withColumn("copy", copy).join(groups, keys)
+    rows = rows.select("part", F.struct("at", (F.col("first") + F.col("copy") * F.col("many")).alias("begin")).alias("row"))
+    # the documents of one split in one array
+    return rows.groupBy("part").agg(F.array_sort(F.collect_list("row"))["begin"].alias("begins")), n
 
 
 def placed(docs: DataFrame, path: str, key: int = KEY) -> tuple[DataFrame, int]:
-    """The sequences with their global ``slot``, and how many there are."""
-    table = written(encoded(docs, path))
-    parts = table.groupBy("part").agg((F.max("at") + 1).alias("size"))
-    # running totals in two levels: windows of 4096 tasks, then one row per window
-    block = parts.withColumn("block", F.expr("part div 4096"))
-    inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    block = block.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    totals, begin, tasks = {}, 0, 0
-    for r in block.groupBy("block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("tasks")).orderBy("block").collect():
-        totals[r["block"]] = begin
-        begin, tasks = begin + r["size"], tasks + r["tasks"]
-    starts = F.create_map(*[F.lit(x).cast("long") for kv in totals.items() for x in kv]) if totals else F.expr("map(0L, 0L)")
-    offsets = block.select("part", (F.col("before") + F.element_at(starts, F.col("block").cast("long"))).alias("begin"))
-    # a row of two numbers per writing task: counted, so the payload need not move for it
-    numbered = table.join(F.broadcast(offsets) if tasks <= MAX_TASKS else offsets, "part")
+    """``(slot, doc_id, sequence, record)`` of every sequence, and how many there are."""
+    table = encoded(docs, path)
+    table = written_by_part(table, table.rdd.getNumPartitions())
+    first, n = begins(table)
+    found = table.join(first.hint("shuffle_hash"), "part").select("doc_id", F.get("begins", F.col("at").cast("int")).alias("begin"), "ids")
+
+    def cut(ids: np.ndarray, size: np.ndarray, begin: np.ndarray, skip: np.ndarray, doc: pa.Array) -> pa.RecordBatch:
+        """Records of whole sequences of some documents; ``skip`` sequences of each were made before."""
+        many = -(-size // LENGTH)
+        row = np.repeat(np.arange(len(size)), many)
+        sequence = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        body = np.zeros(len(row) * LENGTH, "<u2")
+        body[np.arange(len(ids)) + np.repeat((np.cumsum(many) - many) * LENGTH - (np.cumsum(size) - size), size)] = ids
+        records = np.empty((len(row), 1 + LENGTH), "<u2")
+        records[:, 0] = np.minimum(size[row] - sequence * LENGTH, LENGTH)
+        records[:, 1:] = body.reshape(-1, LENGTH)
+        sequence += skip[row]
+        cuts = np.arange(len(row) + 1, dtype=np.int32) * STRIDE
+        packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(records)])
+        return pa.RecordBatch.from_arrays([pa.array(permuted(begin[row] + sequence, n, key)), doc.take(pa.array(row)), pa.array(sequence), packed], names=["slot", "doc_id", "sequence", "record"])
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                index = b.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(permuted(index, begin, key)), *b.columns[1:]], names=["slot", *b.schema.names[1:]])
-
-    numbered = numbered.select((F.col("begin") + F.col("at")).alias("index"), "doc_id", "sequence", "n", "ids")
-    return numbered.mapInArrow(slots, "slot long, doc_id long, sequence long, n int, ids binary"), begin
+            if not b.num_rows:
+                continue
+            doc, begin, ids = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 2
+            flat = np.frombuffer(ids.buffers()[2], "<u2")
+            lo = 0
+            while lo < len(ids):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECE, "right")) - 1)
+                # one document may be longer than a piece
+                for at in range(ends[lo], ends[hi], PIECE) if hi == lo + 1 else (ends[lo],):
+                    stop = min(at + PIECE, ends[hi])
+                    size = np.array([stop - at]) if hi == lo + 1 else np.diff(ends[lo : hi + 1])
+                    yield cut(flat[at:stop], size, begin[lo:hi], np.full(hi - lo, (at - ends[lo]) // LENGTH), doc.slice(lo, hi - lo))
+                lo = hi
+
+    return map_batches(found, slots, "slot long, doc_id long, sequence long, record binary"), n
 
 
 def shards(docs: DataFrame, path: str, key: int = KEY, partitions: int | None = None) -> DataFrame:
@@ -131,14 +190,19 @@ def shards(docs: DataFrame, path: str, key: int = KEY, partitions: int | None =
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
         for b in batches:
-            for slot, doc, sequence, size, packed in zip(*(c.to_pylist() for c in b.columns)):
-                if slot // SHARD != shard:
+            if not b.num_rows:
+                continue
+            own, records = b.column(0).to_numpy() // SHARD, b.column(3)
+            data, cuts = records.buffers()[2], np.frombuffer(records.buffers()[1], np.int32)[records.offset :]
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for lo, hi in zip(edges, edges[1:]):
+                if own[lo] != shard:
                     if ids:
                         yield done()
-                    shard, ids, sequences, payload = slot // SHARD, [], [], bytearray()
-                ids.append(doc)
-                sequences.append(sequence)
-                payload += size.to_bytes(2, "little") + zlib.decompress(packed).ljust(2 * LENGTH, b"\0")
+                    shard, ids, sequences, payload = int(own[lo]), [], [], bytearray()
+                ids += b.column(1).slice(lo, hi - lo).to_pylist()
+                sequences += b.column(2).slice(lo, hi - lo).to_pylist()
+                payload += data[int(cuts[lo]) : int(cuts[hi])]
         if ids:
             yield done()
 
