@@ -411,6 +411,30 @@ def test_ablation_counts(docs):
         assert (r.failed, r.failed_only_this, r.kept_without) == (sum(m & bit != 0 for m in masks), masks.count(bit), sum(m & ~bit == 0 for m in masks))
 
 
+# 2
+def test_toxic_documents_of_a_larger_table(spark):
+    """990 held-out documents, 120 of them toxic; the table of the test above has 14."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = toxicity.op2(docs, labels).join(labels, "doc_id").filter("held_out and toxic is not null").select("score", "toxic", "predicted").toPandas()
+    assert auc(rows["score"].to_numpy(), rows["toxic"].to_numpy()) >= 0.95
+    assert (rows["predicted"][rows["toxic"] == 0] == 0).mean() >= 0.99
+
+
+def test_bounded_ids_are_those_of_least_hash(spark):
+    ids = spark.range(50_000).select(F.col("id").alias("doc_id"))
+    for bound in (10, 3000, 60_000):
+        want = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]
+        assert [r.doc_id for r in toxicity.least_hashed(ids, bound).collect()] == want
+
+
+def test_bounds_of_the_fit_are_parameters(docs, labels):
+    small = toxicity.fit(docs, labels, features=3)
+    assert len(small.buckets) == 3
+    none = toxicity.fit(docs, labels, positives=0)
+    assert not len(none.buckets)
+
+
 # 6
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 5, 64, 1000, 4097):

@@ -5,12 +5,16 @@ presence is trained in numpy on the risk ``prior * R+(1) + max(0, Ru(0) - prior
 negative its gradient is reversed, which keeps a flexible model from fitting the unlabelled set. The class prior is
 the share of toxic rows among the labelled ones outside the held-out fold (0.1 where there are none).
 
-The fit uses bounded samples, documented parameters: at most ``POSITIVES`` confirmed and ``UNLABELLED`` documents of
-smallest hashed id, both outside the held-out fold. Word buckets are chosen where positives exceed unlabelled text by
-``Z`` standard errors, ``FEATURES`` at most. Everything else covers all documents.
+The fit uses bounded samples, whose bounds are parameters of ``fit``: at most ``positives`` confirmed and ``unlabelled``
+documents of smallest hashed id, both outside the held-out fold. More of them narrow the errors of the weights, by the
+root of their number, and take memory of the driver, about 2 KB each; the risk is a mean, so its limit does not change.
+Word buckets are chosen where positives exceed unlabelled text by ``Z`` standard errors, ``features`` at most. Counts,
+the class prior and scores cover all documents.
 
 Defined cases: a null or empty text has no word and gets the score of the bias; null labels and ids teach nothing;
-without a confirmed document every score is the prior; repeated rows score alike; extra columns are not read.
+without a confirmed document, or in empty tables, every score is the prior; repeated rows score alike and count as one
+document in the fit; very long texts are read whole, a word counts once in each; documents of equal hashed id come by id,
+buckets of equal excess by number; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -87,18 +91,28 @@ def train(row: np.ndarray, column: np.ndarray, positive: np.ndarray, features: i
     return theta[:-1], float(theta[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Linear:
+def least_hashed(ids: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` ids of smallest hash. Those above a hash that leaves enough are gone before the sort of the rest."""
+    order, n = F.xxhash64("doc_id"), ids.count()
+    # twice the wanted share of the range of the hash; the rows below it are counted, as equal ids have equal hashes
+    share = min(1.0, (2 * bound + 1000) / max(n, 1))
+    near = ids.filter(order <= F.lit(int(share * 2**64) - 2**63 - 1)) if share < 1 else ids
+    if share < 1 and near.count() < bound:
+        near = ids
+    return near.orderBy(order, "doc_id").limit(bound)
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Linear:
     """``labels``: ``(doc_id, toxic)``; the held-out fold of both tables is left aside."""
     known = train_labels(labels, "toxic", folds, held)
     n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.col("label"))).first()
     prior = min(0.9, max(0.001, (toxic or 0) / n)) if n else 0.1
     nothing = Linear(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    order = F.xxhash64("doc_id")
-    positives = known.filter("label = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(POSITIVES)
+    confirmed = least_hashed(known.filter("label = 1").select("doc_id").distinct(), positives)
     others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(bucket(F.col("doc_id"), folds) != held)
-    others = others.join(F.broadcast(positives), "doc_id", "left_anti").orderBy(order, "doc_id").limit(UNLABELLED)
-    # bounded by POSITIVES + UNLABELLED ids
-    sample = F.broadcast(positives.withColumn("positive", F.lit(1)).unionByName(others.withColumn("positive", F.lit(0))))
+    others = least_hashed(others.join(F.broadcast(confirmed), "doc_id", "left_anti").distinct(), unlabelled)
+    # bounded by positives + unlabelled ids
+    sample = F.broadcast(confirmed.withColumn("positive", F.lit(1)).unionByName(others.withColumn("positive", F.lit(0))))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
 
     def work(batch, lo, hi, data, offsets):
@@ -114,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Li
     a, b = F.col("p") / sizes[1], F.col("u") / sizes[0]
     pooled = (F.col("p") + F.col("u")) / (sizes[1] + sizes[0])
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / sizes[1] + 1 / sizes[0]) + 1e-12)
-    best = share.filter("p >= 3").select("slot", z.alias("z")).filter(F.col("z") >= Z).orderBy(F.desc("z"), "slot").limit(FEATURES)
+    best = share.filter("p >= 3").select("slot", z.alias("z")).filter(F.col("z") >= Z).orderBy(F.desc("z"), "slot").limit(features)
     slots = np.array(sorted(r["slot"] for r in best.collect()), np.int64)
     if not len(slots):
         return nothing
@@ -131,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Li
 
 
 def scored(docs: DataFrame, model: Linear) -> DataFrame:
-    """``(doc_id, score)`` of every document; the model has FEATURES weights at most."""
+    """``(doc_id, score)`` of every document; the model has few weights and goes with the task."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def work(batch, lo, hi, data, offsets):
