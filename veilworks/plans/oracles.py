@@ -355,6 +355,7 @@ ORACLES = {
     "catalog_select": f"SELECT {L.PART_ID} AS id, p_name AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 10)",
     "catalog_unknown_ids": f"SELECT {_PAD.format('(c_custkey + 1000)')} AS id FROM customer WHERE c_custkey + 1000 NOT IN (SELECT p_partkey FROM part)",
     "catalog_roundtrip": f"SELECT p_partkey AS pos, {L.PART_ID} AS id, p_name AS name, {L.PART_TOKENIZED} AS sample, p_brand AS source, 'FILE_PATH' AS tokens, {_PART_MAPPED} AS mapped FROM part",
+    "catalog_document": f"SELECT row_number() OVER (ORDER BY p_partkey) AS nth, {L.PART_ID} AS id, p_name AS name, {L.PART_TOKENIZED} AS sample, p_brand AS source FROM part",
     "catalog_roundtrip_unordered": f"SELECT o_orderkey AS pos, {_PAD.format('(100000000 - o_orderkey)')} AS id, o_orderstatus AS name, 'x ' || o_orderstatus AS sample FROM orders",
     "compile_with_nulls": f"SELECT coalesce(sample, '?') AS sample, count(*) AS templates, CAST(1 AS BIGINT) AS forms, CASE WHEN sample IS NULL THEN 0 ELSE count(*) END AS cut FROM {_NULLS} GROUP BY sample",
     "catalog_validate_nulls": _NULL_RULES,

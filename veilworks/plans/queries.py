@@ -20,7 +20,8 @@ from ..operators import synthesis as S
 from ..operators.dimensions import profile_attribute, profile_values, styles, token_kinds
 from ..operators.ordering import dense_index
 from ..session import fresh_folder
-from ..sources.catalog_files import read_entries, read_raw_catalog, write_catalog
+from ..sources.catalog_document import read_document
+from ..sources.catalog_files import export_document, read_entries, read_raw_catalog, write_catalog
 from ..sources.event_files import event_files, write_event_files
 from ..sources.tables import read_table, spread
 from ..streaming import jobs as J
@@ -300,6 +301,13 @@ def catalog_roundtrip(spark, sf):
     )
 
 
+def catalog_document(spark, sf):
+    """Exported as one document and read by the tasks of its splits."""
+    path = fresh_folder(spark, "catalog")
+    export_document(L.part_templates(spark, sf), path)
+    return read_document(spark, path).select((F.col("pos") + 1).cast("long").alias("nth"), "id", "name", "sample", "source")
+
+
 def catalog_roundtrip_unordered(spark, sf):
     """A catalog of all orders whose ids are not in file order, written and read back."""
     o = read_table(spark, sf, "orders")
@@ -696,7 +704,7 @@ QUERIES = {
         privacy_audit, privacy_audit_lines, invalid_json_payloads, mask_endpoints, tokenize_lines, pseudonymize_contacts,
         pseudonymize_hashed, stable_pseudonyms, synthetic_people, synthetic_values, dictionary_terms, token_totals,
         detect_timestamps, timestamp_profile, timestamp_totals, mark_timestamps, rebase_timestamps, rebase_zoned, timestamps_several,
-        catalog_validate, catalog_next_id, catalog_upsert, catalog_delete, catalog_select, catalog_unknown_ids, catalog_roundtrip, catalog_roundtrip_unordered,
+        catalog_validate, catalog_next_id, catalog_upsert, catalog_delete, catalog_select, catalog_unknown_ids, catalog_roundtrip, catalog_document, catalog_roundtrip_unordered,
         compile_with_nulls, catalog_validate_nulls, upsert_unknown, dense_hashed_ids, mapped_paths, coverage_shortfalls, deid_company,
         restore_mapped_values, restore_two_keys, catalog_files_checked, analyze_templates, compile_segments, catalog_coverage, dedupe_compile, search_docs, search_catalog,
         round_robin_events, round_robin_fairness, event_time_range, event_time_offset, synthesize_events, synthesize_offset,

@@ -42,6 +42,11 @@ def read_raw_catalog(spark: SparkSession, path: str) -> DataFrame:
         "file", "schema_version", F.col("logs").isNotNull().alias("has_logs"),
         F.posexplode_outer("logs").alias("pos", "entry"),
     )
+    return described(exploded)
+
+
+def described(exploded: DataFrame) -> DataFrame:
+    """Entries of files, with the types of their members."""
     v = F.try_parse_json("entry")
     parsed = exploded.withColumn("v", v)
     texts = {n: F.try_variant_get("v", f"$.{n}", "string") for n in ("id", "name", "sample", "source")}
@@ -68,6 +73,11 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
         if bad:
             raise ValueError(f"catalog {path}: {bad['rule']} (entry {bad['pos']}, id {bad['id']})")
     rows = _documents(spark, path).select(F.posexplode("logs").alias("pos", "entry"))
+    return catalog_columns(rows)
+
+
+def catalog_columns(rows: DataFrame) -> DataFrame:
+    """The columns of a catalog, of ``(pos, entry)``."""
     return rows.select("pos", F.from_json("entry", LOG).alias("log")).select("pos", *_columns("log"))
 
 
