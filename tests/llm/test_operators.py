@@ -1,8 +1,11 @@
 """Operators against brute force, exact round trips and held-out accuracy, and their defined odd cases."""
 
+import dataclasses
 import hashlib
+import itertools
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -669,6 +672,51 @@ def test_forgetting_pieces_changes_nothing(docs, monkeypatch):
     assert [bpe.encode_texts(PATH, [t])[0] for t in texts] == want
 
 
+def test_no_call_for_each_piece():
+    """20 000 different pieces, new and then known, are a few array operations: this is what op6 and op9 cost."""
+    text = " ".join(f"{a}{b}" for a in ("no", "ta", "ri", "möglich") for b in ("".join(x) for x in itertools.product("aeiouklmnt", repeat=4)))[:160_000]
+    assert len(set(text.split())) > 15_000
+    bpe.load(PATH), bpe.classes(), bpe._remembered.clear()
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        first, second = bpe.encode_texts(PATH, [text]), bpe.encode_texts(PATH, [text])
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 15_000
+    assert first == second
+    assert np.frombuffer(first[0], "<u4").tolist() == tokenizers.Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_every_width_that_share_places(monkeypatch):
+    """Texts of 8, 16 and 32 bits a character, with pieces longer than are remembered, in 1, 7 and many places."""
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(11)
+    letters = ["abcdeé ", "abcdeéœж日 \n", "abcéж日😀𝒳 .,1'", "#a\x00\x01 "]
+    texts = ["".join(rng.choice(list(own), size)) for own in letters for size in rng.integers(0, 200, 40)]
+    texts += ["ab" * 9, "ab" * 16, "ab" * 17, "é" * 33, "ж" * 17, "😀" * 9, "\x00", "\x00\x00", "a<|endoftext|><|endoftext|>", "<|startoftext|>ab<|endoftext|>é<|x"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for places in (1, 7, 1 << 12):
+        monkeypatch.setattr(bpe, "REMEMBERED", places)
+        bpe._remembered.clear()
+        for _ in range(2):
+            for together in (1, 13, len(texts)):
+                got = [x for k in range(0, len(texts), together) for x in bpe.encode_texts(PATH, texts[k : k + together])]
+                assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    bpe._remembered.clear()
+
+
+def test_slots_of_pairs_that_collide(monkeypatch):
+    """All pairs look from the last slot on and go round the end of the table."""
+    monkeypatch.setattr(bpe, "pair_slots", lambda key, slots: np.full(key.shape, slots - 1))
+    keys = np.random.default_rng(3).permutation(200).astype(np.int64) << 32 | 5
+    pairs, ranks = bpe.hashed_pairs(keys)
+    v = dataclasses.replace(bpe.load(PATH), pairs=pairs, ranks=ranks)
+    left = np.arange(400).reshape(20, 20)
+    want = {int(k) >> 32: i for i, k in enumerate(keys)}
+    assert bpe.rank_pairs(v, left, np.full_like(left, 5)).ravel().tolist() == [want.get(i, int(bpe.NONE)) for i in range(400)]
+
+
 # shared helpers
 def test_span_hashes_do_not_depend_on_blocks():
     values = np.random.default_rng(0).integers(0, 256, 5000).astype(np.uint8)

@@ -3,7 +3,8 @@
 Every piece of text keeps a segment tree whose leaves are its adjacent symbol pairs, each with ``rank << 32 | place``.
 The root is the leftmost pair of lowest rank; a merge is three point updates of logarithmic depth. The trees of many
 pieces of similar length are one array, so one numpy step merges once in each of them. A piece is encoded once per
-Python worker while it is remembered (``REMEMBERED`` pieces at most; forgetting changes no result).
+Python worker while it is remembered: its hash names one of ``REMEMBERED`` places, where the next piece of that place
+replaces it. A piece is compared with what is remembered, never taken on its hash, so forgetting changes no result.
 
 Defined cases: a null text is an empty one and has no ids; an empty list decodes to the empty text; a literal special
 token in a text is that token; repeated rows give repeated results; extra columns are not read. No row meets another,
@@ -15,7 +16,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import struct
 import unicodedata
 from dataclasses import dataclass
 
@@ -24,9 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BASE, loads_of, map_slices, rows_of, sums_of
+from .arrays import BASE, loads_of, map_slices, mix, rows_of, sums_of
 
-REMEMBERED = 200_000
+REMEMBERED = 1 << 19
+GROUP = 3000  # pieces that are merged at once; few enough for a processor's cache
+KEY_WORDS, KEY_IDS = 4, 10  # longer pieces are not remembered: eight bytes a word, and ids
 NONE = np.int64(1) << 62
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 0
 # Unicode's White_Space; fixed values
@@ -36,8 +38,8 @@ WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 @dataclass
 class Vocabulary:
     tokens: list[bytes]  # text of each id
-    pairs: np.ndarray  # left << 32 | right, ascending
-    ranks: np.ndarray  # of the pairs
+    pairs: np.ndarray  # left << 32 | right, each at the first free slot from its hash on; -1 where there is none
+    ranks: np.ndarray  # of the pairs; NONE where there is none
     merged: np.ndarray  # id made by the merge of each rank
     inner: np.ndarray  # id of each byte inside a piece
     final: np.ndarray  # id of each byte at the end of a piece
@@ -51,6 +53,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def pair_slots(key: np.ndarray, slots: int) -> np.ndarray:
+    """First slot to look for each pair in a table of a power of two."""
+    return (key.astype(np.uint64) * np.uint64(BASE) >> np.uint64(64 - (slots - 1).bit_length())).astype(np.int64)
+
+
+def hashed_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and ranks by slot, an eighth full at most; the last rank of a pair that is listed twice."""
+    slots = 8 << len(keys).bit_length()
+    pairs, ranks = np.full(slots, -1, np.int64), np.full(slots, NONE)
+    rank, at = np.arange(len(keys)), pair_slots(keys, slots)
+    while len(rank):
+        free = pairs[at] < 0
+        pairs[at[free]] = keys[rank[free]]
+        here = pairs[at] == keys[rank]
+        ranks[at[here]] = rank[here]
+        rank, at = rank[~here], at[~here] + 1 & slots - 1
+    return pairs, ranks
+
+
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
@@ -63,9 +84,9 @@ def load(path: str) -> Vocabulary:
         tokens[i] = t.encode()
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
-    order = np.argsort(keys, kind="stable")
+    pairs, ranks = hashed_pairs(keys)
     letters = byte_letters()
-    return Vocabulary(tokens, keys[order], order.astype(np.int64), np.array([vocab[a + b] for a, b in merges], np.int64), np.array([vocab[c] for c in letters]), np.array([vocab[c + end] for c in letters]), specials)
+    return Vocabulary(tokens, pairs, ranks, np.array([vocab[a + b] for a, b in merges], np.int64), np.array([vocab[c] for c in letters]), np.array([vocab[c + end] for c in letters]), specials)
 
 
 @functools.lru_cache(maxsize=1)
@@ -112,8 +133,19 @@ def pieces(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def rank_pairs(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Rank of each adjacent pair, NONE if the pair never merges."""
     key = left << 32 | right
-    at = np.minimum(np.searchsorted(v.pairs, key), len(v.pairs) - 1)
-    return np.where(v.pairs[at] == key, v.ranks[at], NONE)
+    at = pair_slots(key, len(v.pairs))
+    found = v.pairs[at]
+    rank = v.ranks[at]
+    look = np.nonzero((found != key) & (found >= 0))
+    rank[look] = NONE
+    while len(look[0]):
+        at[look] = at[look] + 1 & len(v.pairs) - 1
+        found = v.pairs[at[look]]
+        here = found == key[look]
+        rank[tuple(x[here] for x in look)] = v.ranks[at[look][here]]
+        look = tuple(x[~here & (found >= 0)] for x in look)
+    rank[v.pairs[at] != key] = NONE
+    return rank
 
 
 def merge_all(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -121,93 +153,123 @@ def merge_all(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     m, n = ids.shape
     leaves = 1 << max(0, (n - 1).bit_length())
     place = np.arange(n)
-    following = np.where(place + 1 < sizes[:, None], place + 1, n)
-    preceding = np.broadcast_to(place - 1, (m, n)).copy()
     live = place < sizes[:, None]
     tree = np.full((m, 2 * leaves), NONE, np.int64)
     rank = rank_pairs(v, ids[:, :-1], ids[:, 1:])
-    pair = (rank < NONE) & live[:, 1:]
-    tree[:, leaves : leaves + n - 1] = np.where(pair, rank << 32 | place[:-1], NONE)
+    tree[:, leaves : leaves + n - 1] = np.where((rank < NONE) & live[:, 1:], rank << 32 | place[:-1], NONE)
     size = leaves
     while size > 1:
         tree[:, size // 2 : size] = np.minimum(tree[:, size : 2 * size : 2], tree[:, size + 1 : 2 * size : 2])
         size //= 2
+    # one dimension from here on: symbol i of row r is at r * n + i, its leaf at (2 * r + 1) * leaves + i
+    symbols, alive, nodes = ids.reshape(-1), live.reshape(-1), tree.reshape(-1)
+    following = np.where(place + 1 < sizes[:, None], place + 1, n).reshape(-1)
+    preceding = np.tile(place - 1, m)
 
-    def point(r: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
-        at = leaf + leaves
-        tree[r, at] = value
-        while leaves > 1 and at[0] > 1:
-            at = at >> 1
-            tree[r, at] = np.minimum(tree[r, 2 * at], tree[r, 2 * at + 1])
-
-    def pair_value(r: np.ndarray, i: np.ndarray) -> np.ndarray:
-        j = following[r, i]
+    def pair_value(own: np.ndarray, i: np.ndarray) -> np.ndarray:
+        j = following[own + i]
         ends = j >= n
-        rank = rank_pairs(v, ids[r, i], ids[r, np.where(ends, 0, j)])
+        rank = rank_pairs(v, symbols[own + i], symbols[own + np.where(ends, 0, j)])
         return np.where(ends | (rank >= NONE), NONE, rank << 32 | i)
 
+    r = np.arange(m)
     while True:
-        r = np.flatnonzero(tree[:, 1] < NONE)
+        root = nodes[2 * leaves * r + 1]
+        some = root < NONE
+        r, root = r[some], root[some]
         if not len(r):
             return live
-        root = tree[r, 1]
+        own = r * n
         i = root & 0xFFFFFFFF
-        j = following[r, i]
-        ids[r, i] = v.merged[root >> 32]
-        live[r, j] = False
-        after = following[r, j]
-        following[r, i] = after
+        j = following[own + i]
+        symbols[own + i] = v.merged[root >> 32]
+        alive[own + j] = False
+        after = following[own + j]
+        following[own + i] = after
         inside = after < n
-        preceding[r[inside], after[inside]] = i[inside]
-        point(r, j, np.full(len(r), NONE))
-        point(r, i, pair_value(r, i))
-        before = preceding[r, i]
+        preceding[own[inside] + after[inside]] = i[inside]
+        before = preceding[own + i]
         has = before >= 0
-        if has.any():
-            point(r[has], before[has], pair_value(r[has], before[has]))
-
-
-def encode_pieces(v: Vocabulary, texts: list[bytes]) -> list[bytes]:
-    """Ids of each piece (UTF-8 bytes, not empty) as little-endian 32-bit integers."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.concatenate([j, i, before[has]]) + leaves
+        base = np.concatenate([r, r, r[has]]) * (2 * leaves)
+        value = pair_value(base[len(r) :] // (2 * leaves) * n, at[len(r) :] - leaves)
+        nodes[base + at] = np.concatenate([np.full(len(r), NONE), value])
+        for _ in range(leaves.bit_length() - 1):
+            left = base + (at & -2)
+            at >>= 1
+            nodes[base + at] = np.minimum(nodes[left], nodes[left + 1])
+
+
+def encode_pieces(v: Vocabulary, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of pieces (UTF-8 bytes one after another, none empty), and where each one's begin and how many they are."""
     starts = np.cumsum(sizes) - sizes
-    out: list[bytes] = [b""] * len(texts)
+    made, begin, count, total = [], np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
     order = np.argsort(sizes, kind="stable")
+    ascending = sizes[order]
     lo = 0
     while lo < len(order):
-        least = int(sizes[order[lo]])
+        least = int(ascending[lo])
         width = 1 << max(1, (least - 1).bit_length())
         if least > 4 and least <= width * 3 // 4:
             width = width * 3 // 4
-        hi = int(np.searchsorted(sizes[order], width, "right"))
-        hi = min(hi, lo + max(1, (1 << 19) // width))
+        hi = int(np.searchsorted(ascending, width, "right"))
+        hi = min(hi, lo + max(1, min(GROUP, (1 << 19) // width)))
         group = order[lo:hi]
         n = sizes[group]
         index = starts[group, None] + np.minimum(np.arange(width), n[:, None] - 1)
         ids = v.inner[flat[index]]
         ids[np.arange(len(group)), n - 1] = v.final[flat[starts[group] + n - 1]]
         live = merge_all(v, ids, n)
-        joined = ids[live].astype("<u4").tobytes()
-        stops = np.cumsum(live.sum(1)) * 4
-        begin = 0
-        for k, stop in zip(group.tolist(), stops.tolist()):
-            out[k] = joined[begin:stop]
-            begin = stop
+        made.append(ids[live].astype(np.uint32))
+        count[group] = live.sum(1)
+        begin[group] = total + np.cumsum(count[group]) - count[group]
+        total += len(made[-1])
         lo = hi
-    return out
+    return np.concatenate([*made, np.zeros(0, np.uint32)]), begin, count
+
+
+class Memory:
+    """The ids of one piece in each place; a piece is known by its words and its size, 0 where there is none."""
+
+    def __init__(self, places: int) -> None:
+        self.words, self.ids = np.zeros((places, KEY_WORDS), np.uint64), np.zeros((places, KEY_IDS), np.uint32)
+        self.size, self.count, self.last = (np.zeros(places, np.int32) for _ in range(3))
 
+    def knows(self, at: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.size[at] == size) & (self.words[at] == words).all(1)
 
-_remembered: dict[str, dict[str, bytes]] = {}
+    def keep(self, at: np.ndarray, words: np.ndarray, size: np.ndarray, ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        self.last[at] = np.arange(len(at))
+        own = np.flatnonzero(self.last[at] == np.arange(len(at)))  # one piece for each place
+        at = at[own]
+        self.words[at], self.size[at], self.count[at] = words[own], size[own], count[own]
+        self.ids[at] = ids[np.minimum(begin[own, None] + np.arange(KEY_IDS), len(ids) - 1)]
 
 
-def piece_codes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each piece, equal for equal pieces, and the place of the first piece of each number.
+_remembered: dict[str, Memory] = {}
+
+
+def code_points(text: str) -> tuple[np.ndarray, str]:
+    """The code points in the least of 8, 16 and 32 bits that holds them all, and that encoding."""
+    for coding, kind in (("latin-1", np.uint8), ("utf-16-le", np.uint16)):
+        try:
+            points = np.frombuffer(text.encode(coding), kind)
+        except UnicodeEncodeError:
+            continue
+        if len(points) == len(text):
+            return points, coding
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), "utf-32-le"
+
+
+def piece_codes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each piece, equal for equal pieces; and of each number its first piece, a hash and ``KEY_WORDS`` words.
 
     Pieces are grouped by hash and compared with the first of their group; those that differ are grouped anew.
     """
-    words, begin, n = loads_of(points.view(np.uint8), starts * 4, ends * 4)
-    codes = pd.factorize(sums_of(words, begin, n, BASE) if len(n) else np.zeros(0, np.uint64))[0]
+    width = points.itemsize
+    words, begin, n = loads_of(points.view(np.uint8), starts * width, ends * width)
+    sums = sums_of(words, begin, n, BASE) if len(n) else np.zeros(0, np.uint64)
+    codes = pd.factorize(sums)[0]
     first = np.full(int(codes.max()) + 1 if len(codes) else 0, -1, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     size = ends - starts
@@ -228,52 +290,75 @@ def piece_codes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
         more = np.empty(int(again.max()) + 1, np.int64)
         more[again[::-1]] = rest[::-1]
         first = np.concatenate([first, more])
-    return codes, first
+    key = np.zeros((len(first), KEY_WORDS), np.uint64)
+    for k in range(KEY_WORDS):
+        long = np.flatnonzero(n[first] > k)
+        key[long, k] = words[begin[first[long]] + k]
+    return codes, first, mix(sums[first] + size[first].astype(np.uint64)), key
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers."""
+def encode_flat(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts one after another, and how many each text has."""
     v = load(path)
-    memory = _remembered.setdefault(path, {})
     special = re.compile("|".join(map(re.escape, v.specials)) or "(?!)")
     parts: list[str] = []
-    plan: list[list[int]] = []  # of each text: places in parts, or -1 - id of a special token
+    until: list[int] = []  # of each text: how many parts there are at its end
+    marks: list[tuple[int, int]] = []  # special tokens: the part after them, their id
     for t in texts:
-        own, at = [], 0
+        at = 0
         for m in special.finditer(t) if "<|" in t else ():
-            own += [len(parts), -1 - v.specials[m[0]]]
             parts.append(normal(t[at : m.start()]))
+            marks.append((len(parts), v.specials[m[0]]))
             at = m.end()
-        own.append(len(parts))
         parts.append(normal(t[at:] if at else t))
-        plan.append(own)
+        until.append(len(parts))
     whole = "\n".join(parts)
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    row_end = np.cumsum(lengths)
+    points, coding = code_points(whole)
+    row_end = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts, ends = pieces(points, row_end)
-    codes, first = piece_codes(points, starts, ends)
-    names = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    known = [memory.get(k) for k in names]
-    new = [i for i, k in enumerate(known) if k is None]
-    if new:
-        got = encode_pieces(v, [names[i].encode("utf-8", "surrogatepass") for i in new])
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-        for i, ids in zip(new, got):
-            known[i] = ids
-            if len(memory) < REMEMBERED:
-                memory[names[i]] = ids
-    flat = np.frombuffer(b"".join(known), "<u4")
-    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    begin = np.cumsum(sizes) - sizes
-    counts = sizes[codes]
+    codes, first, hashes, words = piece_codes(points, starts, ends)
+    if path not in _remembered:
+        _remembered[path] = Memory(REMEMBERED)
+    memory = _remembered[path]
+    size = ends[first] - starts[first]
+    place = (hashes % np.uint64(len(memory.size))).astype(np.int64)
+    short = size * points.itemsize <= 8 * KEY_WORDS
+    named = (size << 3 | points.itemsize).astype(np.int32)
+    known = short & memory.knows(place, words, named)
+    count, begin = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    count[known] = memory.count[place[known]]
+    flat = memory.ids[place[known]][np.arange(KEY_IDS) < count[known, None]]
+    begin[known] = np.cumsum(count[known]) - count[known]
+    new = np.flatnonzero(~known)
+    if len(new):
+        n = size[new]
+        own = points[np.arange(int(n.sum())) + np.repeat(starts[first[new]] - (np.cumsum(n) - n), n)]
+        data = np.frombuffer(own.tobytes().decode(coding, "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        upto = np.cumsum(np.uint8(1) + (own >= 0x80) + (own >= 0x800) + (own >= 0x10000), dtype=np.int64)[np.cumsum(n) - 1]
+        made, begin[new], count[new] = encode_pieces(v, data, np.diff(upto, prepend=0))
+        held = new[short[new] & (count[new] <= KEY_IDS)]
+        memory.keep(place[held], words[held], named[held], made, begin[held], count[held])
+        begin[new] += len(flat)
+        flat = np.concatenate([flat, made])
+    counts = count[codes]
     stops = np.cumsum(counts)
-    index = np.arange(int(counts.sum())) + np.repeat(begin[codes] - (stops - counts), counts)
-    ids = flat[index].tobytes()
-    upto = np.concatenate([[0], stops])[np.searchsorted(starts, row_end)] * 4
-    bounds = [0, *upto.tolist()]
-    return [b"".join(struct.pack("<I", -1 - p) if p < 0 else ids[bounds[p] : bounds[p + 1]] for p in own) if len(own) > 1 else ids[bounds[own[0]] : bounds[own[0] + 1]] for own in plan]
+    index = np.repeat(begin[codes] - (stops - counts), counts)
+    index += np.arange(len(index))
+    ids = flat[index]
+    bounds = np.concatenate([[0], np.concatenate([[0], stops])[np.searchsorted(starts, row_end)]])
+    ends_of_texts = bounds[until]
+    if marks:
+        after, tokens = np.array(marks, np.int64).T
+        ids = np.insert(ids, bounds[after], tokens.astype(np.uint32))
+        ends_of_texts = ends_of_texts + np.searchsorted(after, until, "left")
+    return ids, np.diff(ends_of_texts, prepend=0)
+
+
+def encode_texts(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit integers."""
+    ids, counts = encode_flat(path, texts)
+    data, bounds = ids.astype("<u4", copy=False).tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def decode(path: str, ids: bytes) -> bytes:

@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_folder
 from .arrays import map_batches, mix, rows_of, slices
-from .bpe import encode_texts, load
+from .bpe import encode_flat, load
 
 LENGTH = 256
 SHARD = 1024
 STRIDE = 2 + 2 * LENGTH
 MAX_BUCKETS = 1 << 16
 BUCKET_BITS = 16  # of a hash: places in the order that are counted together
+ENCODED_BYTES = 1 << 21  # of texts that are encoded at once
 PIECE = 1 << 20  # ids that are cut at once, a multiple of LENGTH
 SHARDS_PER_TASK = 64  # at most, when shards are written
 ROUNDS = 6
@@ -73,12 +74,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi, _, _ in slices(batch):
-                ids = encode_texts(path, ["" if t is None else t for t in rows_of(batch, "text", lo, hi).to_pylist()])
-                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            for lo, hi, _, _ in slices(batch, limit=ENCODED_BYTES):
+                ids, size = encode_flat(path, ["" if t is None else t for t in rows_of(batch, "text", lo, hi).to_pylist()])
                 some = np.flatnonzero(size)
                 if len(some):
-                    narrow = np.frombuffer(b"".join(ids), "<u4").astype("<u2")
+                    narrow = ids.astype("<u2")
                     cuts = np.append(0, np.cumsum(2 * size[some])).astype(np.int32)
                     columns = {
                         "part": pa.array(np.full(len(some), part, np.int32)),
