@@ -365,6 +365,14 @@ def test_order_of_32_bits_over_several_buckets(spark):
     assert first_over(rows, "pos", F.lit(1), 140_000) == 140_000
 
 
+def test_round_robin_over_many_templates(spark):
+    """A catalog of more than one bucket gives each event one template, in turn."""
+    templates = spark.range(140_000).select(F.col("id").cast("int").alias("pos"), F.col("id").cast("string").alias("template_id"))
+    got = S.assign_round_robin(spark.range(150_000).select(F.col("id").alias("event_idx")), templates)
+    right = F.count_if(F.col("template_id") == (F.col("event_idx") % 140_000).cast("string"))
+    assert tuple(got.agg(F.count(F.lit(1)), right).first()) == (150_000, 150_000)
+
+
 BUDGETS = [
     (dict(max_bytes=10), 2, "bytes"), (dict(max_bytes=6), 1, "bytes"), (dict(max_count=3), 1, "count"), (dict(max_count=100), None, "sent"),
     (dict(max_bytes=10, max_count=3), 1, "count"), (dict(max_bytes=6, max_count=3), 1, "bytes"),

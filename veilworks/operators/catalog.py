@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_of
 from ..functions.templates import analysis, restored, segments, tokenize
-from ..session import cut_lineage
+from ..session import stored_step
 from ..sources.tables import spread
 from .deid import dictionary_terms
 from .ordering import dense_index
@@ -200,10 +200,10 @@ def compile_distinct(templates: DataFrame, **options) -> DataFrame:
     """
     keyed = templates.withColumn("fp", fingerprint(F.col("sample"), F.col("test_case")))
     once = keyed.groupBy("fp").agg(F.any_value("sample").alias("sample"), F.any_value(_mapped(F.col("test_case"))).alias("test_case"))
-    tokenized = cut_lineage(tokenize_table(spread(once, "fp"), **options))
+    tokenized = stored_step(tokenize_table(spread(once, "fp"), **options))
     tokenized = tokenized.withColumn("compiled_fp", fingerprint(F.col("sample"), F.col("test_case")))
     distinct = tokenized.groupBy("compiled_fp").agg(F.any_value("sample").alias("sample"), F.any_value("test_case").alias("test_case"))
-    built = cut_lineage(_analyzed(spread(distinct, "compiled_fp")))
+    built = stored_step(_analyzed(spread(distinct, "compiled_fp")))
     links = keyed.drop("sample", "test_case").join(tokenized.select("fp", "compiled_fp"), "fp")
     return links.drop("fp").join(built, "compiled_fp")
 

@@ -13,8 +13,8 @@ from ..functions import fixed as V
 from ..functions import programs as P
 from ..functions.columns import int_div
 from ..functions.templates import rendered
-from ..session import cut_lineage, use_utc
-from ..sources.tables import broadcast_if_small
+from ..session import stored_step, use_utc
+from ..sources.tables import broadcast_if_small, dealt
 from .catalog import compile_distinct
 from .deid import profile_of
 from .dimensions import profiles
@@ -143,16 +143,17 @@ def build_programs(
     for ip in (source_ip, destination_ip):
         if not valid_ipv4(ip):
             raise ValueError(f"not an IPv4 address: {ip}")
-    # number the catalog before the costly step, and compile once: the result is read for its count, its time
-    # forms and the join
+    # number the catalog before the costly step, and compile once: the result, with its programs, is read for its count,
+    # its time forms, its size and the join
     numbered = number_templates(templates)
-    numbered = cut_lineage(
-        (numbered if compiled else compile_distinct(numbered, **options)).select(
-            "ordinal", F.col("id").alias("template_id"), "segments", "n_privacy"
-        )
+    compiled_rows = (numbered if compiled else compile_distinct(numbered, **options)).select(
+        "ordinal", F.col("id").alias("template_id"), "segments", "n_privacy"
     )
-    n, bad = numbered.agg(
-        F.count(F.lit(1)), F.min(F.when(F.col("segments").isNull(), F.col("template_id")))
+    program = P.program(F.col("segments"), source_ip, destination_ip, clock.calendar)
+    numbered = stored_step(dealt(compiled_rows, "ordinal").withColumn("program", program))
+    least = F.octet_length("program") + 64
+    n, bad, size = numbered.agg(
+        F.count(F.lit(1)), F.min(F.when(F.col("segments").isNull(), F.col("template_id"))), F.sum(least)
     ).first()
     if bad is not None:
         raise ValueError(f"template {bad}: mapped values do not match its markers")
@@ -162,20 +163,20 @@ def build_programs(
         F.col("ordinal"),
         "template_id",
         (F.col("n_privacy") > 0).alias("has_privacy"),
-        P.program(F.col("segments"), source_ip, destination_ip, clock.calendar).alias("program"),
+        "program",
     )
-    in_program = P.runs_in(F.col("program"))
     found = (
-        base.select(F.explode(in_program).alias("run"), F.size(in_program).alias("k"))
+        base.select(P.runs_in(F.col("program")).alias("runs"))
+        .select(F.explode("runs").alias("run"), F.size("runs").alias("k"))
         .groupBy("run").agg(F.max("k").alias("k")).limit(RUN_LIMIT + 1).collect()
     )
     runs = sorted((r["run"] for r in found), key=lambda r: (-len(r), r))
     most = max((r["k"] for r in found), default=0)
-    width = F.octet_length("program") + F.octet_length(F.to_json("segments")) + 64
-    size = base.join(numbered.select("ordinal", "segments"), "ordinal").agg(F.sum(width)).first()[0]
+    if size <= BROADCAST_BYTES:  # programs alone may say that it is too large; segments are costly to measure
+        size = numbered.agg(F.sum(least + F.octet_length(F.to_json("segments")))).first()[0]
     # identities lengthen a text by some dozens of bytes per marker; twice the program covers them
     if n > PRERENDER_LIMIT or most * len(runs) > SLOT_LIMIT or 2 * size * V.PROFILE_COUNT > BROADCAST_BYTES:
-        return Programs(base, n, runs, None, False, size <= BROADCAST_BYTES, numbered, source_ip, destination_ip)
+        return Programs(base, n, runs, None, False, size <= BROADCAST_BYTES, numbered.drop("program"), source_ip, destination_ip)
     # a small catalog sits in one partition by now; give every core its share of the printing
     cores = templates.sparkSession.sparkContext.defaultParallelism
     turns = base.repartition(cores, "ordinal").withColumn(
@@ -185,7 +186,7 @@ def build_programs(
     body = P.cut(P.with_values(F.col("program")), runs, most)
     turn = F.col("ordinal") * V.PROFILE_COUNT + F.col("profile_idx")
     table = turns.join(people, "profile_idx").select(turn.alias("turn"), "template_id", "has_privacy", *body)
-    return Programs(table, n, runs, most, True, True, numbered, source_ip, destination_ip)
+    return Programs(table, n, runs, most, True, True, numbered.drop("program"), source_ip, destination_ip)
 
 
 def _run_text(run: str, clock: Clock) -> Column:

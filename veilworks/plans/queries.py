@@ -23,7 +23,7 @@ from ..session import fresh_folder
 from ..sources.catalog_document import read_document
 from ..sources.catalog_files import export_document, read_entries, read_raw_catalog, write_catalog
 from ..sources.event_files import event_files, write_event_files
-from ..sources.tables import read_table, spread
+from ..sources.tables import dealt, read_table, spread
 from ..streaming import jobs as J
 from . import lines as L
 
@@ -484,7 +484,7 @@ def event_time_offset(spark, sf):
 def _synthesized(spark, sf, clock, events=None):
     programs = S.build_programs(_parts(spark, sf), clock, V.SOURCE_IP, V.DESTINATION_IP)
     by_turn = F.pmod("event_idx", F.lit(V.PROFILE_COUNT)).cast("int")
-    return S.expand(events if events is not None else _event_ids(spark, sf), programs, clock, profile=by_turn)
+    return S.expand(dealt(events if events is not None else _event_ids(spark, sf), "event_idx"), programs, clock, profile=by_turn)
 
 
 def synthesize_events(spark, sf):
@@ -511,7 +511,7 @@ def synthesize_large(spark, sf):
     clock = S.Clock.between(*RANGE)
     programs = S.build_programs(_catalog_of(read_table(spark, sf, "orders"), "o_orderkey", sample), clock, V.SOURCE_IP, V.DESTINATION_IP)
     by_turn = F.pmod("event_idx", F.lit(V.PROFILE_COUNT)).cast("int")
-    return S.expand(_event_ids(spark, sf), programs, clock, profile=by_turn).select("event_idx", "template_id", "body")
+    return S.expand(dealt(_event_ids(spark, sf), "event_idx"), programs, clock, profile=by_turn).select("event_idx", "template_id", "body")
 
 
 def synthesize_many_forms(spark, sf):
@@ -529,7 +529,7 @@ def synthesize_summary(spark, sf):
     """Hash-chosen identities over every event: nothing unresolved, shares per template balanced."""
     clock = S.Clock.between(*RANGE)
     programs = S.build_programs(_parts(spark, sf), clock, V.SOURCE_IP, V.DESTINATION_IP)
-    out = S.expand(_event_ids(spark, sf), programs, clock)
+    out = S.expand(dealt(_event_ids(spark, sf), "event_idx"), programs, clock)
     return out.groupBy("template_id").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("body").contains("{{")).alias("unresolved")
     )
