@@ -63,6 +63,19 @@ def test_the_ways_agree_on_random_texts(spark):
     assert one == two and one
 
 
+def test_many_blocks_share_passes_and_texts_are_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text{i} holds supplier{i % 7:05d} and more") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"Supplier{i:05d}") for i in range(400)], "query_id long, query string")
+    want = sorted((i % 7, i) for i in range(50))
+    for way, limit in (("automata", 100), ("postings", 1 << 20)):  # 52 blocks
+        found = TS.search_many(docs, asked, way=way, limit=limit)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= 2
+    monkeypatch.setattr(TS, "PASSES", 0)  # terms too many for the workers are joined
+    assert sorted(tuple(r) for r in TS.search_many(docs, asked, way="postings").collect()) == want
+
+
 def test_audit_by_table_equals_audit_by_list(spark):
     rows = [("a", 1, "the password is x"), ("a", 2, "SECRET and password"), ("b", 3, "fine"), (None, 4, "Ωmega"), ("b", 5, None), ("c", 6, "10.1.2.3")]
     df = spark.createDataFrame(rows, "source string, row_id long, text string")

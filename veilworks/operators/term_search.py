@@ -4,9 +4,11 @@ A text holds a term if it contains it, whatever the case of ASCII letters. Two w
 
 * **Automaton.** Distinct terms are taken in blocks of measured bytes; each block is broadcast, a task builds one
   Aho-Corasick automaton of it and walks every text once, whatever the number of terms. Nothing but hits is shuffled.
+  More than eight blocks share passes: blocks are cut in the order of their terms' rarest groups (see below), and a text is
+  walked by those blocks of a pass of which it holds a group.
 * **Postings.** Where the terms are too many for a few such passes, each term is filed under the rarest of its
   three-character groups (by how many texts hold it) and meets only texts that hold this group; the pairs are then verified
-  on the texts. Groups that no term is filed under are dropped where they arise, by a bitmap of fixed size. Terms of fewer
+  on the texts, where the terms are broadcast if their measured bytes allow it, else by a join. Groups that no term is filed under are dropped where they arise, by a bitmap of fixed size. Terms of fewer
   than three characters have no group and go through the automaton.
 
 Defined cases: a null text holds no term; an empty text holds the empty term only; the empty term is in every text that
@@ -17,6 +19,7 @@ length and hits; empty tables give no pair.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -31,9 +34,11 @@ from .catalog import lower_ascii
 
 AUTOMATON_BYTES = 1 << 20  # of terms in one automaton; its states take some fifty times as much in a worker
 PASSES = 8  # automata, each a pass over the texts; more terms go through postings
+POSTED_BYTES = 16 << 20  # of filed terms that one pass of postings holds in a worker; more than eight passes are joined
 GROUP = 3
 BITMAP_BITS = 23  # one mebibyte
 BATCH_ROWS = 1000
+MANY = 64  # terms of a group, beyond which it is walked by an automaton
 
 _automata: dict[str, object] = {}
 
@@ -63,11 +68,11 @@ def _automaton(shared):
 class _Shared:
     """A broadcast and a name for it that is the same in every worker."""
 
-    def __init__(self, spark: SparkSession, values: list[str]):
+    def __init__(self, spark: SparkSession, values: list):
         self._broadcast, self.id = spark.sparkContext.broadcast(values), uuid.uuid4().hex
 
     @property
-    def value(self) -> list[str]:
+    def value(self) -> list:
         return self._broadcast.value
 
 
@@ -76,7 +81,7 @@ def _terms_in(shared, text: str) -> list[str]:
     return [*found, ""] if "" in shared.value[:1] else [*found]
 
 
-def _walk(docs: DataFrame, shared) -> DataFrame:
+def _walk(docs: DataFrame, shared, terms_in=_terms_in) -> DataFrame:
     """``(key, term)`` of the terms of one block in each text of ``(key, text)``."""
     key_type = docs.schema["key"].dataType.simpleString()
 
@@ -85,7 +90,7 @@ def _walk(docs: DataFrame, shared) -> DataFrame:
             rows, found = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t is not None:
-                    own = _terms_in(shared, t)
+                    own = terms_in(shared, t)
                     rows += [i] * len(own)
                     found += own
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["key", "term"])
@@ -103,7 +108,13 @@ def _blocks(terms: DataFrame, limit: int) -> list[DataFrame]:
 def by_automata(docs: DataFrame, terms: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """``(key, term)``: one pass over ``(key, text)`` per block of ``numbered_terms``."""
     spark, found = docs.sparkSession, None
-    for block in _blocks(terms, limit):
+    blocks = _blocks(terms, limit)
+    if len(blocks) > PASSES:
+        short = terms.where(F.char_length("term") < GROUP)
+        entry = entries(docs, terms)
+        parts = [_walk(docs, _Shared(spark, _cut(filed, limit)), _terms_by_blocks) for filed in _filed(entry, AUTOMATON_BYTES)]
+        found, blocks = functools.reduce(DataFrame.unionByName, parts) if parts else None, _blocks(short, max(limit, AUTOMATON_BYTES))
+    for block in blocks:
         values = sorted(r[0] for r in block.select("term").collect())  # a block of bounded bytes
         if not values:
             continue
@@ -164,20 +175,108 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def by_postings(docs: DataFrame, terms: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """The same pairs by a join on the rarest group of each term."""
-    short = terms.where(F.char_length("term") < GROUP)
+def entries(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, gram)``: the rarest group of each term that has one; terms with a group that no text holds are left out."""
     long = cut_lineage(terms.where(F.char_length("term") >= GROUP).select("term"))
     grams = cut_lineage(_exploded(long.select("term", F.col("term").alias("t")), "term"))
-    held = docs.where("text is not null")
-    of_terms = _bitmap(grams)
-    seen = _exploded(held, "key", of_terms).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    seen = _exploded(docs.where("text is not null"), "key", _bitmap(grams)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a group that no text holds rules its term out; among the others the rarest one is the term's entry
     entry = grams.join(seen, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("e"))
-    entry = cut_lineage(entry.where("e.n > 0").select("term", F.col("e.gram").alias("gram")))
+    return cut_lineage(entry.where("e.n > 0").select("term", F.col("e.gram").alias("gram")))
+
+
+def _filed(entry: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """Filed terms in parts of about ``limit`` bytes, each sorted by group and term."""
+    for part in _blocks(entry.select("gram", "term", F.octet_length("term").alias("bytes"), F.xxhash64("term").alias("block_key")), limit):
+        if rows := sorted(tuple(r) for r in part.select("gram", "term").collect()):  # a part of bounded bytes
+            yield rows
+
+
+def _cut(filed: list[tuple[int, str]], limit: int) -> list[list[tuple[int, str]]]:
+    """Consecutive filed terms in blocks of at most ``limit`` bytes; a single longer term is a block of its own."""
+    out, size = [], limit
+    for gram, term in filed:
+        own = len(term.encode("utf-8", "surrogatepass"))
+        if size + own > limit:
+            out.append([])
+            size = 0
+        out[-1].append((gram, term))
+        size += own
+    return out
+
+
+def _once(shared, build):
+    """What a worker builds of a broadcast, once; only the last one is kept."""
+    if shared.id not in _automata:
+        _automata.clear()
+        _automata[shared.id] = build(shared.value)
+    return _automata[shared.id]
+
+
+def _at(grams: np.ndarray, text: str) -> np.ndarray:
+    """Which of the sorted groups the text holds."""
+    own = groups_of(text)
+    at = np.searchsorted(grams, own)
+    inside = at < len(grams)
+    return at[inside][grams[at[inside]] == own[inside]]
+
+
+def _automaton_of(terms: list[str]):
+    import ahocorasick
+
+    built = ahocorasick.Automaton()
+    for t in terms:
+        built.add_word(t, t)
+    built.make_automaton()
+    return built
+
+
+def _terms_by_blocks(shared, text: str) -> list[str]:
+    """Terms of the blocks of which the text holds a group: each such block walks the text once."""
+
+    def build(blocks):
+        of: dict[int, list[int]] = {}
+        for k, block in enumerate(blocks):
+            for gram in {g for g, _ in block}:
+                of.setdefault(gram, []).append(k)
+        grams = np.array(sorted(of), np.int64)
+        return grams, [of[g] for g in grams.tolist()], [_automaton_of([t for _, t in block]) for block in blocks]
+
+    grams, of, built = _once(shared, build)
+    near = {k for i in _at(grams, text).tolist() for k in of[i]}
+    return [*{t for k in near for _, t in built[k].iter(text)}]
+
+
+def _terms_by_groups(shared, text: str) -> list[str]:
+    """Terms that are filed under a group of the text, and that it holds; groups of many terms have an automaton."""
+
+    def build(filed):
+        of: dict[int, list[str]] = {}
+        for gram, term in filed:
+            of.setdefault(gram, []).append(term)
+        grams = np.array(sorted(of), np.int64)
+        return grams, [of[g] if len(of[g]) <= MANY else _automaton_of(of[g]) for g in grams.tolist()]
+
+    grams, of = _once(shared, build)
+    found: list[str] = []
+    for i in _at(grams, text).tolist():
+        found += [t for t in of[i] if t in text] if isinstance(of[i], list) else {t for _, t in of[i].iter(text)}
+    return found
+
+
+def by_postings(docs: DataFrame, terms: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The same pairs by the rarest group of each term."""
+    short = terms.where(F.char_length("term") < GROUP)
+    held = docs.where("text is not null")
+    entry = entries(docs, terms)
+    size = entry.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()[0]
+    found = by_automata(docs, short, limit)
+    if size <= PASSES * POSTED_BYTES:
+        for filed in _filed(entry, POSTED_BYTES):
+            found = found.unionByName(_walk(held, _Shared(docs.sparkSession, filed), _terms_by_groups))
+        return found
     near = _exploded(held, "key", _bitmap(entry)).join(entry, "gram").select("key", "term").distinct()
-    found = held.join(near, "key").where(F.contains("text", "term")).select("key", "term")
-    return found.unionByName(by_automata(docs, short, limit))
+    return found.unionByName(held.join(near, "key").where(F.contains("text", "term")).select("key", "term"))
 
 
 def pairs(docs: DataFrame, terms: DataFrame, way: str | None = None, limit: int = AUTOMATON_BYTES) -> DataFrame:
