@@ -357,6 +357,17 @@ def test_ordering(spark):
     assert [r.seq for r in dense_index(df, "id").orderBy("id").collect()] == list(range(1500))
 
 
+def test_document_larger_than_64_mebibytes(spark, tmp_path, monkeypatch):
+    """One file in catalog order without a limit of its own; small and empty ones keep their form."""
+    monkeypatch.setattr(C, "tokenize_table", lambda df: df)
+    empty = F.create_map().cast("map<string,array<string>>")
+    big = spark.range(70, 0, -1, 4).select(F.col("id").cast("int").alias("pos"), F.col("id").cast("string").alias("id"), F.lit("n").alias("name"), F.repeat(F.lit("x "), 500_000).alias("sample"), F.lit("").alias("source"), empty.alias("test_case"))
+    export_document(big, str(tmp_path / "big"))
+    assert [r.id for r in read_catalog(spark, str(tmp_path / "big"), strict=False).orderBy("pos").collect()] == [str(i) for i in range(1, 71)]
+    export_document(big.limit(0), str(tmp_path / "none"))
+    assert [f.read_text() for f in (tmp_path / "none").glob("part-*")] == ['{\n  "schema_version": 1,\n  "logs": [\n    \n  ]\n}\n']
+
+
 def test_order_of_32_bits_over_several_buckets(spark):
     """Orders may be narrower than 64 bits; each row has one number also beyond the first bucket."""
     rows = spark.range(150_000).select(F.col("id").cast("int").alias("pos"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored_step
 from .snapshots import Snapshots
+from .tables import dealt
 
 TEST_CASE = "map<string,array<string>>"
 LOG = f"struct<id:string,name:string,sample:string,source:string,test_case:{TEST_CASE}>"
@@ -112,7 +114,7 @@ ENTRY = f"struct<pos:int,{LOG.removeprefix('struct<')}"
 def write_catalog(df: DataFrame, path: str, base: int | None = None) -> int:
     """Tokenize, then save as the next version of the catalog at ``path``; raw text never reaches storage.
 
-    The entries are JSON lines with their place in the catalog (``pos``), written by as many tasks as the table has partitions
+    The entries are JSON lines with their place in the catalog (``pos``), written by tasks that share the rows evenly
     into a folder of their own. They become the catalog when their version is published, so ``df`` may read the catalog it
     is saved to, a save that fails leaves the version before it, and a save that does not start from the last version (``base``,
     by default the last one when this call begins) raises ``SaveConflict``. Returns the number of the version.
@@ -123,7 +125,7 @@ def write_catalog(df: DataFrame, path: str, base: int | None = None) -> int:
     base = at.current() if base is None else base
     _check(df)
     folder = at.fresh()
-    tokenize_table(df).select(F.to_json(F.struct("pos", *_fields()), {"ignoreNullFields": "true"}).alias("value")).write.text(folder)
+    tokenize_table(dealt(df, "pos")).select(F.to_json(F.struct("pos", *_fields()), {"ignoreNullFields": "true"}).alias("value")).write.text(folder)
     return at.publish(folder, base, {"schema_version": 1}).number
 
 
@@ -139,20 +141,24 @@ def read_entries(spark: SparkSession, path: str, version: int | None = None) ->
     return rows.select("log.pos", *_columns("log"))
 
 
-def export_document(df: DataFrame, path: str, max_bytes: int = 64 << 20) -> None:
-    """The catalog as one JSON document, for tools that read that form; an error above ``max_bytes``, as one task writes it."""
+def export_document(df: DataFrame, path: str, max_bytes: int | None = None) -> None:
+    """The catalog as one JSON document, for tools that read that form; an error above ``max_bytes``, if given.
+
+    One task writes it, entry by entry, from ranges of ``pos`` that are sorted one after the other, so its memory does not
+    grow with the catalog. Tokenizing is dealt over all cores before.
+    """
     from ..operators.catalog import tokenize_table
 
     _check(df)
-    rows = tokenize_table(df).select("pos", catalog_entry().alias("entry"))
-    size = rows.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
-    if size > max_bytes:
+    rows = stored_step(tokenize_table(dealt(df, "pos")).select("pos", catalog_entry().alias("entry")))
+    size, last = rows.agg(F.coalesce(F.sum(F.octet_length("entry")), F.lit(0)), F.max(F.struct("pos", "entry"))).first()
+    if max_bytes is not None and size > max_bytes:
         raise ValueError(f"a document of {size} bytes: write_catalog has no limit")
-    logs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda e: e["entry"])
-    document = rows.agg(logs.alias("logs")).select(
-        F.concat(F.lit('{\n  "schema_version": 1,\n  "logs": [\n    '), F.array_join("logs", ",\n    "), F.lit("\n  ]\n}")).alias("value")
-    )
-    document.coalesce(1).write.mode("overwrite").text(path)
+    frame = [(0, '{\n  "schema_version": 1,\n  "logs": ['), (2, "  ]\n}")] + ([(1, "")] if last is None else [])
+    ends = F.lit(True) if last is None else F.col("pos").eqNullSafe(F.lit(last["pos"])) & (F.col("entry") == last["entry"])
+    lines = rows.withColumn("part", F.lit(1)).unionByName(df.sparkSession.createDataFrame(frame, "part int, entry string"), allowMissingColumns=True)
+    line = F.when(F.col("part") != 1, F.col("entry")).otherwise(F.concat(F.lit("    "), "entry", F.when(ends, "").otherwise(",")))
+    lines.orderBy("part", "pos", "entry").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def _check(df: DataFrame) -> None:
