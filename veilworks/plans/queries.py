@@ -19,7 +19,7 @@ from ..operators import packing as K
 from ..operators import synthesis as S
 from ..operators.dimensions import profile_attribute, profile_values, styles, token_kinds
 from ..operators.ordering import dense_index
-from ..session import fresh_folder
+from ..session import fresh_folder, stored_step
 from ..sources.catalog_document import read_document
 from ..sources.catalog_files import export_document, read_entries, read_raw_catalog, write_catalog
 from ..sources.event_files import event_files, write_event_files
@@ -396,8 +396,10 @@ def catalog_files_checked(spark, sf):
     text = F.replace(F.element_at(F.array(*[F.lit(f) for f, _ in L.FILES]), (k + 1).cast("int")), F.lit("%s"), F.col("n_name"))
     names = read_table(spark, sf, "supplier").join(read_table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     path = fresh_folder(spark, "files")
-    names.select(F.col("s_suppkey").alias("file"), text.alias("value")).write.partitionBy("file").text(path)
-    bad = C.catalog_file_violations(read_raw_catalog(spark, f"{path}/*/*"), "file")
+    # tasks share the files, and each moves its own to their place
+    dealt(names, "s_suppkey").select(F.col("s_suppkey").alias("file"), text.alias("value")).write.partitionBy("file").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    raw = stored_step(read_raw_catalog(spark, path))  # every file is opened once
+    bad = C.catalog_file_violations(raw, "file")
     return bad.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("s_suppkey"), "rule")
 
 
