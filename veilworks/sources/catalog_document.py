@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored_step
+from ..session import cut_lineage
 from .catalog_files import catalog_columns, described
 
 PLAIN, STRING, LINE, BLOCK = range(4)
@@ -216,7 +216,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
                 rows, size = [], 0
 
     # cut once: checks and the table itself read the entries, not the document
-    parts = stored_step(pieces.mapInArrow(cut, "file string, begin long, pos long, entry string, whole boolean"))
+    parts = cut_lineage(pieces.mapInArrow(cut, "file string, begin long, pos long, entry string, whole boolean"))
     crossing = parts.filter("not whole").groupBy("file", "pos").agg(F.array_join(F.array_sort(F.collect_list(F.struct("begin", "entry")))["entry"], "").alias("entry"))
     rows = parts.filter("whole").select("file", "pos", "entry").unionByName(crossing.filter("trim(BOTH ' \n\r\t' FROM entry) != ''"))
     files = spark.createDataFrame(about, "file string, schema_version int, has_logs boolean")
